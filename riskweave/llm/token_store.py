@@ -11,8 +11,8 @@ Edge cases: a null text counts as empty, an empty text has the end id alone, row
 
 from __future__ import annotations
 
+import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +21,15 @@ from pyspark.sql import functions as F
 
 from riskweave.llm._common import table, workspace
 
-MEMO_ENTRIES = 500_000
+#: Entries of one generation of a worker's memo; two are held.
+MEMO_ENTRIES = 350_000
 MEMO_KEY_CHARS = 40
-MARKS = (".", ",")
 LATIN_END = "\u0250"
-_memos: dict[str, tuple] = {}
+#: Characters beyond Latin letters, or what may open one of the vocabulary's special tokens.
+_FOREIGN = re.compile("[\u0250-\U0010ffff]|<\\|")
+#: A full stop or comma before a space that belongs to a longer run of marks.
+_RUN_OF_MARKS = re.compile("[^a-z\u00df-\u024f\\s][.,](?: |$)")
+_encoders: dict[str, Encoder] = {}
 
 STORED = "doc_id bigint, shard int, shard_offset bigint, n_tokens bigint, tokens array<int>"
 
@@ -36,76 +40,100 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _tokenizer(path: str):
-    """One tokenizer and one memo for each Python worker; a worker serves many tasks."""
-    if path not in _memos:
-        from tokenizers import Tokenizer
+def simplified(text: str) -> str:
+    """A text with the same ids and fewer distinct chunks: lower case, as the normalizer makes it anyway, and with full stops
+    and commas set apart from the word before them, as the pre-tokenizer does. Only Latin texts are changed."""
+    text = text.replace("\n", " ")
+    if _FOREIGN.search(text):
+        return text
+    text = text.lower()
+    if _RUN_OF_MARKS.search(text):
+        return text
+    text = text.replace(". ", " . ").replace(", ", " , ")
+    return f"{text[:-1]} {text[-1]}" if text.endswith((".", ",")) else text
 
-        tokenizer = Tokenizer.from_file(path)
-        ends_word = [False] * tokenizer.get_vocab_size()
-        for piece, i in tokenizer.get_vocab().items():
-            ends_word[i] = piece.endswith("</w>")
-        _memos[path] = (tokenizer, {}, ends_word)
-    return _memos[path]
 
+class Encoder:
+    """A worker's tokenizer with a memo from space-delimited chunks to their ids as little-endian 32-bit integers.
 
-def encode_texts(path: str, texts: list[str]) -> list[list[int]]:
-    """What the tokenizer gives for each whole text, by way of a memo of space-delimited chunks.
-
-    The pre-tokenizer never joins characters over white space, so a text's ids are the ids of its chunks in a row.
+    The pre-tokenizer never joins characters over white space, so a text's ids are the ids of its chunks in a row. The memo has
+    two generations: what the older one still answers moves to the younger, so that frequent chunks are never learned twice.
     """
-    tokenizer, memo, ends_word = _tokenizer(path)
-    chunks = [text.replace("\n", " ").split(" ") for text in texts]
-    found = [list(map(memo.get, doc)) for doc in chunks]
-    missing = {c for doc, got in zip(chunks, found, strict=True) if None in got for c, ids in zip(doc, got, strict=True) if ids is None}
-    if missing:
-        if len(memo) + len(missing) > MEMO_ENTRIES:
-            memo.clear()
-            missing = set().union(*chunks)
-        # Latin words are looked up in lower case and without a final mark: the normalizer lowers them anyway, and the
-        # pre-tokenizer cuts the mark off.
-        parts: dict[str, tuple[str, str]] = {}
-        words: set[str] = set()
-        others: set[str] = set()
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        # Latin words in lower case pass the normalizer unchanged and are one pre-token each: for them both can be skipped.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends_word = np.zeros(self.whole.get_vocab_size(), dtype=bool)
+        for piece, i in self.whole.get_vocab().items():
+            self.ends_word[i] = piece.endswith("</w>")
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each whole text."""
+        memo = self.young
+        chunks = [simplified(text).split(" ") for text in texts]
+        found = [list(map(memo.get, doc)) for doc in chunks]
+        missing = {c for doc, got in zip(chunks, found, strict=True) if None in got for c, ids in zip(doc, got, strict=True) if ids is None}
+        if missing:
+            self._learn(missing)
+            found = [[ids or memo[c] for c, ids in zip(doc, got, strict=True)] if None in got else got for doc, got in zip(chunks, found, strict=True)]
+            for c in [c for c in missing if len(c) > MEMO_KEY_CHARS]:
+                del memo[c]
+            if len(memo) > MEMO_ENTRIES:
+                self.old, self.young = memo, {}
+        return [b"".join(got) for got in found]
+
+    def _learn(self, missing: set[str]) -> None:
+        memo, old = self.young, self.old
+        words, others = [], []
         for c in missing:
-            word, mark = (c[:-1], c[-1]) if c[-1:] in MARKS else (c, "")
-            if word.isalpha() and max(word) < LATIN_END and (low := word.lower()).isalpha():
-                parts[c] = (low, mark)
-                words.add(low)
-                others.add(mark)
+            ids = old.get(c)
+            if ids is not None:
+                memo[c] = ids
+            elif c.isalpha() and (c.isascii() or max(c) < LATIN_END) and c == c.lower():
+                words.append(c)
             else:
-                others.add(c)
-        _learn_words(tokenizer, memo, ends_word, [w for w in words if w not in memo])
-        rest = [c for c in others if c not in memo]
-        for c, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            memo[c] = tuple(e.ids)
-        for c, (word, mark) in parts.items():
-            memo[c] = memo[word] + memo[mark] if mark else memo[word]
-        found = [list(map(memo.__getitem__, doc)) if None in got else got for doc, got in zip(chunks, found, strict=True)]
-        for c in missing:
-            if len(c) > MEMO_KEY_CHARS:
-                memo.pop(c, None)
-    return [list(chain.from_iterable(got)) for got in found]
-
-
-def _learn_words(tokenizer, memo: dict, ends_word: list[bool], words: list[str]) -> None:
-    """Put the ids of whole Latin words into the memo. Many words go to the library as one text; each is one pre-token, so
-    the ids that end a word tell them apart. Should the count not agree, the words go one by one."""
-    for at in range(0, len(words), 500):
-        block = words[at : at + 500]
-        ids = tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids
-        cuts = [k + 1 for k, i in enumerate(ids) if ends_word[i]]
-        if len(cuts) == len(block):
-            start = 0
-            for w, end in zip(block, cuts, strict=True):
-                memo[w] = tuple(ids[start:end])
-                start = end
-        else:
-            for w, e in zip(block, tokenizer.encode_batch_fast(block, add_special_tokens=False), strict=True):
-                memo[w] = tuple(e.ids)
-
-
-def _encoder(path: str, end_id: int, slice_rows: int):
+                others.append(c)
+        self._learn_words(words)
+        for c, e in zip(others, self.whole.encode_batch_fast(others, add_special_tokens=False), strict=True):
+            memo[c] = np.array(e.ids, dtype="<u4").tobytes()
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Many words go to the library as one text; the ids that end a word tell them apart. Should their number not agree,
+        the words go one by one."""
+        memo = self.young
+        for at in range(0, len(words), 500):
+            block = words[at : at + 500]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(cuts) == len(block):
+                raw, start = ids.tobytes(), 0
+                for w, end in zip(block, cuts, strict=True):
+                    memo[w] = raw[start:end]
+                    start = end
+            else:
+                for w, e in zip(block, self.whole.encode_batch_fast(block, add_special_tokens=False), strict=True):
+                    memo[w] = np.array(e.ids, dtype="<u4").tobytes()
+
+
+def encoder(path: str) -> Encoder:
+    """One for each Python worker; a worker serves many tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def encode_texts(path: str, texts: list[str]) -> list[list[int]]:
+    return [np.frombuffer(x, dtype="<u4").tolist() for x in encoder(path).encode(texts)]
+
+
+def _encode_rows(path: str, end_id: int, slice_rows: int):
     def run(batches):
         import os
 
@@ -113,13 +141,14 @@ def _encoder(path: str, end_id: int, slice_rows: int):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         shard, offset = TaskContext.get().partitionId(), 0
+        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, slice_rows):
                 part = batch.slice(at, slice_rows)
-                ids = [x + [end_id] for x in encode_texts(path, [t or "" for t in part.column("text").to_pylist()])]
-                n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+                raw = encoder(path).encode([t or "" for t in part.column("text").to_pylist()])
+                n = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) // 4 + 1
                 ends = np.cumsum(n)
-                flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(ends[-1]) if len(n) else 0)
+                flat = np.frombuffer(end.join([*raw, b""]), dtype="<i4")
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
@@ -130,7 +159,7 @@ def _encoder(path: str, end_id: int, slice_rows: int):
                     ],
                     names=["doc_id", "shard", "shard_offset", "n_tokens", "tokens"],
                 )
-                offset += int(ends[-1]) if len(n) else 0
+                offset += int(ends[-1])
 
     return run
 
@@ -159,7 +188,7 @@ def write_tokens(
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc(), F.col("text").asc_nulls_first())
     )
     (
-        ranged.mapInArrow(_encoder(path, end_id, slice_rows), STORED)
+        ranged.mapInArrow(_encode_rows(path, end_id, slice_rows), STORED)
         .write.option("parquet.block.size", row_group_bytes)
         .option("parquet.page.size", page_bytes)
         .option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
