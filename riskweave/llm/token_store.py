@@ -22,11 +22,9 @@ from pyspark.sql import functions as F
 from riskweave.llm._common import table, workspace
 
 #: Entries of one generation of a worker's memo; two are held.
-MEMO_ENTRIES = 350_000
+MEMO_ENTRIES = 400_000
 MEMO_KEY_CHARS = 40
 LATIN_END = "\u0250"
-#: Characters beyond Latin letters, or what may open one of the vocabulary's special tokens.
-_FOREIGN = re.compile("[\u0250-\U0010ffff]|<\\|")
 #: A full stop or comma before a space that belongs to a longer run of marks.
 _RUN_OF_MARKS = re.compile("[^a-z\u00df-\u024f\\s][.,](?: |$)")
 _encoders: dict[str, Encoder] = {}
@@ -40,11 +38,29 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _is_latin1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class _Memo(dict):
+    """Ids of chunks; a look-up of an unknown chunk is noted and gives None."""
+
+    def __init__(self):
+        self.missing: set[str] = set()
+
+    def __missing__(self, chunk: str) -> None:
+        self.missing.add(chunk)
+
+
 def simplified(text: str) -> str:
     """A text with the same ids and fewer distinct chunks: lower case, as the normalizer makes it anyway, and with full stops
-    and commas set apart from the word before them, as the pre-tokenizer does. Only Latin texts are changed."""
+    and commas set apart from the word before them, as the pre-tokenizer does. Only Latin-1 texts are changed."""
     text = text.replace("\n", " ")
-    if _FOREIGN.search(text):
+    if "<|" in text or not (text.isascii() or _is_latin1(text)):  # "<|" may open one of the vocabulary's special tokens
         return text
     text = text.lower()
     if _RUN_OF_MARKS.search(text):
@@ -71,22 +87,22 @@ class Encoder:
         self.ends_word = np.zeros(self.whole.get_vocab_size(), dtype=bool)
         for piece, i in self.whole.get_vocab().items():
             self.ends_word[i] = piece.endswith("</w>")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young, self.old = _Memo(), _Memo()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text."""
         memo = self.young
         chunks = [simplified(text).split(" ") for text in texts]
-        found = [list(map(memo.get, doc)) for doc in chunks]
-        missing = {c for doc, got in zip(chunks, found, strict=True) if None in got for c, ids in zip(doc, got, strict=True) if ids is None}
+        found = [list(map(memo.__getitem__, doc)) for doc in chunks]
+        missing = memo.missing
         if missing:
+            memo.missing = set()
             self._learn(missing)
             found = [[ids or memo[c] for c, ids in zip(doc, got, strict=True)] if None in got else got for doc, got in zip(chunks, found, strict=True)]
             for c in [c for c in missing if len(c) > MEMO_KEY_CHARS]:
                 del memo[c]
             if len(memo) > MEMO_ENTRIES:
-                self.old, self.young = memo, {}
+                self.old, self.young = memo, _Memo()
         return [b"".join(got) for got in found]
 
     def _learn(self, missing: set[str]) -> None:
@@ -193,7 +209,7 @@ def write_tokens(
         .option("parquet.page.size", page_bytes)
         .option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
         .option("parquet.writer.version", "v1" if encoding == "dictionary" else "v2")
-        .option("compression", "zstd")
+        .option("compression", "snappy")
         .parquet(out)
     )
     return out
