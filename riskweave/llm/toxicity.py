@@ -35,6 +35,8 @@ from riskweave.llm._common import fold_of, fresh, materialize, table
 FIT_ROWS = 20_000
 MOST_EVIDENCE = 200_000
 WILSON_Z = 2.33
+#: Labels (an id and a number each) up to this many are broadcast.
+BROADCAST_LABELS = 1_000_000
 MEMO_ENTRIES = 300_000
 MEMO_CHARS = 40
 FLUSH_ENTRIES = 300_000
@@ -53,6 +55,9 @@ _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){2,}(?!\S)")
 _RUN = re.compile(r"(.)\1{2,}")
 
 
+_IS_LETTER = np.array([chr(x).isalpha() for x in range(ord(LETTER_END))])
+
+
 def _latin(ch: str) -> bool:
     return ch < LETTER_END and ch.isalpha()
 
@@ -129,17 +134,19 @@ class Restorer:
                 self.memo[token] = found
         return found
 
-    def words(self, text: str | None) -> set[str]:
-        """The distinct restored words of a whole text."""
+    def tokens(self, text: str | None) -> set[str]:
+        """The distinct tokens of a whole text, with runs of single characters joined."""
         if not text:
             return set()
         low = text.lower()
-        tokens = low.split()
-        found = set(map(self.word, set(tokens)))
-        if sum(len(t) == 1 for t in tokens) >= 3:
-            for m in _SPACED.finditer(low):
-                joined = "".join(m.group().split())
-                found.add(self.word(joined) if self.suspicious(joined) else joined)
+        found = set(low.split())
+        if sum(map(1 .__eq__, map(len, found))) >= 2:
+            found.update("".join(m.group().split()) for m in _SPACED.finditer(low))
+        return found
+
+    def words(self, text: str | None) -> set[str]:
+        """The distinct restored words of a whole text."""
+        found = set(map(self.word, self.tokens(text)))
         found.discard("")
         return found
 
@@ -154,26 +161,32 @@ def evidence_of(word: str) -> list[str]:
     return out
 
 
-def _count_trigrams(batches):
-    """(trigram, n) from the plain Latin words of every text of a partition."""
-    words: Counter = Counter()
-    grams: Counter = Counter()
+def trigrams_of(text: str) -> Counter:
+    """Counts of the trigrams of a text's words: runs of Latin letters with two boundaries before and one after."""
+    low = f" {text.lower()} "
+    codes = np.frombuffer(low.encode("utf-32-le", "replace"), dtype="<u4")
+    codes = np.where(codes < len(_IS_LETTER), codes, 32)
+    codes = np.where(_IS_LETTER[codes], codes, 0)
+    letters = np.flatnonzero(np.bincount(codes, minlength=len(_IS_LETTER)))
+    letters = np.union1d([0], letters)
+    place = np.zeros(len(_IS_LETTER), dtype=np.int64)
+    place[letters] = np.arange(len(letters))
+    at = place[codes]
+    here, before = at[2:], at[1:-1]
+    first = np.where(before > 0, at[:-2], 0)
+    n = len(letters)
+    grams = ((first * n + before) * n + here)[(here > 0) | (before > 0)]
+    found = np.bincount(grams, minlength=1)
+    name = [BOUNDARY if x == 0 else chr(x) for x in letters]
+    return Counter({name[g // (n * n)] + name[g // n % n] + name[g % n]: int(found[g]) for g in np.flatnonzero(found).tolist()})
 
-    def spread():
-        for w, n in words.items():
-            w = w.strip(_EDGE)
-            if w.isalpha() and max(w) < LETTER_END:
-                w = BOUNDARY * 2 + w + BOUNDARY
-                for k in range(len(w) - 2):
-                    grams[w[k : k + 3]] += n
-        words.clear()
 
+def _count_trigrams(batches):
+    """(trigram, n) from every text of a partition."""
+    grams: Counter = Counter()
     for batch in batches:
-        for text in batch.column("text"):
-            words.update((text.as_py() or "").lower().split())
-            if len(words) > FLUSH_ENTRIES:
-                spread()
-    spread()
+        for at in range(0, batch.num_rows, 256):
+            grams.update(trigrams_of("\n".join(filter(None, batch.column("text").slice(at, 256).to_pylist()))))
     yield pa.RecordBatch.from_arrays([pa.array(list(grams), type=pa.string()), pa.array(list(grams.values()), type=pa.int64())], names=["gram", "n"])
 
 
@@ -183,64 +196,91 @@ def character_model(docs: DataFrame) -> dict[str, int]:
     return {r["gram"]: r["n"] for r in counts.collect()}
 
 
-def wilson_lower(hits, n, z: float = WILSON_Z):
-    """Lower bound of a share, as a Column."""
+def wilson_lower(hits: int, n: int, z: float = WILSON_Z) -> float:
+    """Lower bound of a share."""
     p, zz = hits / n, z * z
-    return (p + zz / (2 * n) - z * F.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
+    return (p + zz / (2 * n) - z * math.sqrt(p * (1 - p) / n + zz / (4 * n * n))) / (1 + zz / n)
 
 
-def learn_evidence(labelled: DataFrame, model) -> DataFrame:
-    """(evidence, weight) from ``labelled(text, toxic)``; weight is the log odds of the share's lower bound."""
+class _Weights(dict):
+    """Token -> what ``of`` gives for its restored word, learned when first asked for; cleared when full."""
+
+    def __init__(self, restorer: Restorer, of):
+        self.restorer, self.of = restorer, of
+
+    def __missing__(self, token: str):
+        found = self.of(self.restorer.word(token))
+        if len(token) <= MEMO_CHARS:
+            if len(self) >= MEMO_ENTRIES:
+                self.clear()
+            self[token] = found
+        return found
+
+
+def _count_evidence(model, allowed):
+    """(evidence, n): in how many texts of a partition each piece of evidence occurs; only ``allowed`` ones if given."""
 
     def run(batches):
-        restorer = Restorer(model.value)
-        counts = (Counter(), Counter())
+        restorer, counts = Restorer(model.value), Counter()
+        only = None if allowed is None else allowed.value
+        kept = _Weights(restorer, lambda w: [e for e in evidence_of(w) if e in only]) if only is not None else None
 
         def flush():
-            keys = sorted(set(counts[0]) | set(counts[1]))
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(keys, type=pa.string()), pa.array([counts[1][k] for k in keys], type=pa.int64()), pa.array([counts[0][k] for k in keys], type=pa.int64())],
-                names=["evidence", "toxic", "clean"],
-            )
-            counts[0].clear()
-            counts[1].clear()
+            batch = pa.RecordBatch.from_arrays([pa.array(list(counts), type=pa.string()), pa.array(list(counts.values()), type=pa.int64())], names=["evidence", "n"])
+            counts.clear()
             return batch
 
         for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                counts[toxic].update({e for w in restorer.words(text) for e in evidence_of(w)})
-                if len(counts[0]) + len(counts[1]) > FLUSH_ENTRIES:
+            for text in batch.column("text").to_pylist():
+                if only is None:
+                    counts.update({e for w in restorer.words(text) for e in evidence_of(w)})
+                else:
+                    counts.update({e for held in map(kept.__getitem__, restorer.tokens(text)) if held for e in held})
+                if len(counts) > FLUSH_ENTRIES:
                     yield flush()
         yield flush()
 
-    counted = labelled.select("text", "toxic").mapInArrow(run, "evidence string, toxic bigint, clean bigint").groupBy("evidence").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    share = wilson_lower(F.col("toxic"), F.col("toxic") + F.col("clean"))
-    return counted.where(F.col("toxic") > 0).withColumn("share", share).where("share > 0.5").select("evidence", F.ln(F.col("share") / (1 - F.col("share"))).alias("weight"))
+    return run
 
 
-def _features(restorer: Restorer, weights: dict[str, float], memo: dict, text: str | None) -> tuple[float, float]:
-    """(strongest weight, log1p of the number of words with evidence)"""
-    top, n = 0.0, 0
-    for w in restorer.words(text):
-        found = memo.get(w)
-        if found is None:
-            found = max((weights.get(e, 0.0) for e in evidence_of(w)), default=0.0)
-            if len(w) <= MEMO_CHARS:
-                if len(memo) >= MEMO_ENTRIES:
-                    memo.clear()
-                memo[w] = found
-        if found:
-            n += 1
-            top = max(top, found)
-    return top, math.log1p(n)
+def learn_evidence(labelled: DataFrame, model) -> dict[str, float]:
+    """Evidence and its weight from ``labelled(text, toxic)``: the log odds of the lower bound of its toxic share.
+
+    Toxic texts name the candidates: without enough of them the bound cannot exceed one half. All others are then counted for
+    the candidates alone.
+    """
+    spark = labelled.sparkSession
+    least = math.ceil(WILSON_Z**2)  # n hits of n have the bound n / (n + z^2)
+
+    def counted(rows: DataFrame, allowed, name: str) -> DataFrame:
+        return rows.select("text").mapInArrow(_count_evidence(model, allowed), "evidence string, n bigint").groupBy("evidence").agg(F.sum("n").alias(name))
+
+    candidates = counted(labelled.where("toxic = 1"), None, "toxic").where(F.col("toxic") >= least).orderBy(F.desc("toxic"), "evidence").limit(MOST_EVIDENCE)
+    toxic = {r["evidence"]: r["toxic"] for r in candidates.collect()}  # MOST_EVIDENCE rows at most
+    if not toxic:
+        return {}
+    held = spark.sparkContext.broadcast(frozenset(toxic))
+    clean = {r["evidence"]: r["clean"] for r in counted(labelled.where("toxic = 0"), held, "clean").collect()}
+    weights = {}
+    for e, hits in toxic.items():
+        share = wilson_lower(hits, hits + clean.get(e, 0))
+        if share > 0.5:
+            weights[e] = math.log(share / (1 - share))
+    return weights
 
 
 def _feature_rows(held, keep: list[str]):
+    """The columns ``keep`` with the strongest weight (top) and log1p of the number of tokens with evidence (many)."""
+
     def run(batches):
         trigrams, weights = held.value
-        restorer, memo = Restorer(trigrams), {}
+        restorer = Restorer(trigrams)
+        memo = _Weights(restorer, lambda w: max([weights[e] for e in evidence_of(w) if e in weights], default=0.0))
         for batch in batches:
-            pairs = [_features(restorer, weights, memo, t) for t in batch.column("text").to_pylist()]
+            pairs = []
+            for text in batch.column("text").to_pylist():
+                hits = [v for v in map(memo.__getitem__, restorer.tokens(text)) if v]
+                pairs.append((max(hits, default=0.0), math.log1p(len(hits))))
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs])], names=[*keep, "top", "many"])
 
     return run
@@ -266,6 +306,8 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0
     spark = docs.sparkSession
     trigrams = character_model(docs)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
+    if known.count() <= BROADCAST_LABELS:  # a few bytes each; beyond that both sides are shuffled
+        known = F.broadcast(known)
     train = (
         docs.select("doc_id", "text")
         .join(known, "doc_id")
@@ -274,8 +316,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0
     )
     train = materialize(train, "toxicity-train")
     held = spark.sparkContext.broadcast(trigrams)
-    learned = learn_evidence(train, held).orderBy(F.desc("weight"), "evidence").limit(MOST_EVIDENCE)
-    weights = {r["evidence"]: r["weight"] for r in learned.collect()}
+    weights = learn_evidence(train, held)
     model = spark.sparkContext.broadcast((trigrams, weights))
     total = train.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
     n, t = total["n"] or 0, total["t"] or 0
