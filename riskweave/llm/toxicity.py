@@ -37,9 +37,9 @@ MOST_EVIDENCE = 200_000
 WILSON_Z = 2.33
 #: Labels (an id and a number each) up to this many are broadcast.
 BROADCAST_LABELS = 1_000_000
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 150_000
 MEMO_CHARS = 40
-FLUSH_ENTRIES = 300_000
+FLUSH_ENTRIES = 150_000
 BOUNDARY = " "
 LETTER_END = "ɐ"
 #: What a mark may stand for (fixed look-alikes).
@@ -129,7 +129,7 @@ class Restorer:
             inner = token.strip(_EDGE)
             found = self.decode(token.strip(".,;:?\"'")) if self.suspicious(token) else inner
             if len(token) <= MEMO_CHARS:
-                if len(self.memo) >= MEMO_ENTRIES:
+                if len(self.memo) >= MEMO_ENTRIES // 5:  # callers keep what they derive from a word
                     self.memo.clear()
                 self.memo[token] = found
         return found
