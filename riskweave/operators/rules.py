@@ -1,0 +1,55 @@
+"""Table-driven rules: a rule holds for a file if every one of its groups has a needle in the text, and its path matches."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from riskweave.functions.paths import has_part, is_code, is_doc, normalized
+from riskweave.functions.text import contains_any
+
+
+@dataclass(frozen=True)
+class Rule:
+    rule_id: str
+    category: str
+    weight: float
+    strong: bool
+    groups: tuple[tuple[str, ...], ...]
+    paths: tuple[str, ...] = ()
+    scope: str = "any"  # any, doc or code
+
+
+RULES = (
+    Rule("RW-001", "ast01", 4.8, True, (("os.environ", "process.env", "getenv("), ("requests.post", "fetch(", "http.post"))),
+    Rule("RW-002", "ast02", 4.6, True, (("curl ", "wget "), ("| sh", "| bash", "|sh", "|bash"))),
+    Rule("RW-003", "ast02", 3.4, True, (("postinstall", "preinstall"), ("node ", "curl ", "sh ")), ("package.json",)),
+    Rule("RW-004", "ast05", 4.0, True, (("yaml.load(", "pickle.load", "marshal.loads"),), (), "code"),
+    Rule("RW-005", "ast03", 2.2, False, (("filesystem",), ("network",)), ("manifest",)),
+    Rule("RW-006", "ast04", 3.6, True, (("ignore previous", "ignore all previous", "disregard the above"),), (), "doc"),
+    Rule("RW-007", "ast06", 4.2, True, (("/var/run/docker.sock", "privileged: true"),)),
+    Rule("RW-008", "ast08", 2.0, False, (("base64", "fromcharcode"), ("eval(", "exec("))),
+    Rule("RW-009", "ast09", 1.2, False, (("no license", "unknown publisher"),)),
+    Rule("RW-010", "ast10", 2.4, False, (("strip metadata", "drop policy"),), ("manifest", "policy")),
+)
+
+
+def apply_rules(files: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Findings of ``files(skill_id, rel, text)``. All rules are tested in one pass over a file and only those that hold become
+    rows; nothing is shuffled."""
+    path, low = normalized(F.col("rel")), F.lower("text")
+    hits = []
+    for r in rules:
+        holds = F.lit(True)
+        for g in r.groups:
+            holds = holds & contains_any(low, g)
+        if r.paths:
+            holds = holds & has_part(path, r.paths)
+        if r.scope != "any":
+            holds = holds & (is_doc(path) if r.scope == "doc" else is_code(path))
+        fields = F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.weight).alias("weight"), F.lit(r.strong).alias("strong"))
+        hits.append(F.when(F.coalesce(holds, F.lit(False)), fields))
+    found = F.filter(F.array(*hits), lambda h: h.isNotNull())
+    return files.select("skill_id", F.col("rel").alias("file"), is_doc(path).alias("is_doc"), "text", F.explode(found).alias("hit")).select("skill_id", "file", "is_doc", "text", "hit.*")
