@@ -163,7 +163,7 @@ def evidence_of(word: str) -> list[str]:
 
 def trigrams_of(text: str) -> Counter:
     """Counts of the trigrams of a text's words: runs of Latin letters with two boundaries before and one after."""
-    low = f" {text.lower()} "
+    low = f"  {text.lower()} "
     codes = np.frombuffer(low.encode("utf-32-le", "replace"), dtype="<u4")
     codes = np.where(codes < len(_IS_LETTER), codes, 32)
     codes = np.where(_IS_LETTER[codes], codes, 0)
