@@ -1,55 +1,355 @@
-"""Table-driven rules: a rule holds for a file if every one of its groups has a needle in the text, and its path matches."""
+"""Rules as boolean algebra over signals: one row a rule, evaluated for all files in one pass, and for packages over flags.
+
+A file is searched once for each signal; a rule is then an AND of ORs over booleans. Rules over packages (``PACKAGE_RULES``)
+read per-file flags merged with ``bool_or``, which combine map-side: no file text is shuffled.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.functions.paths import has_part, is_code, is_doc, normalized
-from riskweave.functions.text import contains_any
+from riskweave.functions.lexicon import SIGNALS, any_of, signal, teaching_context
+from riskweave.functions.markdown import active_view, risky_block
+from riskweave.functions.paths import base_name, has_part, is_code, is_doc, is_manifest, is_package, is_text_config, normalized
+from riskweave.operators.scoring import MOCK_MARKS
 
 
 @dataclass(frozen=True)
 class Rule:
+    """``needs``: space-separated signals, all of them; ``a|b`` is either. ``near``: the first two signals must be within so many
+    lines. ``within``: all in one ``block`` (between blank lines) or HTML ``comment``. ``doc_weight``: weak in documents with it.
+    ``lasting``: a strong finding in a document counts in full. ``profile``: base, broad or both."""
+
     rule_id: str
     category: str
     weight: float
     strong: bool
-    groups: tuple[tuple[str, ...], ...]
-    paths: tuple[str, ...] = ()
-    scope: str = "any"  # any, doc or code
+    scope: str
+    needs: str
+    unless: str = ""
+    near: int = 0
+    within: str = ""
+    doc_weight: float = 0.0
+    lasting: bool = False
+    raw: bool = False
+    profile: str = "both"
 
 
+# Identifiers, categories, weights and strength; the predicates are this library's own.
 RULES = (
-    Rule("RW-001", "ast01", 4.8, True, (("os.environ", "process.env", "getenv("), ("requests.post", "fetch(", "http.post"))),
-    Rule("RW-002", "ast02", 4.6, True, (("curl ", "wget "), ("| sh", "| bash", "|sh", "|bash"))),
-    Rule("RW-003", "ast02", 3.4, True, (("postinstall", "preinstall"), ("node ", "curl ", "sh ")), ("package.json",)),
-    Rule("RW-004", "ast05", 4.0, True, (("yaml.load(", "pickle.load", "marshal.loads"),), (), "code"),
-    Rule("RW-005", "ast03", 2.2, False, (("filesystem",), ("network",)), ("manifest",)),
-    Rule("RW-006", "ast04", 3.6, True, (("ignore previous", "ignore all previous", "disregard the above"),), (), "doc"),
-    Rule("RW-007", "ast06", 4.2, True, (("/var/run/docker.sock", "privileged: true"),)),
-    Rule("RW-008", "ast08", 2.0, False, (("base64", "fromcharcode"), ("eval(", "exec("))),
-    Rule("RW-009", "ast09", 1.2, False, (("no license", "unknown publisher"),)),
-    Rule("RW-010", "ast10", 2.4, False, (("strip metadata", "drop policy"),), ("manifest", "policy")),
-)
-
-
-def apply_rules(files: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Findings of ``files(skill_id, rel, text)``. All rules are tested in one pass over a file and only those that hold become
-    rows; nothing is shuffled."""
-    path, low = normalized(F.col("rel")), F.lower("text")
+    Rule("R0008", "ast01", 7.2, True, "skill", "lure payload redirect", lasting=True),
+    Rule("R0009", "ast01", 4.9, True, "manifest skill", "lure redirect fetch", profile="base"),
+    Rule("R0010", "ast01", 5.4, True, "manifest skill", "decode shell", lasting=True, profile="base"),
+    Rule("R0011", "ast01", 5.2, True, "manifest skill", "secret send", near=6, lasting=True, profile="base"),
+    Rule("R0012", "ast02", 5.7, True, "skill", "fetch run_binary", "integrity", within="script", lasting=True, profile="base"),
+    Rule("R0013", "ast08", 5.8, True, "skill", "modular joined dynamic", lasting=True, raw=True, profile="base"),
+    Rule("R0014", "ast07", 5.9, True, "any", "fetch instruction_asset source_form", lasting=True, profile="base"),
+    Rule("R0015", "ast01", 5.6, True, "any", "memory persist conceal|override", profile="base"),
+    Rule("R0016", "ast02", 6.0, True, "agent", "hook exec secret|endpoint", profile="base"),
+    Rule("R0017", "ast01", 5.8, True, "code", "ide read decode send fetch", profile="base"),
+    Rule("R0018", "ast02", 5.7, True, "mcp", "shell|install fetch|registry exfil|send", profile="base"),
+    Rule("R0019", "ast04", 5.0, True, "doc manifest agent", "override secret|send|exec actor", within="comment", profile="base"),
+    Rule("R0020", "ast08", 5.2, True, "skill", "conceal exec|run_binary", "approval", lasting=True, profile="base"),
+    Rule("R0021", "ast01", 3.2, False, "skill", "remove|destroy automatic", "approval", within="block", profile="base"),
+    Rule("R0022", "ast01", 6.4, True, "code manifest skill", "reverse", lasting=True, profile="base"),
+    Rule("R0023", "ast08", 5.4, True, "code manifest", "condition exec|send secret|fetch", doc_weight=3.2, profile="base"),
+    Rule("R0024", "ast01", 5.8, True, "code manifest", "wallet read send", lasting=True, profile="base"),
+    Rule("R0025", "ast01", 5.9, True, "doc", "lure shell fetch|decode", lasting=True, profile="base"),
+    Rule("R0026", "ast01", 5.7, True, "code manifest", "extension broad secret send", profile="base"),
+    Rule("R0027", "ast06", 5.6, True, "any", "metadata_ip send|secret", doc_weight=3.2, profile="base"),
+    Rule("R0028", "ast05", 5.2, True, "code manifest", "proto untrusted privilege", profile="base"),
+    Rule("R0029", "ast04", 5.3, True, "doc", "invisible override send|exec|secret", lasting=True, raw=True, profile="base"),
+    Rule("R0029", "ast04", 5.3, True, "doc", "override send|exec|secret", within="comment", lasting=True, profile="base"),
+    Rule("R0030", "ast07", 5.6, True, "code manifest package", "watch fetch load", lasting=True, profile="base"),
+    Rule("R0031", "ast08", 5.1, True, "code manifest", "scanner tamper exec|send|secret", profile="base"),
+    Rule("R0032", "ast01", 5.8, True, "skill", "actor secret send", "override", lasting=True),
+    Rule("R0033", "ast01", 5.5, True, "code skill", "memory write override|bypass"),
+    Rule("R0034", "ast01", 5.8, True, "code manifest", "websocket exec|secret"),
+    Rule("R0035", "ast06", 5.6, True, "code manifest skill", "local_url agent_api control", doc_weight=3.2),
+    Rule("R0036", "ast05", 5.7, True, "code manifest yaml", "yaml_tag exec", lasting=True),
+    Rule("R0037", "ast01", 5.4, True, "code manifest", "token_shape send", lasting=True),
+    Rule("R0038", "ast04", 5.5, True, "manifest mcp", "override send|secret|exec"),
+    Rule("R0039", "ast01", 5.4, True, "skill", "actor workspace send", "override", lasting=True),
+    Rule("R0040", "ast04", 5.4, True, "manifest", "brand official low_trust net_cap|secret", "disclaimer"),
+    Rule("R0041", "ast02", 5.8, True, "agent config", "auto_run exec fetch|secret"),
+    Rule("R0042", "ast02", 5.6, True, "docker", "docker_add entry", "integrity"),
+    Rule("R0043", "ast08", 5.4, True, "code manifest", "escape dynamic secret|fetch"),
+    Rule("R0044", "ast02", 5.2, True, "package config", "registry|mutable install"),
+    Rule("R0045", "ast02", 5.4, True, "package", "typosquat"),
+    Rule("R0046", "ast02", 3.6, False, "package", "registry install", "integrity"),
+    Rule("R0047", "ast02", 5.5, True, "ci", "ci_step fetch exec|secret"),
+    Rule("R0048", "ast01", 5.0, True, "skill", "lure binary run_binary"),
+    Rule("R0049", "ast01", 5.5, True, "skill", "fetch binary run_binary", "integrity", lasting=True, profile="base"),
+    Rule("R0050", "ast01", 5.3, True, "skill", "binary run_binary secret", "provenance", lasting=True, raw=True, profile="base"),
+    Rule("R0051", "ast01", 5.1, True, "startup", "startup fetch|exec"),
+    Rule("R0052", "ast02", 5.9, True, "package", "lifecycle fetch exec"),
+    Rule("R0053", "ast05", 5.8, True, "yaml doc manifest code", "yaml_tag"),
+    Rule("R0054", "ast06", 5.7, True, "docker manifest yaml", "host"),
+    Rule("R0055", "ast02", 5.8, True, "agent manifest", "hook exec endpoint|secret"),
+    Rule("R0056", "ast06", 5.4, True, "code manifest package", "plugin fetch no_approval"),
+    Rule("R0057", "ast07", 5.4, True, "code manifest package", "watch fetch load|dynamic"),
+    Rule("R0058", "ast05", 5.6, True, "code doc yaml", "deserialize untrusted|fetch", near=12),
+    Rule("R0059", "ast01", 5.1, True, "code", "exec untrusted", near=10),
+    Rule("R0060", "ast03", 5.0, True, "code manifest", "pii send evasion"),
+    Rule("R0061", "ast01", 5.6, True, "code manifest", "store send"),
+    Rule("R0062", "ast02", 5.7, True, "mcp", "install mutable|fetch no_approval"),
+    Rule("R0063", "ast01", 5.5, True, "code package manifest", "ide read|workspace send"),
+    Rule("R0064", "ast01", 5.5, True, "code manifest package", "extension broad send"),
+    Rule("R0065", "ast01", 5.7, True, "code manifest", "metadata_ip secret|cloud send", lasting=True),
+    Rule("R0066", "ast01", 5.6, True, "code manifest doc", "kube send", lasting=True),
+    Rule("R0067", "ast01", 5.4, True, "code manifest", "store read send"),
+    Rule("R0068", "ast02", 5.5, True, "ci", "ci_token send"),
+    Rule("R0069", "ast02", 5.6, True, "docker", "docker_add exec|entry", "integrity"),
+    Rule("R0070", "ast08", 5.3, True, "doc manifest code", "bypass update fetch exec|instruction_asset"),
+    Rule("R0071", "ast01", 5.4, True, "code manifest", "policy_file write|tamper no_approval|tamper"),
+    Rule("R0072", "ast10", 5.1, True, "any", "platform security_meta weaken identity_loss"),
+    Rule("R0073", "ast01", 5.7, True, "code manifest", "exec secret|send|decode|destroy"),
+    Rule("R0075", "ast01", 6.2, True, "code manifest", "secret send read"),
+    Rule("R0076", "ast01", 4.4, True, "code", "destroy"),
+    Rule("R0077", "ast01", 4.3, True, "code", "secret read|send|exec"),
+    Rule("R0078", "ast08", 4.0, True, "code", "send decode", profile="base"),
+    Rule("R0078", "ast08", 2.6, False, "code", "send decode", profile="broad"),
+    Rule("R0079", "ast01", 4.1, True, "code", "exec untrusted"),
+    Rule("R0080", "ast02", 6.4, True, "package", "lifecycle exec|fetch|decode"),
+    Rule("R0081", "ast02", 4.7, True, "package", "fetch shell"),
+    Rule("R0082", "ast02", 3.7, True, "code package config", "unpinned"),
+    Rule("R0083", "ast02", 5.9, True, "package", "publish exec|send|decode|fetch"),
+    Rule("R0084", "ast02", 5.0, True, "package", "py_build exec|send|fetch"),
+    Rule("R0085", "ast03", 4.1, False, "manifest", "capability broad_cap|net_cap"),
+    Rule("R0086", "ast04", 4.4, True, "manifest", "override|bypass"),
+    Rule("R0087", "ast04", 4.2, False, "manifest", "policy_file memory|endpoint"),
+    Rule("R0088", "ast04", 3.6, False, "code", "override"),
+    Rule("R0089", "ast05", 5.8, True, "code", "deserialize"),
+    Rule("R0090", "ast05", 5.3, True, "code", "yaml_load", "yaml_safe"),
+    Rule("R0091", "ast05", 5.1, True, "code", "yaml_loader"),
+    Rule("R0092", "ast05", 4.8, True, "code", "deserialize untrusted"),
+    Rule("R0093", "ast05", 4.2, True, "code", "deserialize exec"),
+    Rule("R0094", "ast06", 5.0, True, "code docker yaml", "host", doc_weight=2.8),
+    Rule("R0095", "ast06", 5.1, True, "docker yaml manifest", "hostmount"),
+    Rule("R0096", "ast06", 4.3, True, "code", "extract traversal"),
+    Rule("R0097", "ast06", 3.9, True, "code", "traversal read|write"),
+    Rule("R0098", "ast07", 5.5, True, "code manifest package", "update fetch write|exec|dynamic", doc_weight=3.5),
+    Rule("R0099", "ast07", 5.2, True, "code", "fetch write plugin|config_url"),
+    Rule("R0100", "ast07", 5.4, True, "code manifest", "config_url fetch write|exec|load", doc_weight=3.4),
+    Rule("R0101", "ast08", 5.2, True, "code", "decode exec", profile="base"),
+    Rule("R0102", "ast08", 4.2, False, "code", "analysis exec|send|decode"),
+    Rule("R0103", "ast09", 2.9, False, "any", "governance"),
+    Rule("R0104", "ast10", 5.2, True, "any", "reuse cloud|secret send|read", doc_weight=2.4, profile="base"),
+    Rule("R0105", "ast10", 5.1, True, "code config", "store reuse send|read", profile="base"),
+    Rule("R0106", "ast10", 5.0, True, "code config", "cloud reuse send|read", profile="base"),
+    Rule("R0139", "ast01", 4.9, True, "code", "startup exec|write|send", profile="broad"),
+    Rule("R0140", "ast01", 4.7, True, "code manifest config", "exfil secret|send|read", profile="broad"),
+    Rule("R0141", "ast04", 4.1, True, "doc", "actor exfil|override", profile="broad"),
+    Rule("R0142", "ast01", 5.8, True, "code", "secret send", profile="broad"),
+    Rule("R0143", "ast02", 3.9, False, "package", "mutable send|exec|install", profile="broad"),
+    Rule("R0144", "ast03", 3.6, False, "manifest", "store|hostmount read|write", profile="broad"),
+    Rule("R0145", "ast08", 5.2, True, "code", "decode exec analysis", profile="broad"),
+    Rule("R0146", "ast01", 4.9, True, "code", "decode exec", "analysis", profile="broad"),
+    Rule("R0147", "ast10", 4.8, False, "any", "platform reuse", profile="broad"),
+    Rule("R0148", "ast01", 4.6, True, "code", "store", profile="broad"),
+)
+
+# Over packages: ``signal@scope`` means that some file of the scope shows the signal; ``a+b@scope`` both in one file.
+PACKAGE_RULES = (
+    Rule("R0107", "ast03", 3.8, True, "", "broad_cap@manifest exec@code|send@code"),
+    Rule("R0108", "ast02", 6.6, True, "", "lifecycle@package fetch+exec@install"),
+    Rule("R0109", "ast02", 6.1, True, "", "py_build@package fetch+exec@code"),
+    Rule("R0110", "ast01", 4.0, True, "", "websocket@code|config_url@code exec@code"),
+    Rule("R0111", "ast01", 4.2, True, "", "send@code secret@code"),
+    Rule("R0112", "ast08", 3.4, False, "", "decode@code dynamic@code"),
+    Rule("R0113", "ast01", 5.4, True, "", "broad@manifest secret+send@code", profile="base"),
+    Rule("R0114", "ast07", 5.5, True, "", "config_url@code load@code fetch@code", profile="base"),
+    Rule("R0115", "ast06", 5.3, True, "", "metadata_ip@code send@code|secret@code|exec@code", profile="base"),
+    Rule("R0116", "ast10", 5.1, True, "", "platform+security_meta@any weaken@any identity_loss@any"),
+    Rule("R0117", "ast04", 5.2, True, "", "net_off@manifest send@code secret@code|exec@code|destroy@code"),
+    Rule("R0118", "ast04", 5.2, True, "", "shell_off@manifest exec@code send@code|secret@code|decode@code|destroy@code"),
+    Rule("R0119", "ast04", 5.3, True, "", "low_risk@manifest send@code secret@code|exec@code|destroy@code"),
+    Rule("R0120", "ast08", 5.2, True, "", "clean@manifest send@code|decode@code secret@code|exec@code"),
+    Rule("R0122", "ast02", 6.2, True, "", "lifecycle@package fetch+exec@install", profile="base"),
+    Rule("R0123", "ast01", 5.8, True, "", "store@code send@code", profile="base"),
+    Rule("R0124", "ast06", 5.4, True, "", "plugin@code fetch@code no_approval@any", profile="base"),
+    Rule("R0125", "ast07", 5.4, True, "", "watch@code fetch@code load@code", profile="base"),
+    Rule("R0126", "ast06", 5.5, True, "", "host@docker|startup@startup send@code|secret@code", profile="base"),
+    Rule("R0127", "ast05", 5.5, True, "", "deserialize@code untrusted@code", profile="base"),
+    Rule("R0128", "ast02", 5.6, True, "", "install@mcp no_approval@any", profile="base"),
+    Rule("R0129", "ast01", 5.7, True, "", "cloud@code|kube@code send@code", profile="base"),
+    Rule("R0130", "ast02", 5.5, True, "", "ci_token@ci send@ci", profile="base"),
+    Rule("R0131", "ast01", 5.4, True, "", "policy_file@code tamper@code send@code|load@code", profile="base"),
+    Rule("R0133", "ast01", 5.9, True, "", "store@code send@any", profile="base"),
+    Rule("R0134", "ast02", 5.9, True, "", "lifecycle@package fetch@code exec@code", profile="base"),
+    Rule("R0135", "ast05", 5.6, True, "", "deserialize@code untrusted@any", profile="base"),
+    Rule("R0136", "ast07", 5.5, True, "", "update@code|watch@code fetch@code load@code", profile="base"),
+    Rule("R0137", "ast06", 5.5, True, "", "plugin@code|plugin@manifest fetch@code no_approval@code|no_approval@manifest", profile="base"),
+    Rule("R0149", "ast01", 4.4, True, "", "startup@code exec@code|send@code|secret@code", profile="broad"),
+    Rule("R0150", "ast10", 4.6, False, "", "platform@any reuse@any", profile="broad"),
+)
+
+# Path parts of the scopes that roles do not cover.
+SCOPE_PARTS = {
+    "agent": (".claude", ".cursor", ".vscode", "mcp", "settings.json", "hooks"),
+    "mcp": ("mcp",),
+    "ci": (".github/workflows/", ".gitlab-ci", "jenkinsfile", "azure-pipelines"),
+    "docker": ("dockerfile", "containerfile", "compose."),
+    "yaml": (".yaml", ".yml"),
+    "startup": (".plist", ".service", "autostart", "crontab", "launchagents"),
+    "install": ("install", "update", "setup.py"),
+}
+NATIVE = r"\.(exe|dll|so|dylib|bin|wasm|class)$"
+SKILL_NAMES = ("skill.md", "agents.md", "claude.md", ".cursorrules")
+
+
+def scopes(path: Column) -> dict[str, Column]:
+    out = {"any": F.lit(True), "doc": is_doc(path), "code": is_code(path), "manifest": is_manifest(path), "package": is_package(path), "config": is_text_config(path)}
+    out["skill"] = out["doc"] | out["manifest"] | base_name(path).isin(*SKILL_NAMES) | path.contains(".cursor")
+    return out | {name: has_part(path, parts) for name, parts in SCOPE_PARTS.items()}
+
+
+def _terms(needs: str) -> list[list[str]]:
+    return [t.split("|") for t in needs.split()]
+
+
+def _all(terms: list[list[str]], holds) -> Column:
+    out = F.lit(True)
+    for t in terms:
+        either = F.lit(False)
+        for s in t:
+            either = either | holds(s)
+        out = out & either
+    return out
+
+
+def _named(terms: list[list[str]], name) -> Column:
+    """``_all`` over columns by name, as one expression: rules are many, and a Column object for each operator is slow to build."""
+    return F.expr(" AND ".join("(" + " OR ".join(name(s) for s in t) + ")" for t in terms))
+
+
+def _near(text: Column, rule: Rule) -> Column:
+    lines = F.split(text, "\n", -1)
+    left, right = ([w for s in t for w in SIGNALS[s]] for t in _terms(rule.needs)[:2])
+
+    def numbers(words) -> Column:
+        return F.filter(F.transform(lines, lambda x, i: F.when(any_of(x, tuple(words)), i)), lambda i: i.isNotNull())
+
+    both = F.transform(F.array(F.struct(numbers(left).alias("a"), numbers(right).alias("b"))), lambda p: F.exists(p["a"], lambda a: F.exists(p["b"], lambda b: F.abs(a - b) <= rule.near)))
+    return both[0]
+
+
+def _same_script(text: Column) -> Column:
+    """Whether a script named on a line that downloads is run under the same name: the names of both kinds of line are met as
+    sets, so the cost is linear in the text."""
+    name = r"([\w.-]+\.(?:sh|py|js|ps1|bash|rb|pl))\b"
+    got = F.regexp_extract_all(text, F.lit(r"(?:curl|wget|invoke-webrequest)[^\n]*?" + name), F.lit(1))
+    run = F.regexp_extract_all(text, F.lit(r"(?:^|[\n;&|`])\s*(?:(?:bash|sh|python3?|node|source|chmod \+x|sudo)\s+|\./)+(?:[\w.-]*/)*" + name), F.lit(1))
+    return F.arrays_overlap(got, run)
+
+
+def _pieces(text: Column, within: str) -> Column:
+    return F.split(text, r"\n[ \t]*\n") if within == "block" else F.regexp_extract_all(text, F.lit(r"(?s)<!--(.*?)(?:-->|\z)"), F.lit(1))
+
+
+def with_signals(files: DataFrame, names) -> DataFrame:
+    """``files(skill_id, rel, text)`` with the lower-case ``low``, the active ``view``, ``teaching``, a boolean ``s_<signal>`` over
+    the view for each name, and a boolean ``in_<scope>`` for each scope. A null text is empty."""
+    path = normalized(F.col("rel"))
+    out = files.withColumns({"low": F.lower(F.coalesce("text", F.lit(""))), **{f"in_{k}": v for k, v in scopes(path).items()}})
+    out = out.withColumn("view", F.when(F.col("in_doc"), active_view(F.col("low"))).otherwise(F.col("low")))
+    return out.withColumns({"teaching": teaching_context(F.col("low")), "is_mock": any_of(F.col("low"), MOCK_MARKS), "is_risky": risky_block(F.col("view")), **{f"s_{n}": signal(F.col("view"), n) for n in sorted(names)}})
+
+
+def used_signals(rules=RULES) -> set[str]:
+    return {s.split("@")[0] for r in rules for t in [*_terms(r.needs), *_terms(r.unless)] for x in t for s in x.split("@")[0].split("+")}
+
+
+#: What every finding row holds.
+FINDING = ("skill_id", "file", "rule_id", "category", "weight", "strong", "lasting", "profile", "is_doc", "mock", "risky", "verified", "line", "reason")
+
+
+def _no_file() -> dict[str, Column]:
+    return {"is_doc": F.lit(False), "mock": F.lit(False), "risky": F.lit(False), "verified": F.lit(False), "line": F.lit(0).cast("bigint")}
+
+
+def reason(r: Rule) -> str:
+    """What a rule's finding says, from its signals."""
+    how = f"within {r.near} lines" if r.near else f"in one {r.within}" if r.within else "across files" if "@" in r.needs else "in one file"
+    parts = [" or ".join(x.split("@")[0].replace("+", " with ").replace("_", " ") for x in t) for t in _terms(r.needs)]
+    return f"{', '.join(parts)} {how}" if parts else "bundled native executable"
+
+
+def _finding(r: Rule, doc: str) -> Column:
+    """The fixed values of a rule as one expression; ``doc`` is the SQL name of the flag that makes a rule with ``doc_weight`` weak."""
+    weak = doc if r.doc_weight else "false"
+    return F.expr(
+        f"named_struct('rule_id', '{r.rule_id}', 'category', '{r.category}', 'weight', IF({weak}, double({r.doc_weight}), double({r.weight})), 'strong', {str(r.strong).lower()} AND NOT {weak}, "
+        f"'lasting', {str(r.lasting).lower()}, 'profile', '{r.profile}', 'reason', '{reason(r)}')"
+    )
+
+
+def file_hits(rules: tuple[Rule, ...] = RULES) -> Column:
+    """array of the rules that hold for a row of a ``with_signals`` table; null entries are gone."""
     hits = []
     for r in rules:
-        holds = F.lit(True)
-        for g in r.groups:
-            holds = holds & contains_any(low, g)
-        if r.paths:
-            holds = holds & has_part(path, r.paths)
-        if r.scope != "any":
-            holds = holds & (is_doc(path) if r.scope == "doc" else is_code(path))
-        fields = F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.weight).alias("weight"), F.lit(r.strong).alias("strong"))
-        hits.append(F.when(F.coalesce(holds, F.lit(False)), fields))
-    found = F.filter(F.array(*hits), lambda h: h.isNotNull())
-    return files.select("skill_id", F.col("rel").alias("file"), is_doc(path).alias("is_doc"), "text", F.explode(found).alias("hit")).select("skill_id", "file", "is_doc", "text", "hit.*")
+        text = F.col("low") if r.raw else F.col("view")
+        by_signal = (lambda s: signal(F.col("low"), s)) if r.raw else (lambda s: F.col(f"s_{s}"))
+        holds = _named([r.scope.split()], lambda s: f"in_{s}") & (_all(_terms(r.needs), by_signal) if r.raw else _named(_terms(r.needs), lambda s: f"s_{s}"))
+        if r.near:
+            holds = holds & _near(text, r)
+        if r.within == "script":
+            holds = holds & _same_script(text)
+        elif r.within:
+            # The cheap test over the whole text comes first.
+            holds = holds & F.exists(_pieces(text, r.within), lambda p: _all(_terms(r.needs), lambda s: signal(p, s)) & (~_all(_terms(r.unless), lambda s: signal(p, s)) if r.unless else F.lit(True)))
+        if r.unless and r.within not in ("block", "comment"):
+            holds = holds & ~_all(_terms(r.unless), by_signal)
+        hits.append(F.when(holds, _finding(r, "in_doc")))
+    none = F.filter(F.array(*hits), lambda h: F.lit(False))
+    return F.when(F.col("teaching") & F.col("in_skill"), none).otherwise(F.filter(F.array(*hits), lambda h: h.isNotNull()))
+
+
+def file_findings(marked: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``FINDING`` rows of a ``with_signals`` table, each with what scoring needs to know of its file. Nothing is shuffled."""
+    of_file = {**_no_file(), "is_doc": F.col("in_doc"), "mock": F.col("is_mock"), "risky": F.col("is_risky")}
+    return marked.select("skill_id", F.col("rel").alias("file"), "in_doc", "is_mock", "is_risky", F.explode(file_hits(rules)).alias("hit")).select("*", "hit.*").withColumns(of_file).select(*FINDING)
+
+
+def _rows(df: DataFrame, file: Column, hits: Column) -> DataFrame:
+    return df.select("skill_id", file.alias("file"), hits.alias("hit")).select("skill_id", "file", "hit.*").withColumns(_no_file()).select(*FINDING)
+
+
+def _flag_names(rules) -> list[str]:
+    return sorted({f for r in rules for t in _terms(r.needs) for f in t})
+
+
+def _flag(name: str) -> str:
+    signals, scope = name.split("@")
+    return f"in_{scope} AND NOT (teaching AND in_skill) AND " + " AND ".join(f"s_{s}" for s in signals.split("+"))
+
+
+def file_flags(rules: tuple[Rule, ...] = PACKAGE_RULES) -> Column:
+    """array of the names of the flags that a file raises for the rules over packages."""
+    return F.filter(F.expr("array(" + ", ".join(f"IF({_flag(n)}, '{n}', NULL)" for n in _flag_names(rules)) + ")"), lambda f: f.isNotNull())
+
+
+def package_hits(raised, rules: tuple[Rule, ...] = PACKAGE_RULES) -> Column:
+    """array of the rules that hold for a package; ``raised(flag)`` is SQL for whether one of its files raises a flag."""
+    return F.filter(F.array(*[F.when(_named(_terms(r.needs), raised), _finding(r, "false")) for r in rules]), lambda h: h.isNotNull())
+
+
+def package_findings(marked: DataFrame, rules: tuple[Rule, ...] = PACKAGE_RULES) -> DataFrame:
+    """Findings that need several files of a package, under the file name ``multi-file``. One partial aggregate of booleans."""
+    names = _flag_names(rules)
+    number = {n: f"f{k}" for k, n in enumerate(names)}
+    flags = marked.groupBy("skill_id").agg(*[F.expr(f"bool_or({_flag(n)})").alias(number[n]) for n in names])
+    return _rows(flags, F.lit("multi-file"), F.explode(package_hits(lambda n: number[n], rules)))
+
+
+BUNDLED = Rule("R0121", "ast01", 5.5, True, "", "", lasting=True)
+PERIMETER = Rule("R0007", "ast01", 2.8, False, "", "")
+
+
+def run_names() -> Column:
+    """array of the names that a document of a ``with_signals`` table tells to run, without saying where they come from."""
+    names = F.array_distinct(F.regexp_extract_all(F.col("low"), F.lit(r"(?:\./|bin/|run (?:the )?|start (?:the )?|execute (?:the )?|launch (?:the )?|chmod \+x |`)([\w-]+(?:\.[\w-]+)*)"), F.lit(1)))
+    return F.when(F.col("in_doc") & F.col("s_run_binary") & ~F.col("s_provenance"), names).otherwise(F.array().cast("array<string>"))

@@ -1,7 +1,8 @@
-"""From findings to verdicts: dampened weights, category scores, the leading category, and thresholds.
+"""From findings to verdicts: dampened weights, category scores, root-cause calibration, thresholds, the cap on documents, the
+choice between the two profiles, completeness, and evidence.
 
-Findings are grouped by package and category with map-side sums, so a package with very many findings is never one task's
-list; from there on a package is one row with a score for each of the ten categories.
+Findings are grouped by package and profile with map-side sums, so a package with very many findings is never one task's list;
+from there on a package is one row with a score for each of the ten categories.
 """
 
 from __future__ import annotations
@@ -9,39 +10,82 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.functions.lexicon import any_of
+from riskweave.functions.text import display_path
+
 # Categories, which of equal scores leads, weights and limits.
 CATEGORIES = tuple(f"ast{k:02d}" for k in range(1, 11))
 LEADING = ("ast01", "ast02", "ast05", "ast06", "ast07", "ast10", "ast04", "ast03", "ast08", "ast09")
 TEST_PATHS = ("readme", "docs/", "examples/", "sample", "fixture", "test")
 MOCK_MARKS = ("mock", "unit test", "test fixture", "synthetic", "example only", "demo only")
 PATH_FACTOR, DOC_FACTOR, MOCK_FACTOR = 0.65, 0.75, 0.75
+AUTH_FACTOR, AUTH_CLAIM_FACTOR = 0.04, 0.08
+AUTH_RULES = ("R0075", "R0077", "R0037", "R0111", "R0123", "R0133", "R0150", "R0147", "R0104")
+AUTH_CLAIM_RULES = ("R0119", "R0120")
 BLEND, BLEND_CAP = 0.18, 4.0
 MALICIOUS, MALICIOUS_STRONG, MALICIOUS_BLENDED, STRONG_FINDINGS = 4.65, 3.25, 5.35, 2
 SUSPICIOUS, SUSPICIOUS_BLENDED = 1.75, 2.35
 MODIFIER, MODIFIER_LEAST = "ast09", 1.8
+INCOMPLETE_CATEGORY, INCOMPLETE_SCORE = "ast08", 2.5
+VERIFIED_LEAST, VERIFIED_ORDER = 5.5, ("ast02", "ast05", "ast06", "ast07", "ast01")
+CAPPED_WITHOUT_STRONG = ("ast10", "ast04", "ast06", "ast08")
+CAPPED_IN_DOCS, CAPPED_IN_DOCS_UNLESS_RISKY = ("ast04", "ast06"), ("ast10", "ast08", "ast01")
+PROMOTION = {"ast01": 5.0, "ast02": 5.0, "ast05": 5.0, "ast06": 5.0, "ast07": 5.0, "ast04": 6.2, "ast08": 6.0, "ast10": 7.5}
+LABELS = {
+    "ast01": "malicious skill behavior", "ast02": "supply-chain compromise", "ast03": "excessive authorization", "ast04": "insecure metadata", "ast05": "unsafe deserialization", "ast06": "weak isolation", "ast07": "update drift",
+    "ast08": "insufficient scanning or evasion", "ast09": "governance weakness", "ast10": "cross-platform reuse",
+}
+EVIDENCE_BYTES, AUDITED = 420, 8
+
+# Root causes, first match first: (category, least score, others that must be lower than, ast01 at most this above it).
+_BEFORE_04 = {"ast02": 6.0, "ast05": 5.2, "ast06": 5.0}
+LADDER = {
+    "base": (
+        ("ast02", 6.0, {}, 6.5), ("ast05", 5.2, {}, 3.5), ("ast06", 5.0, {}, 3.5), ("ast07", 5.5, {"ast02": 6.0}, 3.5), ("ast04", 8.0, _BEFORE_04, 3.0), ("ast04", 5.2, _BEFORE_04, 1.5), ("ast10", 4.5, {}, 4.0),
+    ),
+    "broad": (
+        ("ast04", 8.0, _BEFORE_04, 8.0), ("ast01", 8.5, {**_BEFORE_04, "ast07": 5.5}, None), ("ast02", 6.0, {}, 6.5), ("ast05", 5.2, {}, 3.5), ("ast06", 5.0, {}, 3.5), ("ast07", 5.5, {"ast02": 6.0}, 3.5),
+        ("ast04", 8.0, _BEFORE_04, 3.0), ("ast04", 5.2, _BEFORE_04, 1.5), ("ast10", 4.8, {"ast01": 5.0, "ast02": 5.0, "ast07": 5.0}, None),
+    ),
+}
+DRIFT_WITH_SUPPLY = 4.0
+
+
+def _factor(condition: Column, value: float) -> Column:
+    return F.when(F.coalesce(condition, F.lit(False)), value).otherwise(1.0)
 
 
 def dampened(findings: DataFrame) -> DataFrame:
-    """``findings(skill_id, category, weight, strong, file, is_doc, text)`` with ``score``: weak findings in documents, test
-    paths and mocks count less."""
-    from riskweave.functions.paths import has_part
-    from riskweave.functions.text import contains_any
-
-    def factor(condition: Column, value: float) -> Column:
-        return F.when(F.coalesce(condition, F.lit(False)), value).otherwise(1.0)
-
-    weak = F.col("weight") * factor(has_part(F.lower("file"), TEST_PATHS), PATH_FACTOR) * factor(F.col("is_doc"), DOC_FACTOR) * factor(contains_any(F.lower("text"), MOCK_MARKS), MOCK_FACTOR)
-    return findings.withColumn("score", F.when(F.col("strong"), F.col("weight")).otherwise(weak))
-
-
-def category_scores(findings: DataFrame) -> DataFrame:
-    """One row per package: a score and a number of strong findings for each category."""
-    columns = []
+    """``findings(rule_id, category, weight, strong, file, is_doc, mock, only_expected_auth, flow_truncated)`` with ``score`` and
+    ``counts`` (strong after the flow factor): weak findings in documents, test paths and mocks count less, and credential
+    findings hardly count where credentials only go to their own services."""
+    auth = F.coalesce("only_expected_auth", F.lit(False)) & ~F.coalesce("flow_truncated", F.lit(False))
+    flow = F.when(auth & F.col("rule_id").isin(*AUTH_RULES), AUTH_FACTOR).when(auth & F.col("rule_id").isin(*AUTH_CLAIM_RULES), AUTH_CLAIM_FACTOR).otherwise(1.0)
+    weak = _factor(any_of(F.lower("file"), TEST_PATHS), PATH_FACTOR) * _factor(F.col("is_doc"), DOC_FACTOR) * _factor(F.col("mock"), MOCK_FACTOR)
+    score = F.when(F.col("strong"), F.col("weight")).otherwise(F.col("weight") * weak)
+    return findings.withColumn("score", score * flow).withColumn("counts", F.col("strong") & (flow >= 0.5))
+
+
+def category_scores(findings: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per package and profile: for each category a score, the number of strong findings that count, and whether strong
+    findings exist, last, lie outside documents, or lie in risky documents; and the best verified flow. A row stands for ``n``
+    findings where there is such a column; ``carry``: columns that are the same in all rows of a package."""
+    columns = [F.first(c).alias(c) for c in carry]
+    n = F.col("n") if "n" in findings.columns else F.lit(1)
     for c in CATEGORIES:
         mine = F.col("category") == c
-        columns.append(F.coalesce(F.sum(F.when(mine, F.col("score"))), F.lit(0.0)).alias(c))
-        columns.append(F.count_if(mine & F.col("strong")).alias(f"strong_{c}"))
-    return findings.groupBy("skill_id").agg(*columns)
+        strong = mine & F.col("strong")
+        columns += [
+            F.round(F.coalesce(F.sum(F.when(mine, F.col("score") * n)), F.lit(0.0)), 9).alias(c),
+            F.coalesce(F.sum(F.when(mine & F.col("counts"), n)), F.lit(0)).cast("bigint").alias(f"strong_{c}"),
+            F.coalesce(F.bool_or(strong), F.lit(False)).alias(f"any_{c}"),
+            F.coalesce(F.bool_or(strong & F.col("lasting")), F.lit(False)).alias(f"lasting_{c}"),
+            F.coalesce(F.bool_or(strong & ~F.col("is_doc")), F.lit(False)).alias(f"outside_{c}"),
+            F.coalesce(F.bool_or(strong & F.col("risky")), F.lit(False)).alias(f"risky_{c}"),
+            F.coalesce(F.max(F.when(mine & F.col("verified"), F.col("weight"))), F.lit(0.0)).alias(f"flow_{c}"),
+        ]
+    both = findings.withColumn("profile", F.explode(F.when(F.col("profile") == "both", F.array(F.lit("base"), F.lit("broad"))).otherwise(F.array("profile"))))
+    return both.groupBy("skill_id", "profile").agg(*columns)
 
 
 def _leading(exclude: str | None = None) -> Column:
@@ -54,25 +98,119 @@ def _of(prefix: str, category: Column) -> Column:
     return F.coalesce(*[F.when(category == c, F.col(f"{prefix}{c}")) for c in CATEGORIES])
 
 
-def verdicts(scores: DataFrame) -> DataFrame:
-    """skill_id, verdict, category, score, blended of each row of ``category_scores``."""
+def _rung(category: str, least: float, below: dict[str, float], above: float | None) -> Column:
+    out = F.col(category) >= least
+    for c, limit in below.items():
+        out = out & (F.col(c) < limit)
+    if above is not None:
+        near = F.col("ast01") <= F.col(category) + above
+        out = out & ((F.col("ast07") >= DRIFT_WITH_SUPPLY) | near if category == "ast02" else near)
+    return out
+
+
+def calibrated() -> Column:
+    """The category of a score row: a verified flow's, else the first rung of its profile's ladder, else the leading one."""
+    flows = [F.when((F.col(c) >= VERIFIED_LEAST) & (F.col(f"flow_{c}") > 0), F.struct(F.col(f"flow_{c}").alias("w"), F.lit(-k).alias("k"), F.lit(c).alias("c"))) for k, c in enumerate(VERIFIED_ORDER)]
+    chosen = [F.array_max(F.filter(F.array(*flows), lambda f: f.isNotNull()))["c"]]
+    for profile, rungs in LADDER.items():
+        arms = [F.when(_rung(*r), r[0]) for r in rungs]
+        chosen.append(F.when(F.col("profile") == profile, F.coalesce(*arms)))
+    return F.coalesce(*chosen, F.col("top.category"))
+
+
+def capped(verdict: Column, category: Column) -> Column:
+    """Malicious becomes suspicious where all strong findings of the category are in documents and none lasts."""
+    none = ~_of("any_", category)
+    docs_only = ~none & ~_of("lasting_", category) & ~_of("outside_", category)
+    cap = (none & category.isin(*CAPPED_WITHOUT_STRONG)) | (docs_only & (category.isin(*CAPPED_IN_DOCS) | (category.isin(*CAPPED_IN_DOCS_UNLESS_RISKY) & ~_of("risky_", category))))
+    return F.when((verdict == "malicious") & cap, "suspicious").otherwise(verdict)
+
+
+def verdicts(scores: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """skill_id, profile, verdict, category, lead (the category before a benign verdict clears it), score, blended, strong,
+    condition and the ten scores of each row of ``category_scores``."""
     first = scores.withColumn("top", _leading()).withColumn("other", _leading(MODIFIER))
-    blended = F.col("top.score")
+    first = first.withColumn("lead0", calibrated())
+    blended = _of("", F.col("lead0"))
     for c in CATEGORIES:
-        blended = blended + F.when(F.col("top.category") == c, 0.0).otherwise(F.least(F.col(c), F.lit(BLEND_CAP)) * BLEND)
+        blended = blended + F.when(F.col("lead0") == c, 0.0).otherwise(F.least(F.col(c), F.lit(BLEND_CAP)) * BLEND)
     # The blend is taken before a governance finding gives way to a stronger neighbour, and is not taken again.
-    weak = (F.col("top.category") == MODIFIER) & (F.col("other.score") >= MODIFIER_LEAST)
-    chosen = first.withColumn("blended", blended).withColumn("top", F.when(weak, F.col("other")).otherwise(F.col("top")))
-    strong_here = _of("strong_", F.col("top.category"))
-    strong_all = sum((F.col(f"strong_{c}") for c in CATEGORIES), F.lit(0))
-    score = F.col("top.score")
-    malicious = (score >= MALICIOUS) | ((score >= MALICIOUS_STRONG) & (strong_here >= 1)) | (F.col("blended") >= MALICIOUS_BLENDED) | (strong_all >= STRONG_FINDINGS)
-    suspicious = (score >= SUSPICIOUS) | (F.col("blended") >= SUSPICIOUS_BLENDED)
-    verdict = F.when(malicious, "malicious").when(suspicious, "suspicious").otherwise("benign")
-    return chosen.withColumn("verdict", verdict).select(
-        "skill_id",
-        "verdict",
-        F.when(F.col("verdict") == "benign", "benign").otherwise(F.col("top.category")).alias("category"),
-        F.round("top.score", 6).alias("score"),
-        F.round("blended", 6).alias("blended"),
+    weak = (F.col("lead0") == MODIFIER) & (F.col("other.score") >= MODIFIER_LEAST)
+    chosen = first.withColumn("blended", F.round(blended, 6)).withColumn("lead", F.when(weak, F.col("other.category")).otherwise(F.col("lead0")))
+    chosen = chosen.withColumns({"score": F.round(_of("", F.col("lead")), 6), "strong": _of("strong_", F.col("lead")), "strong_all": sum((F.col(f"strong_{c}") for c in CATEGORIES), F.lit(0))})
+    conditions = (
+        ("malicious", F.col("score") >= MALICIOUS, "max_score_gte_4.65"),
+        ("malicious", (F.col("score") >= MALICIOUS_STRONG) & (F.col("strong") >= 1), "category_score_gte_3.25_with_strong"),
+        ("malicious", F.col("blended") >= MALICIOUS_BLENDED, "blended_score_gte_5.35"),
+        ("malicious", F.col("strong_all") >= STRONG_FINDINGS, "multiple_strong_findings"),
+        ("suspicious", F.col("score") >= SUSPICIOUS, "max_score_gte_1.75"),
+        ("suspicious", F.col("blended") >= SUSPICIOUS_BLENDED, "blended_score_gte_2.35"),
+    )
+    raw = F.coalesce(*[F.when(c, v) for v, c, _ in conditions], F.lit("benign"))
+    judged = chosen.withColumn("verdict", capped(raw, F.col("lead")))
+    named = F.coalesce(*[F.when((F.col("verdict") == v) & c, n) for v, c, n in conditions], F.lit("below_risk_thresholds"))
+    return judged.select(
+        "skill_id", "profile", "verdict", F.when(F.col("verdict") == "benign", "benign").otherwise(F.col("lead")).alias("category"), "lead", "score", "blended", F.col("strong").cast("bigint").alias("strong"), named.alias("condition"), *CATEGORIES,
+        _of("any_", F.col("lead")).alias("any_strong"), *carry,
+    )
+
+
+def merged_profiles(judged: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row a package: the base profile's verdict, or the broad one's where base is benign and broad is certain enough."""
+    fields = F.struct(*[c for c in judged.columns if c not in ("skill_id", "profile", *carry)])
+    pair = judged.groupBy("skill_id").agg(*[F.first(c).alias(c) for c in carry], F.max(F.when(F.col("profile") == "base", fields)).alias("a"), F.max(F.when(F.col("profile") == "broad", fields)).alias("b"))
+    sure = F.coalesce(*[F.when(F.col("b.category") == c, F.col("b.score") >= least) for c, least in PROMOTION.items()], F.lit(False))
+    up = (F.coalesce("a.verdict", F.lit("benign")) == "benign") & (F.coalesce("b.verdict", F.lit("benign")) != "benign") & F.coalesce("b.any_strong", F.lit(False)) & sure
+    return pair.withColumn("layer", F.when(up, "explain-promotion").otherwise("base")).withColumn("r", F.when(up, F.col("b")).otherwise(F.col("a"))).select("skill_id", *carry, "layer", "r.*")
+
+
+def enforce_completeness(reports: DataFrame, status: DataFrame) -> DataFrame:
+    """``reports`` of all packages of ``status(skill_id, complete, summary)``; a package without findings is benign, and none that
+    was not read in full stays benign: it is suspicious."""
+    joined = status.select("skill_id", "complete", "summary").join(reports, "skill_id", "left")
+    filled = joined.withColumns({"verdict": F.coalesce("verdict", F.lit("benign")), "category": F.coalesce("category", F.lit("benign")), "score": F.coalesce("score", F.lit(0.0)), "layer": F.coalesce("layer", F.lit("base")), "condition": F.coalesce("condition", F.lit("below_risk_thresholds"))})
+    hit = ~F.col("complete") & (F.col("verdict") == "benign")
+    scores = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in CATEGORIES}
+    scores[INCOMPLETE_CATEGORY] = F.when(hit, F.greatest(scores[INCOMPLETE_CATEGORY], F.lit(INCOMPLETE_SCORE))).otherwise(scores[INCOMPLETE_CATEGORY])
+    return filled.withColumns({
+        **scores,
+        "verdict": F.when(hit, "suspicious").otherwise(F.col("verdict")), "category": F.when(hit, INCOMPLETE_CATEGORY).otherwise(F.col("category")), "score": F.when(hit, INCOMPLETE_SCORE).otherwise(F.col("score")),
+        "layer": F.when(hit, "completeness").otherwise(F.col("layer")), "condition": F.when(hit, "incomplete_scan").otherwise(F.col("condition")),
+    })
+
+
+def fingerprint(rule: Column, category: Column, file: Column, line: Column, reason: Column) -> Column:
+    basis = F.concat_ws("\0", rule, category, file, F.concat(line, F.lit(":"), line), F.when(line == 0, reason))
+    return F.concat(F.lit("sha256:"), F.sha2(basis, 256))
+
+
+def audited(hits: Column, category: Column, most: int = AUDITED) -> Column:
+    """The strongest of a package's findings in its category, at most ``most``, with fingerprints."""
+    rank = F.transform(
+        F.filter(hits, lambda h: h["category"] == category),
+        lambda h: F.struct((~h["verified"]).alias("a"), (~h["strong"]).alias("b"), (-h["weight"]).alias("c"), h["rule_id"].alias("rule_id"), h["file"].alias("file"), h["line"].alias("line"), h["n"].alias("n"), h["category"].alias("category"), h["reason"].alias("reason")),
     )
+    return F.transform(
+        F.slice(F.sort_array(rank), 1, most),
+        lambda h: F.struct(h["rule_id"].alias("rule_id"), h["category"].alias("category"), (-h["c"]).alias("weight"), (~h["b"]).alias("strong"), h["file"].alias("file"), h["line"].alias("start_line"), h["n"].alias("occurrences"), fingerprint(h["rule_id"], h["category"], h["file"], h["line"], h["reason"]).alias("finding_fingerprint"), h["reason"].alias("reason")),
+    )
+
+
+def cut_bytes(text: Column, most: int = EVIDENCE_BYTES) -> Column:
+    """One line without control characters, at most ``most`` bytes; a character that would be cut in two goes."""
+    plain = F.btrim(F.regexp_replace(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), r"\s+", " "))
+    head = F.regexp_replace(F.make_valid_utf8(F.substring(plain.cast("binary"), 1, most - 1).cast("string")), "�+$", "")
+    return F.when(F.octet_length(plain) > most, F.concat(head, F.lit("."))).otherwise(plain)
+
+
+def with_evidence(reports: DataFrame) -> DataFrame:
+    """``reports`` (with ``findings``) with ``evidence_text``: the leading finding, and the two next categories by score."""
+    others = F.filter(F.array(*[F.struct((-F.col(c)).alias("s"), F.lit(c).alias("c")) for c in CATEGORIES]), lambda x: (x["s"] < 0) & (x["c"] != F.col("category")))
+    second = F.array_join(F.transform(F.slice(F.sort_array(others), 1, 2), lambda x: F.concat(F.upper(x["c"]), F.lit("="), F.format_number(-x["s"], 1))), ", ")
+    first = F.try_element_at("findings", F.lit(1))
+    label = F.coalesce(*[F.when(F.col("category") == c, v) for c, v in LABELS.items()])
+    what = F.concat_ws(" ", F.upper("category"), F.concat(label, F.lit(":")), F.coalesce(display_path(first["file"]), F.lit("package files")), F.coalesce(first["reason"], F.lit("several related signals")))
+    risk = F.concat(what, F.when(second != "", F.concat(F.lit("; secondary signals: "), second)).otherwise(""), F.lit("."))
+    text = F.when(F.col("layer") == "completeness", F.concat(F.lit("AST08 completeness: scan incomplete: "), F.col("summary"), F.lit("; no benign verdict for a package that was not read in full."))).when(F.col("verdict") == "benign", F.lit("benign: no chain of risky signals was found in manifests and code.")).otherwise(risk)
+    prefixed = F.when(~F.col("complete") & (F.col("layer") != "completeness"), F.concat(F.lit("scan incomplete: "), F.col("summary"), F.lit("; "), text)).otherwise(text)
+    return reports.withColumn("evidence_text", cut_bytes(prefixed))

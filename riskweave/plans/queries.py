@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from riskweave.functions import text as T
 from riskweave.functions import urls as U
 from riskweave.functions.paths import CODE_ENDS, CONFIG_NAMES, DOC_ENDS, FIRST_PARTS, MANIFEST_NAMES, OPAQUE_ENDS, PACKAGE_NAMES, PACKAGE_PARTS, with_roles
-from riskweave.operators import evaluate, scoring
-from riskweave.operators.rules import RULES, apply_rules
+from riskweave.functions.lexicon import SIGNALS, TEACHING, any_of
+from riskweave.operators import evaluate, flow, scoring
+from riskweave.operators.external import external_addresses
+from riskweave.operators.rules import PACKAGE_RULES, RULES, SCOPE_PARTS, SKILL_NAMES, file_findings, package_findings, used_signals, with_signals
+from riskweave.plans.analyze import analyze
 
 # Inert texts: (package, path, text).
 CORPUS = (
@@ -45,15 +48,65 @@ def path_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_roles(corpus(spark).select("skill_id", "rel"))
 
 
+#: Rules that read one text as a whole; those over windows, blocks, comments and script names are tested against brute force.
+PLAIN_RULES = tuple(r for r in RULES if not (r.near or r.within))
+SIGNAL_SAMPLE = ("secret", "send", "fetch", "exec", "decode", "write", "persist", "automatic", "update", "pii")
+
+
 def rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_rules(corpus(spark)).select("skill_id", "file", "rule_id", "category", "weight", "strong")
+    marked = with_signals(corpus(spark), used_signals(PLAIN_RULES))
+    return file_findings(marked, PLAIN_RULES).select("skill_id", "file", "rule_id", "category", "weight", "strong", "profile")
+
+
+def cross_file_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return package_findings(with_signals(corpus(spark), used_signals(PACKAGE_RULES))).select("skill_id", "file", "rule_id", "category", "weight", "strong", "profile")
+
+
+def document_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = F.lower(F.coalesce("text", F.lit("")))
+    return _table(spark, sf_dir, "documents").select("doc_id", *[any_of(low, SIGNALS[n]).alias(f"s_{n}") for n in SIGNAL_SAMPLE])
 
 
 def package_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = corpus(spark)
-    judged = scoring.verdicts(scoring.category_scores(scoring.dampened(apply_rules(files))))
-    packages = files.select("skill_id").distinct()
-    return packages.join(judged, "skill_id", "left").select("skill_id", F.coalesce("verdict", F.lit("benign")).alias("verdict"), F.coalesce("category", F.lit("benign")).alias("category"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return analyze(corpus(spark)).select("skill_id", "verdict", "category", "score", "layer", "condition", "evidence_text")
+
+
+def package_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.flow_findings(flow.flow_rows(corpus(spark)))
+
+
+def address_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses in the visible text of pages, as in documents of packages."""
+    text = F.regexp_replace(F.coalesce("html", F.lit("")), "<(?!https?:)[^>]*>", " ")
+    return external_addresses(_table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("skill_id"), F.lit("page.md").alias("rel"), text.alias("text")))
+
+
+def _scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines stand for findings: an order is a package, its lines are findings of both profiles."""
+    key, number = F.col("l_orderkey"), F.col("l_linenumber")
+    return _table(spark, sf_dir, "lineitem").select(
+        key.alias("skill_id"), F.lit("R0076").alias("rule_id"), F.format_string("ast%02d", ((key * 3 + number * 7) % 10 + 1).cast("int")).alias("category"), (F.col("l_quantity").cast("int") % 9 / 2 + 0.5).cast("double").alias("weight"),
+        (F.col("l_returnflag") == "R").alias("strong"), F.when(number % 2 == 0, "docs/a.md").otherwise("b.py").alias("file"), (number % 2 == 0).alias("is_doc"), F.lit(False).alias("mock"), (F.col("l_linestatus") == "O").alias("risky"),
+        (number % 5 == 0).alias("lasting"), ((key + number) % 17 == 0).alias("verified"), F.when(key % 3 == 0, "base").when(key % 3 == 1, "broad").otherwise("both").alias("profile"), F.lit(None).cast("boolean").alias("only_expected_auth"), F.lit(None).cast("boolean").alias("flow_truncated"),
+    )
+
+
+def verdict_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = scoring.verdicts(scoring.category_scores(scoring.dampened(_scored_lines(spark, sf_dir))))
+    return judged.select("skill_id", "profile", "verdict", "category", "score", "blended", "strong", "condition")
+
+
+def verdict_flips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = F.when(F.col("quality") == 0, "malicious").otherwise("benign")
+    new = F.when(F.col("n_chars") < 500, "suspicious").otherwise("benign")
+    label = F.when(F.col("toxic") == 1, "malicious").when(F.col("toxic") == 0, "benign")
+    rows = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return evaluate.flips(rows.select(F.col("doc_id").alias("skill_id"), old.alias("old"), new.alias("new"), label.alias("label")), evaluate.POSITIVE["screening"])
+
+
+def finding_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.col("l_linenumber").cast("bigint") - 1
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scoring.fingerprint(F.lit("R0001"), F.lit("ast01"), F.concat(F.col("l_orderkey").cast("string"), F.lit(".py")), line, F.col("l_returnflag")).alias("finding_fingerprint"))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +148,13 @@ def secret_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "package_verdicts": package_verdicts,
     "rule_findings": rule_findings,
+    "cross_file_findings": cross_file_findings,
+    "document_signals": document_signals,
+    "package_flows": package_flows,
+    "address_inventory": address_inventory,
+    "verdict_ladder": verdict_ladder,
+    "verdict_flips": verdict_flips,
+    "finding_fingerprints": finding_fingerprints,
     "path_roles": path_roles,
     "confusion_matrix": confusion_matrix,
     "gate_counts": gate_counts,
@@ -121,33 +181,80 @@ _FILES = f"files(skill_id, rel, text) AS (VALUES {_values(CORPUS)}), named AS (S
 _ROLES = f"""roles AS (SELECT *, contains(b, 'manifest') OR {_sql_in("b", MANIFEST_NAMES)} OR contains(p, 'metadata/') AS is_manifest,
   {_sql_in("b", PACKAGE_NAMES)} OR {_sql_has("p", PACKAGE_PARTS)} AS is_package, b = '.env' OR starts_with(b, '.env.') OR {_sql_in("b", CONFIG_NAMES)} AS is_config,
   {_sql_ends("p", DOC_ENDS)} OR contains(p, 'docs/') AS is_doc, {_sql_ends("p", CODE_ENDS)} AS is_code, {_sql_ends("p", OPAQUE_ENDS)} AS is_opaque FROM named)"""
-_RULES = " UNION ALL ".join(
-    f"SELECT skill_id, rel AS file, is_doc, text, '{r.rule_id}' AS rule_id, '{r.category}' AS category, {r.weight}::DOUBLE AS weight, {r.strong} AS strong FROM roles WHERE "
-    + " AND ".join([*[_sql_has("lower(text)", g) for g in r.groups], *([_sql_has("p", r.paths)] if r.paths else []), *([f"is_{r.scope}"] if r.scope != "any" else [])])
-    for r in RULES
+
+
+def _sql_signal(name: str) -> str:
+    return _sql_has("low", SIGNALS[name])
+
+
+def _sql_all(needs: str, one) -> str:
+    return " AND ".join("(" + " OR ".join(one(s) for s in t.split("|")) + ")" for t in needs.split())
+
+
+_SKILL = f"(is_doc OR is_manifest OR {_sql_in('b', SKILL_NAMES)} OR contains(p, '.cursor'))"
+_SCOPES = {"any": "true", "doc": "is_doc", "code": "is_code", "manifest": "is_manifest", "package": "is_package", "config": "is_config", "skill": _SKILL, **{k: _sql_has("p", v) for k, v in SCOPE_PARTS.items()}}
+_MARKED = f"{_FILES}, {_ROLES}, marked AS (SELECT *, lower(text) AS low FROM roles), active AS (SELECT * FROM marked WHERE NOT ({_sql_has('low', TEACHING)} AND {_SKILL}))"
+
+
+def _sql_rule(r) -> str:
+    doc = f"is_doc AND {str(bool(r.doc_weight)).lower()}"
+    unless = f" AND NOT ({_sql_all(r.unless, _sql_signal)})" if r.unless else ""
+    return f"""SELECT skill_id, rel AS file, '{r.rule_id}' AS rule_id, '{r.category}' AS category, CASE WHEN {doc} THEN {r.doc_weight} ELSE {r.weight} END::DOUBLE AS weight, {r.strong} AND NOT ({doc}) AS strong, '{r.profile}' AS profile
+  FROM active WHERE ({" OR ".join(_SCOPES[x] for x in r.scope.split())}) AND {_sql_all(r.needs, _sql_signal)}{unless}"""
+
+
+def _sql_flag(name: str) -> str:
+    signals, scope = name.split("@")
+    return f"bool_or({_SCOPES[scope]} AND " + " AND ".join(_sql_signal(s) for s in signals.split("+")) + ")"
+
+
+def _sql_package_rule(r) -> str:
+    return f"SELECT skill_id, 'multi-file' AS file, '{r.rule_id}' AS rule_id, '{r.category}' AS category, {r.weight}::DOUBLE AS weight, {r.strong} AS strong, '{r.profile}' AS profile FROM active GROUP BY skill_id HAVING {_sql_all(r.needs, _sql_flag)}"
+
+
+def _sql_rung(c: str, least: float, below: dict[str, float], above: float | None) -> str:
+    near = "" if above is None else f" AND (ast07 >= {scoring.DRIFT_WITH_SUPPLY} OR ast01 <= ast02 + {above})" if c == "ast02" else f" AND ast01 <= {c} + {above}"
+    return f"{c} >= {least}" + "".join(f" AND {k} < {v}" for k, v in below.items()) + near
+
+
+_LADDER = "CASE " + " ".join(f"WHEN profile = '{p}' AND {_sql_rung(*r)} THEN '{r[0]}'" for p, rungs in scoring.LADDER.items() for r in rungs) + " END"
+_PICK = lambda prefix, cat: f"CASE {cat} " + " ".join(f"WHEN '{c}' THEN {prefix}{c}" for c in scoring.CATEGORIES) + " END"
+_IN = lambda names: "(" + ", ".join(f"'{n}'" for n in names) + ")"
+_BEST = lambda skip: "CASE greatest(" + ", ".join(c for c in scoring.LEADING if c != skip) + ") " + " ".join(f"WHEN {c} THEN '{c}'" for c in scoring.LEADING if c != skip) + " END"
+_FLOW_MAX = "greatest(" + ", ".join(f"CASE WHEN {c} >= {scoring.VERIFIED_LEAST} THEN flow_{c} ELSE 0 END" for c in scoring.VERIFIED_ORDER) + ")"
+_FLOW = "CASE WHEN flow_max <= 0 THEN NULL " + " ".join(f"WHEN {c} >= {scoring.VERIFIED_LEAST} AND flow_{c} = flow_max THEN '{c}'" for c in scoring.VERIFIED_ORDER) + " END"
+_BY_CATEGORY = ", ".join(
+    f"round(coalesce(sum(score) FILTER (category = '{c}'), 0), 9) AS {c}, count(*) FILTER (category = '{c}' AND strong) AS strong_{c}, coalesce(bool_or(lasting) FILTER (category = '{c}' AND strong), false) AS lasting_{c}, "
+    f"coalesce(bool_or(NOT is_doc) FILTER (category = '{c}' AND strong), false) AS outside_{c}, coalesce(bool_or(risky) FILTER (category = '{c}' AND strong), false) AS risky_{c}, coalesce(max(weight) FILTER (category = '{c}' AND verified), 0) AS flow_{c}"
+    for c in scoring.CATEGORIES
 )
-_RANK = ", ".join(f"('{c}', {k})" for k, c in enumerate(scoring.LEADING))
 _LABELLED = """judged AS (SELECT lang, CASE WHEN quality = 0 THEN 'malicious' WHEN n_chars < 500 THEN 'suspicious' ELSE 'benign' END AS verdict,
   CASE toxic WHEN 1 THEN 'malicious' WHEN 0 THEN 'benign' END AS label FROM labels JOIN documents USING (doc_id))"""
 
 ORACLES = {
     "path_roles": f"""WITH {_FILES}, {_ROLES} SELECT skill_id, rel, is_manifest, is_package, is_config, is_doc, is_code, is_opaque,
   CASE WHEN is_manifest OR is_package OR is_config OR b = 'skill.md' OR p LIKE '%.tf' OR {_sql_has("p", FIRST_PARTS)} THEN 0 WHEN is_code THEN 1 WHEN is_doc THEN 2 ELSE 3 END AS priority FROM roles""",
-    "rule_findings": f"WITH {_FILES}, {_ROLES} SELECT skill_id, file, rule_id, category, weight, strong FROM ({_RULES})",
-    "package_verdicts": f"""WITH {_FILES}, {_ROLES}, found AS ({_RULES}),
-scored AS (SELECT *, CASE WHEN strong THEN weight ELSE weight * CASE WHEN {_sql_has("lower(file)", scoring.TEST_PATHS)} THEN {scoring.PATH_FACTOR} ELSE 1 END
-  * CASE WHEN is_doc THEN {scoring.DOC_FACTOR} ELSE 1 END * CASE WHEN {_sql_has("lower(text)", scoring.MOCK_MARKS)} THEN {scoring.MOCK_FACTOR} ELSE 1 END END AS score FROM found),
-by_cat AS (SELECT skill_id, category, sum(score) AS score, count(*) FILTER (strong) AS strong FROM scored GROUP BY ALL),
-ranked AS (SELECT b.*, row_number() OVER (PARTITION BY skill_id ORDER BY score DESC, r.rank) AS k FROM by_cat b JOIN (VALUES {_RANK}) r(category, rank) USING (category)),
-totals AS (SELECT skill_id, sum(CASE WHEN k = 1 THEN score ELSE {scoring.BLEND} * least(score, {scoring.BLEND_CAP}) END) AS blended, sum(strong) AS strong_all FROM ranked GROUP BY skill_id),
-alt AS (SELECT skill_id, category, score, strong FROM ranked WHERE category <> '{scoring.MODIFIER}' QUALIFY row_number() OVER (PARTITION BY skill_id ORDER BY k) = 1),
-top AS (SELECT r.skill_id, CASE WHEN r.category = '{scoring.MODIFIER}' AND a.score >= {scoring.MODIFIER_LEAST} THEN a.category ELSE r.category END AS category,
-  CASE WHEN r.category = '{scoring.MODIFIER}' AND a.score >= {scoring.MODIFIER_LEAST} THEN a.score ELSE r.score END AS score,
-  CASE WHEN r.category = '{scoring.MODIFIER}' AND a.score >= {scoring.MODIFIER_LEAST} THEN a.strong ELSE r.strong END AS strong FROM ranked r LEFT JOIN alt a USING (skill_id) WHERE k = 1),
-v AS (SELECT skill_id, category, score, CASE WHEN score >= {scoring.MALICIOUS} OR (score >= {scoring.MALICIOUS_STRONG} AND strong >= 1) OR blended >= {scoring.MALICIOUS_BLENDED} OR strong_all >= {scoring.STRONG_FINDINGS} THEN 'malicious'
-  WHEN score >= {scoring.SUSPICIOUS} OR blended >= {scoring.SUSPICIOUS_BLENDED} THEN 'suspicious' ELSE 'benign' END AS verdict FROM top JOIN totals USING (skill_id))
-SELECT p.skill_id, coalesce(verdict, 'benign') AS verdict, CASE WHEN coalesce(verdict, 'benign') = 'benign' THEN 'benign' ELSE category END AS category, CAST(coalesce(round(score, 6), 0) AS DOUBLE) AS score
-FROM (SELECT DISTINCT skill_id FROM files) p LEFT JOIN v USING (skill_id)""",
+    "rule_findings": f"WITH {_MARKED} " + " UNION ALL ".join(_sql_rule(r) for r in PLAIN_RULES),
+    "cross_file_findings": f"WITH {_MARKED} " + " UNION ALL ".join(_sql_package_rule(r) for r in PACKAGE_RULES),
+    "document_signals": "WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents) SELECT doc_id, " + ", ".join(f"{_sql_signal(n)} AS s_{n}" for n in SIGNAL_SAMPLE) + " FROM d",
+    "verdict_ladder": f"""WITH f AS (SELECT l_orderkey AS skill_id, printf('ast%02d', (l_orderkey * 3 + l_linenumber * 7) % 10 + 1) AS category, CAST(l_quantity AS INT) % 9 / 2.0 + 0.5 AS weight, l_returnflag = 'R' AS strong,
+  l_linenumber % 2 = 0 AS is_doc, l_linestatus = 'O' AS risky, l_linenumber % 5 = 0 AS lasting, (l_orderkey + l_linenumber) % 17 = 0 AS verified, unnest(CASE l_orderkey % 3 WHEN 0 THEN ['base'] WHEN 1 THEN ['broad'] ELSE ['base', 'broad'] END) AS profile FROM lineitem),
+scored AS (SELECT *, CASE WHEN strong OR NOT is_doc THEN weight ELSE weight * {scoring.PATH_FACTOR} * {scoring.DOC_FACTOR} END AS score FROM f),
+g AS (SELECT skill_id, profile, {_BY_CATEGORY} FROM scored GROUP BY ALL),
+x AS (SELECT *, {_FLOW_MAX} AS flow_max FROM g),
+y AS (SELECT *, coalesce({_FLOW}, {_LADDER}, {_BEST("")}) AS lead0 FROM x),
+z AS (SELECT *, {_PICK("", "lead0")} + {" + ".join(f"CASE WHEN lead0 = '{c}' THEN 0 ELSE {scoring.BLEND} * least({c}, {scoring.BLEND_CAP}) END" for c in scoring.CATEGORIES)} AS blended0,
+  CASE WHEN lead0 = '{scoring.MODIFIER}' AND greatest({", ".join(c for c in scoring.CATEGORIES if c != scoring.MODIFIER)}) >= {scoring.MODIFIER_LEAST} THEN {_BEST(scoring.MODIFIER)} ELSE lead0 END AS lead FROM y),
+w AS (SELECT *, round(blended0, 6) AS blended, round({_PICK("", "lead")}, 6) AS score, {_PICK("strong_", "lead")} AS strong, {" + ".join(f"strong_{c}" for c in scoring.CATEGORIES)} AS strong_all, {_PICK("lasting_", "lead")} AS lasting,
+  {_PICK("outside_", "lead")} AS outside, {_PICK("risky_", "lead")} AS risky FROM z),
+v AS (SELECT *, CASE WHEN score >= {scoring.MALICIOUS} THEN 'max_score_gte_4.65' WHEN score >= {scoring.MALICIOUS_STRONG} AND strong >= 1 THEN 'category_score_gte_3.25_with_strong' WHEN blended >= {scoring.MALICIOUS_BLENDED} THEN 'blended_score_gte_5.35'
+  WHEN strong_all >= {scoring.STRONG_FINDINGS} THEN 'multiple_strong_findings' END AS bad, CASE WHEN score >= {scoring.SUSPICIOUS} THEN 'max_score_gte_1.75' WHEN blended >= {scoring.SUSPICIOUS_BLENDED} THEN 'blended_score_gte_2.35' END AS hint FROM w),
+u AS (SELECT *, CASE WHEN bad IS NOT NULL AND NOT ((strong = 0 AND lead IN {_IN(scoring.CAPPED_WITHOUT_STRONG)}) OR (strong > 0 AND NOT lasting AND NOT outside AND (lead IN {_IN(scoring.CAPPED_IN_DOCS)} OR (lead IN {_IN(scoring.CAPPED_IN_DOCS_UNLESS_RISKY)} AND NOT risky)))) THEN 'malicious'
+  WHEN bad IS NOT NULL OR hint IS NOT NULL THEN 'suspicious' ELSE 'benign' END AS verdict FROM v)
+SELECT skill_id, profile, verdict, CASE verdict WHEN 'benign' THEN 'benign' ELSE lead END AS category, score::DOUBLE AS score, blended::DOUBLE AS blended, CAST(strong AS BIGINT) AS strong, coalesce(CASE verdict WHEN 'malicious' THEN bad WHEN 'suspicious' THEN hint END, 'below_risk_thresholds') AS condition FROM u""",
+    "verdict_flips": """WITH j AS (SELECT doc_id AS skill_id, quality = 0 AS was, n_chars < 500 AS now, toxic FROM labels JOIN documents USING (doc_id))
+SELECT skill_id, CASE WHEN toxic = 1 AND now THEN 'fixed_false_negatives' WHEN toxic = 1 THEN 'new_false_negatives' WHEN now THEN 'new_false_positives' ELSE 'fixed_false_positives' END AS change FROM j WHERE toxic IN (0, 1) AND coalesce(was, false) <> coalesce(now, false)""",
+    "finding_fingerprints": """SELECT l_orderkey, l_linenumber, 'sha256:' || sha256('R0001' || chr(0) || 'ast01' || chr(0) || l_orderkey || '.py' || chr(0) || (l_linenumber - 1) || ':' || (l_linenumber - 1) || CASE WHEN l_linenumber = 1 THEN chr(0) || l_returnflag ELSE '' END) AS finding_fingerprint FROM lineitem""",
     "confusion_matrix": f"""WITH {_LABELLED}, sides AS (SELECT lang AS grp, verdict, label FROM judged UNION ALL SELECT 'all', verdict, label FROM judged),
 c AS (SELECT coalesce(grp, 'unspecified') AS grp, count(*) FILTER (label = 'malicious' AND verdict <> 'benign') AS tp, count(*) FILTER (label = 'benign' AND verdict <> 'benign') AS fp,
   count(*) FILTER (label = 'benign' AND verdict = 'benign') AS tn, count(*) FILTER (label = 'malicious' AND verdict = 'benign') AS fn, count(*) FILTER (label IS NULL) AS excluded FROM sides GROUP BY 1)
