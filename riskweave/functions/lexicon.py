@@ -137,6 +137,12 @@ def signal(text: Column, name: str) -> Column:
     return any_of(text, SIGNALS[name])
 
 
+def signal_sql(column: str, name: str) -> str:
+    """``signal`` over a column by name, as SQL: one parse on the JVM in place of a call for each node."""
+    words = _BETWEEN.join(SIGNALS[name]).replace("\\", "\\\\").replace("'", "\\'")
+    return f"exists(split('{words}', '{_BETWEEN}'), w -> contains({column}, w))"
+
+
 def teaching_context(text: Column) -> Column:
     """Teaching material, unless a line of its own without such a phrase pairs a credential with sending."""
     bad = F.exists(F.split(text, "\n", -1), lambda line: any_of(line, LINE_SEND) & any_of(line, LINE_SECRET) & ~any_of(line, TEACHING))

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.functions.lexicon import SIGNALS, any_of, signal, teaching_context
+from riskweave.functions.lexicon import SIGNALS, any_of, signal, signal_sql, teaching_context
 from riskweave.functions.markdown import active_view, risky_block
 from riskweave.functions.paths import base_name, has_part, is_code, is_doc, is_manifest, is_package, is_text_config, normalized
 from riskweave.operators.scoring import MOCK_MARKS
@@ -221,9 +221,9 @@ def _all(terms: list[list[str]], holds) -> Column:
     return out
 
 
-def _named(terms: list[list[str]], name) -> Column:
-    """``_all`` over columns by name, as one expression: rules are many, and a Column object for each operator is slow to build."""
-    return F.expr(" AND ".join("(" + " OR ".join(name(s) for s in t) + ")" for t in terms))
+def _named(terms: list[list[str]], name) -> str:
+    """``_all`` over columns by name, as SQL: rules are many, and a Column object for each operator is slow to build."""
+    return "(" + " AND ".join("(" + " OR ".join(name(s) for s in t) + ")" for t in terms) + ")"
 
 
 def _near(text: Column, rule: Rule) -> Column:
@@ -256,7 +256,7 @@ def with_signals(files: DataFrame, names) -> DataFrame:
     path = normalized(F.col("rel"))
     out = files.withColumns({"low": F.lower(F.coalesce("text", F.lit(""))), **{f"in_{k}": v for k, v in scopes(path).items()}})
     out = out.withColumn("view", F.when(F.col("in_doc"), active_view(F.col("low"))).otherwise(F.col("low")))
-    return out.withColumns({"teaching": teaching_context(F.col("low")), "is_mock": any_of(F.col("low"), MOCK_MARKS), "is_risky": risky_block(F.col("view")), **{f"s_{n}": signal(F.col("view"), n) for n in sorted(names)}})
+    return out.withColumns({"teaching": teaching_context(F.col("low")), "is_mock": any_of(F.col("low"), MOCK_MARKS), "is_risky": risky_block(F.col("view")), **{f"s_{n}": F.expr(signal_sql("view", n)) for n in sorted(names)}})
 
 
 def used_signals(rules=RULES) -> set[str]:
@@ -278,10 +278,10 @@ def reason(r: Rule) -> str:
     return f"{', '.join(parts)} {how}" if parts else "bundled native executable"
 
 
-def _finding(r: Rule, doc: str) -> Column:
-    """The fixed values of a rule as one expression; ``doc`` is the SQL name of the flag that makes a rule with ``doc_weight`` weak."""
+def _finding(r: Rule, doc: str) -> str:
+    """SQL for the fixed values of a rule; ``doc`` is the SQL name of the flag that makes a rule with ``doc_weight`` weak."""
     weak = doc if r.doc_weight else "false"
-    return F.expr(
+    return (
         f"named_struct('rule_id', '{r.rule_id}', 'category', '{r.category}', 'weight', IF({weak}, double({r.doc_weight}), double({r.weight})), 'strong', {str(r.strong).lower()} AND NOT {weak}, "
         f"'lasting', {str(r.lasting).lower()}, 'profile', '{r.profile}', 'reason', '{reason(r)}')"
     )
@@ -289,23 +289,29 @@ def _finding(r: Rule, doc: str) -> Column:
 
 def file_hits(rules: tuple[Rule, ...] = RULES) -> Column:
     """array of the rules that hold for a row of a ``with_signals`` table; null entries are gone."""
-    hits = []
+    plain, special = [], []
     for r in rules:
         text = F.col("low") if r.raw else F.col("view")
+        scope, needs, unless = _named([r.scope.split()], lambda s: f"in_{s}"), _terms(r.needs), _terms(r.unless)
+        if not (r.raw or r.near or r.within):
+            holds = scope + " AND " + _named(needs, lambda s: f"s_{s}") + (" AND NOT " + _named(unless, lambda s: f"s_{s}") if unless else "")
+            plain.append(f"IF({holds}, {_finding(r, 'in_doc')}, NULL)")
+            continue
         by_signal = (lambda s: signal(F.col("low"), s)) if r.raw else (lambda s: F.col(f"s_{s}"))
-        holds = _named([r.scope.split()], lambda s: f"in_{s}") & (_all(_terms(r.needs), by_signal) if r.raw else _named(_terms(r.needs), lambda s: f"s_{s}"))
+        # The cheap tests over the whole text come first.
+        holds = F.expr(scope) & _all(needs, by_signal)
         if r.near:
             holds = holds & _near(text, r)
         if r.within == "script":
             holds = holds & _same_script(text)
         elif r.within:
-            # The cheap test over the whole text comes first.
-            holds = holds & F.exists(_pieces(text, r.within), lambda p: _all(_terms(r.needs), lambda s: signal(p, s)) & (~_all(_terms(r.unless), lambda s: signal(p, s)) if r.unless else F.lit(True)))
-        if r.unless and r.within not in ("block", "comment"):
-            holds = holds & ~_all(_terms(r.unless), by_signal)
-        hits.append(F.when(holds, _finding(r, "in_doc")))
-    none = F.filter(F.array(*hits), lambda h: F.lit(False))
-    return F.when(F.col("teaching") & F.col("in_skill"), none).otherwise(F.filter(F.array(*hits), lambda h: h.isNotNull()))
+            holds = holds & F.exists(_pieces(text, r.within), lambda p: _all(needs, lambda s: signal(p, s)) & (~_all(unless, lambda s: signal(p, s)) if unless else F.lit(True)))
+        if unless and r.within not in ("block", "comment"):
+            holds = holds & ~_all(unless, by_signal)
+        special.append(F.when(holds, F.expr(_finding(r, "in_doc"))))
+    arrays = ([F.expr("array(" + ", ".join(plain) + ")")] if plain else []) + ([F.array(*special)] if special else [])
+    taught = F.col("teaching") & F.col("in_skill")
+    return F.filter(F.concat(*arrays), lambda h: h.isNotNull() & ~taught)
 
 
 def file_findings(marked: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -334,7 +340,7 @@ def file_flags(rules: tuple[Rule, ...] = PACKAGE_RULES) -> Column:
 
 def package_hits(raised, rules: tuple[Rule, ...] = PACKAGE_RULES) -> Column:
     """array of the rules that hold for a package; ``raised(flag)`` is SQL for whether one of its files raises a flag."""
-    return F.filter(F.array(*[F.when(_named(_terms(r.needs), raised), _finding(r, "false")) for r in rules]), lambda h: h.isNotNull())
+    return F.filter(F.expr("array(" + ", ".join(f"IF({_named(_terms(r.needs), raised)}, {_finding(r, 'false')}, NULL)" for r in rules) + ")"), lambda h: h.isNotNull())
 
 
 def package_findings(marked: DataFrame, rules: tuple[Rule, ...] = PACKAGE_RULES) -> DataFrame:
