@@ -1,8 +1,8 @@
 """A training corpus from raw documents: each stage takes what its predecessor kept.
 
 Stages: toxicity (rejected documents go), line dedup (repeated three-line windows go, and documents that consist of nothing
-else), n-gram Jaccard join (one document of each group of linked ones stays), benchmark decontamination (documents with windows
-of two or more items go), SentencePiece encoding (ids, and a check that decoding gives the text back).
+else), n-gram Jaccard join (one document of each group of linked ones stays), benchmark decontamination (documents with a window
+of any item go), SentencePiece encoding (ids, and a check that decoding gives the text back).
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), min_items=1)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

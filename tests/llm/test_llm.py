@@ -266,6 +266,12 @@ def test_decontaminate_odd_rows(spark, odd, none):
     assert decontaminate.decontaminate(odd, bench.where("false")).count() == len(DOCS)
 
 
+def test_decontamination_stage_removes_one_item(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text IS NOT NULL").orderBy("item_id").first()["text"]
+    docs = spark.createDataFrame([(1, f"before it {item} after it"), (2, "nothing of a benchmark stands in this short text here")], "doc_id bigint, text string")
+    assert [r["doc_id"] for r in corpus_pipeline.decontamination(spark, docs, SF).collect()] == [2]
+
+
 # --- 9 tokens
 
 
