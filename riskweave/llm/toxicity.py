@@ -11,7 +11,8 @@ and other documents have it; it counts if the lower Wilson bound of its toxic sh
 logistic function of its strongest evidence and of how much there is, fitted on a bounded sample of the labelled rows.
 
 All counts cover every document (the language model) or every labelled document outside the held-out fold (the evidence). What
-goes to the executors is bounded by parameters: the trigram model by its alphabet (Latin letters), the evidence by ``MOST_EVIDENCE``.
+goes to the executors is bounded by parameters: the trigram model by its alphabet (Latin letters), the evidence by blocks of about
+``MOST_EVIDENCE``, each of which passes over the texts; more candidates than that are met by a join. No evidence is left out.
 
 Edge cases: null and empty texts get the score of a document without evidence. Without labelled rows of both kinds all scores
 are the share of toxic labels, or 0. Rows with equal ids are scored each for itself; labels count once per (id, value) and join
@@ -33,6 +34,7 @@ from riskweave.llm._common import fold_of, fresh, materialize, table
 
 #: Documents on which the two weights of the score are fitted, at most.
 FIT_ROWS = 20_000
+#: Evidence that is broadcast at once, about.
 MOST_EVIDENCE = 200_000
 WILSON_Z = 2.33
 #: Labels (an id and a number each) up to this many are broadcast.
@@ -243,49 +245,82 @@ def _count_evidence(model, allowed):
     return run
 
 
-def learn_evidence(labelled: DataFrame, model) -> dict[str, float]:
-    """Evidence and its weight from ``labelled(text, toxic)``: the log odds of the lower bound of its toxic share.
+def _weigh(batches):
+    """(evidence, weight) of counted evidence whose bound exceeds one half."""
+    for batch in batches:
+        kept = []
+        for e, hits, clean in zip(*(batch.column(c).to_pylist() for c in ("evidence", "toxic", "clean")), strict=True):
+            share = wilson_lower(hits, hits + clean)
+            if share > 0.5:
+                kept.append((e, math.log(share / (1 - share))))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], type=pa.string()), pa.array([k[1] for k in kept], type=pa.float64())], names=["evidence", "weight"])
+
+
+def learn_evidence(labelled: DataFrame, model) -> DataFrame:
+    """(evidence, weight) from ``labelled(text, toxic)``: the log odds of the lower bound of its toxic share.
 
     Toxic texts name the candidates: without enough of them the bound cannot exceed one half. All others are then counted for
-    the candidates alone.
+    the candidates alone, which go to the executors if they are few enough; else everything is counted and the join selects.
     """
-    spark = labelled.sparkSession
     least = math.ceil(WILSON_Z**2)  # n hits of n have the bound n / (n + z^2)
 
     def counted(rows: DataFrame, allowed, name: str) -> DataFrame:
         return rows.select("text").mapInArrow(_count_evidence(model, allowed), "evidence string, n bigint").groupBy("evidence").agg(F.sum("n").alias(name))
 
-    candidates = counted(labelled.where("toxic = 1"), None, "toxic").where(F.col("toxic") >= least).orderBy(F.desc("toxic"), "evidence").limit(MOST_EVIDENCE)
-    toxic = {r["evidence"]: r["toxic"] for r in candidates.collect()}  # MOST_EVIDENCE rows at most
-    if not toxic:
-        return {}
-    held = spark.sparkContext.broadcast(frozenset(toxic))
-    clean = {r["evidence"]: r["clean"] for r in counted(labelled.where("toxic = 0"), held, "clean").collect()}
-    weights = {}
-    for e, hits in toxic.items():
-        share = wilson_lower(hits, hits + clean.get(e, 0))
-        if share > 0.5:
-            weights[e] = math.log(share / (1 - share))
-    return weights
+    candidates = materialize(counted(labelled.where("toxic = 1"), None, "toxic").where(F.col("toxic") >= least), "toxicity-candidates")
+    n = candidates.count()
+    if not n:
+        return candidates.select("evidence", F.lit(0.0).alias("weight"))
+    allowed = labelled.sparkSession.sparkContext.broadcast(frozenset(r["evidence"] for r in candidates.select("evidence").collect())) if n <= MOST_EVIDENCE else None
+    both = candidates.join(counted(labelled.where("toxic = 0"), allowed, "clean"), "evidence", "left").select("evidence", "toxic", F.coalesce("clean", F.lit(0)).alias("clean"))
+    return materialize(both.mapInArrow(_weigh, "evidence string, weight double"), "toxicity-evidence")
 
 
-def _feature_rows(held, keep: list[str]):
-    """The columns ``keep`` with the strongest weight (top) and log1p of the number of tokens with evidence (many)."""
+def evidence_blocks(weights: DataFrame, trigrams: dict[str, int]) -> list:
+    """Broadcasts of (trigrams, weights of a block). Evidence is dealt by its first four letters, so all evidence of a word is
+    in one block."""
+    spark = weights.sparkSession
+    blocks = max(1, -(-weights.count() // MOST_EVIDENCE))
+    place = F.pmod(F.xxhash64(F.substring("evidence", 2, 4)), F.lit(blocks))
+    return [spark.sparkContext.broadcast((trigrams, {r["evidence"]: r["weight"] for r in weights.where(place == b).collect()})) for b in range(blocks)]
+
+
+def _feature_rows(held, keep: list[str], first: bool, last: bool):
+    """The columns ``keep`` with the strongest weight (top) and log1p of the number of tokens with evidence (many). Before the
+    last block the text stays and many is the number so far."""
 
     def run(batches):
         trigrams, weights = held.value
         restorer = Restorer(trigrams)
         memo = _Weights(restorer, lambda w: max([weights[e] for e in evidence_of(w) if e in weights], default=0.0))
         for batch in batches:
+            so_far = [(0.0, 0.0)] * batch.num_rows if first else zip(batch.column("top").to_pylist(), batch.column("many").to_pylist(), strict=True)
             pairs = []
-            for text in batch.column("text").to_pylist():
+            for text, (top, many) in zip(batch.column("text").to_pylist(), so_far, strict=True):
                 hits = [v for v in map(memo.__getitem__, restorer.tokens(text)) if v]
-                pairs.append((max(hits, default=0.0), math.log1p(len(hits))))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], pa.array([p[0] for p in pairs]), pa.array([p[1] for p in pairs])], names=[*keep, "top", "many"])
+                many += len(hits)
+                pairs.append((max([top, *hits]), math.log1p(many) if last else many))
+            names = keep if last else [*keep, "text"]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k) for k in names], pa.array([p[0] for p in pairs], type=pa.float64()), pa.array([p[1] for p in pairs], type=pa.float64())], names=[*names, "top", "many"]
+            )
 
     return run
 
 
+def features(rows: DataFrame, keep: list[str], models: list) -> DataFrame:
+    """``keep``, top and many of ``rows(text, *keep)``: one pass for each block of evidence."""
+    from pyspark.sql.types import DoubleType
+
+    for n, model in enumerate(models):
+        last = n == len(models) - 1
+        schema = rows.select(*keep, *([] if last else ["text"])).schema.add("top", DoubleType()).add("many", DoubleType())
+        rows = rows.mapInArrow(_feature_rows(model, keep, n == 0, last), schema)
+        if not last:  # so that a task holds one block at a time
+            rows = materialize(rows, "toxicity-features")
+    return rows
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
     """Weights (bias last) of a ridge logistic regression by Newton's method."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -316,15 +351,14 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0
     )
     train = materialize(train, "toxicity-train")
     held = spark.sparkContext.broadcast(trigrams)
-    weights = learn_evidence(train, held)
-    model = spark.sparkContext.broadcast((trigrams, weights))
+    models = evidence_blocks(learn_evidence(train, held), trigrams)
     total = train.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t")).first()
     n, t = total["n"] or 0, total["t"] or 0
     if 0 < t < n:
         # A sample by hash: each labelled row has the same chance, and what is read is bounded by FIT_ROWS.
         share = min(1.0, FIT_ROWS / n)
         sample = train.where(F.pmod(F.col("order"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text", "toxic")
-        rows = sample.mapInArrow(_feature_rows(model, ["toxic"]), "toxic int, top double, many double").limit(2 * FIT_ROWS).collect()
+        rows = features(sample, ["toxic"], models).limit(2 * FIT_ROWS).collect()
         w = fit_logistic(np.array([(r["top"], r["many"]) for r in rows]).reshape(-1, 2), np.array([r["toxic"] for r in rows], dtype=float)) if rows else np.array([1.0, 1.0, -3.0])
     else:
         rate = min(max(t / n if n else 0.0, 1e-6), 1 - 1e-6)
@@ -333,10 +367,7 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0
     plain = {c: fresh(docs, f"c{k}") for k, c in enumerate(keep)}
     text = next(c for c in keep if c.lower() == "text")
     renamed = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in plain.items()], F.col(f"`{text}`").alias("text"))
-    from pyspark.sql.types import DoubleType
-
-    schema = renamed.drop("text").schema.add("top", DoubleType()).add("many", DoubleType())
-    rows = renamed.mapInArrow(_feature_rows(model, list(plain.values())), schema)
+    rows = features(renamed, list(plain.values()), models)
     z = F.col("top") * float(w[0]) + F.col("many") * float(w[1]) + float(w[2])
     return rows.withColumn("score", F.round(1 / (1 + F.exp(-z)), 9)).select(
         *[F.col(p).alias(c) for c, p in plain.items()],

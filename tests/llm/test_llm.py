@@ -143,6 +143,17 @@ def test_toxicity_held_out(spark):
     assert sum(rows[d]["predicted"] == known[d] for d in held) >= 0.9 * len(held)
 
 
+def test_toxicity_leaves_out_no_evidence(spark, monkeypatch):
+    common = "water stone letter river garden window"
+    rows = [(n, common + (" zorgle" if n % 4 == 1 else " plimfor" if n % 4 == 3 else ""), n % 2) for n in range(160)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int")
+    whole = {tuple(r) for r in toxicity.score(docs, labels).collect()}
+    monkeypatch.setattr(toxicity, "MOST_EVIDENCE", 5)  # common words are more than five, and so is what the two rare ones give
+    assert {tuple(r) for r in toxicity.score(docs, labels).collect()} == whole
+    assert all(r[-1] == r[0] % 2 for r in whole)
+
+
 def test_toxicity_odd_rows(odd, none, labels):
     rows = toxicity.score(odd, labels).collect()
     assert len(rows) == len(DOCS) and all(0 <= r["score"] <= 1 for r in rows)
