@@ -169,8 +169,13 @@ def scan(
 
     if len(blocks) == 1:
         return scanned(docs, 0)
-    # A row's results from each block meet again under a hash of its columns; equal rows have equal results, and their
-    # number is kept.
+    # A row's results from each block meet again under a hash of its columns and of its text; rows with equal texts have equal
+    # results, and their number is kept.
+    wanted, of_text = keep, fresh(docs.select(*keep), "of_text")
+    docs, keep = docs.withColumn(of_text, F.sha2("text", 256)), [*keep, of_text]
+    schema = docs.select(*keep).schema
+    for name, kind in added.items():
+        schema = schema.add(name, _parse_datatype_string(kind))
     key = [F.xxhash64(*keep), F.xxhash64(F.lit(7), *keep)]
     parts = None
     for b in blocks:
@@ -193,7 +198,7 @@ def scan(
             )
         ),
     )
-    return together.withColumn("hit_spans", merged).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*keep, *added)
+    return together.withColumn("hit_spans", merged).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*wanted, *added)
 
 
 def report(scanned: DataFrame, keep: list[str], min_items: int = 2) -> DataFrame:

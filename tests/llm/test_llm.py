@@ -266,6 +266,14 @@ def test_decontaminate_blocks_agree(spark):
     assert one == many
 
 
+def test_decontaminate_blocks_keep_equal_ids_apart(spark):
+    bench = spark.createDataFrame([(f"i{n}", " ".join(f"w{n}x{k}" for k in range(9))) for n in range(8)], "item_id string, text string")
+    items = [r["text"] for r in bench.collect()]
+    docs = spark.createDataFrame([(1, " ".join(items[:4])), (1, "a clean text"), (1, "a clean text"), (1, None), (None, items[5]), (None, "clean")], "doc_id bigint, text string")
+    one = sorted(map(str, decontaminate.report(decontaminate.scan(docs, bench), ["doc_id"]).collect()))
+    assert sorted(map(str, decontaminate.report(decontaminate.scan(docs, bench, block_windows=20), ["doc_id"]).collect())) == one
+
+
 def test_decontaminate_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([("a", "four five six"), ("b", "NINE"), ("b", None), (None, "one"), ("c", "?!")], "item_id string, text string")
     rows = decontaminate.report(decontaminate.scan(odd, bench), ["doc_id"]).collect()
