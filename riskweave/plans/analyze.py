@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from riskweave.functions.lexicon import any_of
 from riskweave.functions.paths import base_name, is_doc, normalized
 from riskweave.operators import flow, scoring
-from riskweave.operators.external import external_addresses
+from riskweave.operators.external import PER_DOCUMENT, external_addresses
 from riskweave.operators.rules import BUNDLED, NATIVE, PACKAGE_RULES, PERIMETER, RULES, Rule, file_flags, file_hits, reason, run_names, used_signals, with_signals
 
 _EVENT = "kind string, name string, rule_id string, category string, weight double, strong boolean, lasting boolean, profile string, is_doc boolean, mock boolean, risky boolean, verified boolean, reason string"
@@ -101,9 +101,8 @@ def package_events(files: DataFrame) -> DataFrame:
     return packed.select("skill_id", hits.alias("hits"), (has(("auth",)) & ~bad).alias("only_expected_auth"), has(("cut",)).alias("flow_truncated"))
 
 
-def scored(files: DataFrame) -> DataFrame:
-    """One row a package that has findings: verdict of the profile that counts, and its hits."""
-    packages = package_events(files)
+def scored(packages: DataFrame) -> DataFrame:
+    """One row a package of ``package_events`` that has findings: verdict of the profile that counts, and its hits."""
     rows = packages.select("skill_id", "hits", "only_expected_auth", "flow_truncated", F.explode("hits").alias("h")).select("skill_id", "hits", "only_expected_auth", "flow_truncated", "h.*")
     return scoring.merged_profiles(scoring.verdicts(scoring.category_scores(scoring.dampened(rows), ("hits", "flow_truncated")), ("hits", "flow_truncated")), ("hits", "flow_truncated"))
 
@@ -113,20 +112,32 @@ def complete_status(files: DataFrame) -> DataFrame:
     return files.groupBy("skill_id").agg(F.bool_and(F.col("text").isNotNull()).alias("complete")).withColumn("summary", F.when(F.col("complete"), "").otherwise("a file has no text"))
 
 
-def delegation_status(status: DataFrame, addresses: DataFrame) -> DataFrame:
-    """``status``, incomplete where a document tells a reader to carry out the content of an address."""
-    told = addresses.where("kind = 'instruction-delegation'").groupBy("skill_id").agg(F.count("*").alias("unreviewed_external_instructions"))
+def delegation_status(status: DataFrame, addresses: DataFrame, per_document: int = PER_DOCUMENT) -> DataFrame:
+    """``status``, incomplete where a document tells a reader to carry out the content of an address, or has as many addresses as
+    the inventory takes."""
+    told = addresses.groupBy("skill_id").agg(F.count_if(F.col("kind") == "instruction-delegation").alias("unreviewed_external_instructions"), F.max("seq").alias("most_addresses"))
     joined = status.join(told, "skill_id", "left").withColumn("unreviewed_external_instructions", F.coalesce("unreviewed_external_instructions", F.lit(0)).cast("bigint"))
     some = F.col("unreviewed_external_instructions") > 0
-    summary = F.concat_ws(", ", F.nullif("summary", F.lit("")), F.when(some, F.lit("external instructions were not reviewed")))
-    return joined.withColumns({"complete": F.col("complete") & ~some, "summary": summary})
+    full = F.coalesce(F.col("most_addresses") >= per_document, F.lit(False))
+    summary = F.concat_ws(", ", F.nullif("summary", F.lit("")), F.when(some, F.lit("external instructions were not reviewed")), F.when(full, F.lit("external address inventory limit reached")))
+    return joined.withColumns({"complete": F.col("complete") & ~some & ~full, "summary": summary}).drop("most_addresses")
+
+
+def flow_status(status: DataFrame, packages: DataFrame) -> DataFrame:
+    """``status``, incomplete where a file has more or longer statements than the flow analysis reads."""
+    cut = packages.where("flow_truncated").select("skill_id", F.lit(True).alias("cut"))
+    joined = status.join(cut, "skill_id", "left").withColumn("cut", F.coalesce("cut", F.lit(False)))
+    summary = F.concat_ws(", ", F.nullif("summary", F.lit("")), F.when(F.col("cut"), F.lit("behavior analysis statement count or length limit reached")))
+    return joined.withColumns({"complete": F.col("complete") & ~F.col("cut"), "summary": summary}).drop("cut")
 
 
 def analyze(files: DataFrame, status: DataFrame | None = None) -> DataFrame:
     """One report row for each package of ``status`` (by default each of ``files``): verdict, category, score, layer, condition,
-    scores, findings and evidence_text. A null text has no findings and makes its package incomplete."""
+    scores, findings and evidence_text. A null text has no findings and makes its package incomplete; so do texts of which only the
+    first statements or addresses are read."""
     docs = files.where(is_doc(normalized(F.col("rel"))))
     status = delegation_status(complete_status(files) if status is None else status, external_addresses(docs))
-    reports = scoring.enforce_completeness(scored(files), status)
+    packages = package_events(files)
+    reports = scoring.enforce_completeness(scored(packages), flow_status(status, packages))
     findings = F.coalesce(scoring.audited(F.col("hits"), F.col("category")), F.array())
     return scoring.with_evidence(reports.withColumn("findings", findings).drop("hits", "lead", "any_strong"))

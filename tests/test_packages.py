@@ -172,3 +172,14 @@ def test_stream(spark, tmp_path):
     files.write.parquet(str(tmp_path / "in"))
     judge_stream(spark.readStream.schema(files.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert [r["verdict"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["malicious"]
+
+
+def test_cut_texts_are_not_benign(spark):
+    links = lambda n: "\n".join(f"See https://docs.example/{k}" for k in range(n))
+    files = [
+        ("long", "a.py", "a = 1\n" * 12_001), ("wide", "a.js", "a = '" + "b" * 33_000 + "'"), ("short", "a.py", "a = 1\n" * 12_000),
+        ("linked", "README.md", links(300)), ("few", "README.md", links(255)),
+    ]
+    rows = {r["skill_id"]: r for r in analyze(spark.createDataFrame(files, "skill_id string, rel string, text string")).collect()}
+    assert {k: (r["verdict"], r["category"], r["complete"]) for k, r in rows.items()} == {k: ("suspicious", "ast08", False) if k in ("long", "wide", "linked") else ("benign", "benign", True) for k in rows}
+    assert "statement" in rows["long"]["summary"] and "address" in rows["linked"]["summary"]
