@@ -81,6 +81,44 @@ def address_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return external_addresses(_table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("skill_id"), F.lit("page.md").alias("rel"), text.alias("text")))
 
 
+#: Paths that documents take in turn as files of packages.
+FILE_NAMES = ("README.md", "src/main.py", "install.js", "docs/guide.md", "package.json", "manifest.json", "SKILL.md", "config.yaml", "setup.sh", "notes.txt")
+PACKAGE_DOCS = 3
+
+
+def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file of a package: ``PACKAGE_DOCS`` following ids are one package."""
+    doc = F.coalesce(F.col("doc_id"), F.lit(-1)).cast("bigint")
+    name = F.element_at(F.array(*[F.lit(n) for n in FILE_NAMES]), (F.pmod(doc, F.lit(len(FILE_NAMES))) + 1).cast("int"))
+    return _table(spark, sf_dir, "documents").select(F.format_string("p%d", F.floor(doc / PACKAGE_DOCS)).alias("skill_id"), F.format_string("d%d/%s", doc, name).alias("rel"), "text")
+
+
+def table_path_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_roles(document_files(spark, sf_dir).select("skill_id", "rel"))
+
+
+def table_rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules, those over windows, blocks, comments and script names too."""
+    return file_findings(with_signals(document_files(spark, sf_dir), used_signals(RULES)), RULES).select("skill_id", "file", "rule_id", "category", "weight", "strong", "profile")
+
+
+def table_cross_file_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return package_findings(with_signals(document_files(spark, sf_dir), used_signals(PACKAGE_RULES))).select("skill_id", "file", "rule_id", "category", "weight", "strong", "profile")
+
+
+def table_package_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.flow_findings(flow.flow_rows(document_files(spark, sf_dir)))
+
+
+def table_package_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyze(document_files(spark, sf_dir)).select("skill_id", "verdict", "category", "score", "layer", "condition", "evidence_text")
+
+
+def table_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    low = F.lower(F.coalesce("text", F.lit("")))
+    return _table(spark, sf_dir, "documents").select("doc_id", *[any_of(low, literals).alias(f"s_{n}") for n, literals in SIGNALS.items()])
+
+
 def _scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines stand for findings: an order is a package, its lines are findings of both profiles."""
     key, number = F.col("l_orderkey"), F.col("l_linenumber")
@@ -152,6 +190,12 @@ QUERIES = {
     "document_signals": document_signals,
     "package_flows": package_flows,
     "address_inventory": address_inventory,
+    "table_package_verdicts": table_package_verdicts,
+    "table_rule_findings": table_rule_findings,
+    "table_cross_file_findings": table_cross_file_findings,
+    "table_package_flows": table_package_flows,
+    "table_path_roles": table_path_roles,
+    "table_signals": table_signals,
     "verdict_ladder": verdict_ladder,
     "verdict_flips": verdict_flips,
     "finding_fingerprints": finding_fingerprints,
