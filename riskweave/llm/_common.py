@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster. Only where none is set (tests on one machine) a temporary one is made."""
+    """The shared folder of the cluster. Only where none is set and Spark runs on one machine (tests) a temporary one is made."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
         held = context._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else None
         if not root:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
             root = tempfile.mkdtemp(prefix="riskweave-")
             context.setCheckpointDir(root)
     return root.rstrip("/")
@@ -55,6 +57,33 @@ def fresh(df: DataFrame, base: str) -> str:
     return base
 
 
+def column(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
+def running(sizes: Column, chunk: int = 256) -> Column:
+    """Sums of the entries before each entry of an array of ints. In two levels, so that no array is copied for each entry."""
+    none = F.array().cast("array<int>")
+
+    def before(a: Column) -> Column:
+        return F.aggregate(
+            a,
+            F.struct(F.lit(0).alias("sum"), none.alias("out")),
+            lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out")),
+            lambda acc: acc["out"],
+        )
+
+    def total(a: Column) -> Column:
+        return F.aggregate(a, F.lit(0), lambda acc, x: acc + x)
+
+    def placed(parts: Column) -> Column:
+        starts = before(F.transform(parts, total))
+        return F.flatten(F.transform(F.arrays_zip(parts.alias("p"), starts.alias("s")), lambda z: F.transform(before(z["p"]), lambda v: v + z["s"])))
+
+    cuts = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / chunk).cast("int"))
+    return F.when(F.size(sizes) == 0, none).otherwise(let(F.transform(cuts, lambda k: F.slice(sizes, k * chunk + 1, F.lit(chunk))), placed))
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it many times inside ``body``: Catalyst would otherwise copy the expression into
     every use, which makes a lookup inside a higher-order function quadratic."""

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm._common import table
+from riskweave.llm._common import fresh, table
 
 MARK = "▁"
 MEMO_ENTRIES = 300_000
@@ -282,7 +282,8 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", sl
     path = model or model_path()
     added = ("n_tokens", "n_byte_pieces", "ids_crc32", "round_trip", "token_ids")
     kept = [c for c in docs.columns if c != text_col and c.lower() not in added]
-    schema = docs.select(*kept).schema
+    named = [F.col(f"`{c}`") for c in kept]
+    schema = docs.select(*named).schema
     for name, kind in zip(added, ("bigint", "bigint", "bigint", "boolean", "array<int>"), strict=True):
         from pyspark.sql.types import _parse_datatype_string
 
@@ -294,7 +295,7 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", sl
         for batch in batches:
             for at in range(0, batch.num_rows, slice_rows):
                 part = batch.slice(at, slice_rows)
-                texts = [t or "" for t in part.column(text_col).to_pylist()]
+                texts = [t or "" for t in part.column(len(kept)).to_pylist()]
                 ids = [c.encode(t) for t in texts]
                 same = [c.decode(i) == t for i, t in zip(ids, texts, strict=True)]
                 flat, lists = _arrays(ids)
@@ -302,12 +303,12 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", sl
                 bytes_before = np.concatenate([[0], np.cumsum(is_byte[flat])])
                 sums = [zlib.crc32(flat[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(k) for k in kept]
+                    [part.column(k) for k in range(len(kept))]
                     + [pa.array(np.diff(ends).astype(np.int64)), pa.array((bytes_before[ends[1:]] - bytes_before[ends[:-1]]).astype(np.int64)), pa.array(sums, type=pa.int64()), pa.array(same), lists],
                     names=[*kept, *added],
                 )
 
-    return docs.select(*kept, text_col).mapInArrow(run, schema)
+    return docs.select(*named, F.col(f"`{text_col}`").alias(fresh(docs.select(*named), "text"))).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
