@@ -6,8 +6,7 @@ mark may stand for, nothing (the mark was inserted) or one or two of a run of eq
 trigram model, whose counts come from the words of all documents, finds the likeliest word. Tokens that look like plain words
 stand for themselves.
 
-Restored words, and their first four and five letters, are then evidence. For each the labelled documents tell how many toxic
-and other documents have it; it counts if the lower Wilson bound of its toxic share exceeds one half. A document's score is a
+Restored words are then evidence. For each the labelled documents tell how many toxic and other documents have it; it counts if the lower Wilson bound of its toxic share exceeds one half. A document's score is a
 logistic function of its strongest evidence and of how much there is, fitted on a bounded sample of the labelled rows.
 
 All counts cover every document (the language model) or every labelled document outside the held-out fold (the evidence). What
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm._common import fold_of, fresh, materialize, table
+from riskweave.llm._common import column, fold_of, materialize, table
 
 #: Documents on which the two weights of the score are fitted, at most.
 FIT_ROWS = 20_000
@@ -60,6 +59,14 @@ _RUN = re.compile(r"(.)\1{2,}")
 _IS_LETTER = np.array([chr(x).isalpha() for x in range(ord(LETTER_END))])
 
 
+def _spelled(path: tuple | None) -> str:
+    parts = []
+    while path is not None:
+        path, letters = path
+        parts.append(letters)
+    return "".join(reversed(parts))
+
+
 def _latin(ch: str) -> bool:
     return ch < LETTER_END and ch.isalpha()
 
@@ -106,24 +113,23 @@ class Restorer:
                 stands = [(x * k, SUBSTITUTED * k) for x in LOOKALIKES.get(ch, "") for k in range(1, min(n, 2) + 1)] if n <= 2 else []
                 places.append([("", INSERTED), *stands])
             at = run
-        states: dict[str, tuple[float, str]] = {BOUNDARY * 2: (0.0, "")}
+        # A state is the last two letters; a path is the letters chosen so far, linked backwards.
+        states: dict[str, tuple[float, tuple | None]] = {BOUNDARY * 2: (0.0, None)}
         for options in places:
-            after: dict[str, tuple[float, str]] = {}
-            for pair, (score, word) in states.items():
+            after: dict[str, tuple[float, tuple | None]] = {}
+            for pair, (score, path) in states.items():
                 for letters, cost in options:
                     s, p = score - cost, pair
                     for ch in letters:
                         s += self.step(p, ch)
                         p = p[1] + ch
-                    new = (s, word + letters)
                     old = after.get(p)
-                    if old is None or s > old[0] or (s == old[0] and new[1] < old[1]):
-                        after[p] = new
-            if len(after) > 64:  # a beam: far more states than a word's true readings
-                after = dict(sorted(after.items(), key=lambda x: (-x[1][0], x[1][1]))[:64])
+                    if old is None or s > old[0]:
+                        after[p] = (s, (path, letters))
+                    elif s == old[0] and _spelled((path, letters)) < _spelled(old[1]):
+                        after[p] = (s, (path, letters))
             states = after
-        end = {p: (s + self.step(p, BOUNDARY), w) for p, (s, w) in states.items()}
-        return min(end.values(), key=lambda x: (-x[0], x[1]))[1]
+        return min(((-s - self.step(p, BOUNDARY), _spelled(path)) for p, (s, path) in states.items()))[1]
 
     def word(self, token: str) -> str:
         found = self.memo.get(token)
@@ -153,16 +159,6 @@ class Restorer:
         return found
 
 
-def evidence_of(word: str) -> list[str]:
-    """The word itself and, for longer ones, its beginnings."""
-    out = ["=" + word]
-    if len(word) > 4:
-        out.append("4" + word[:4])
-    if len(word) > 5:
-        out.append("5" + word[:5])
-    return out
-
-
 def trigrams_of(text: str) -> Counter:
     """Counts of the trigrams of a text's words: runs of Latin letters with two boundaries before and one after."""
     low = f"  {text.lower()} "
@@ -220,12 +216,12 @@ class _Weights(dict):
 
 
 def _count_evidence(model, allowed):
-    """(evidence, n): in how many texts of a partition each piece of evidence occurs; only ``allowed`` ones if given."""
+    """(evidence, n): in how many texts of a partition each restored word occurs; only ``allowed`` ones if given."""
 
     def run(batches):
         restorer, counts = Restorer(model.value), Counter()
         only = None if allowed is None else allowed.value
-        kept = _Weights(restorer, lambda w: [e for e in evidence_of(w) if e in only]) if only is not None else None
+        kept = _Weights(restorer, lambda w: w if w in only else None) if only is not None else None
 
         def flush():
             batch = pa.RecordBatch.from_arrays([pa.array(list(counts), type=pa.string()), pa.array(list(counts.values()), type=pa.int64())], names=["evidence", "n"])
@@ -235,9 +231,9 @@ def _count_evidence(model, allowed):
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 if only is None:
-                    counts.update({e for w in restorer.words(text) for e in evidence_of(w)})
+                    counts.update(restorer.words(text))
                 else:
-                    counts.update({e for held in map(kept.__getitem__, restorer.tokens(text)) if held for e in held})
+                    counts.update(filter(None, set(map(kept.__getitem__, restorer.tokens(text)))))
                 if len(counts) > FLUSH_ENTRIES:
                     yield flush()
         yield flush()
@@ -277,11 +273,10 @@ def learn_evidence(labelled: DataFrame, model) -> DataFrame:
 
 
 def evidence_blocks(weights: DataFrame, trigrams: dict[str, int]) -> list:
-    """Broadcasts of (trigrams, weights of a block). Evidence is dealt by its first four letters, so all evidence of a word is
-    in one block."""
+    """Broadcasts of (trigrams, weights of a block)."""
     spark = weights.sparkSession
     blocks = max(1, -(-weights.count() // MOST_EVIDENCE))
-    place = F.pmod(F.xxhash64(F.substring("evidence", 2, 4)), F.lit(blocks))
+    place = F.pmod(F.xxhash64("evidence"), F.lit(blocks))
     return [spark.sparkContext.broadcast((trigrams, {r["evidence"]: r["weight"] for r in weights.where(place == b).collect()})) for b in range(blocks)]
 
 
@@ -292,7 +287,7 @@ def _feature_rows(held, keep: list[str], first: bool, last: bool):
     def run(batches):
         trigrams, weights = held.value
         restorer = Restorer(trigrams)
-        memo = _Weights(restorer, lambda w: max([weights[e] for e in evidence_of(w) if e in weights], default=0.0))
+        memo = _Weights(restorer, lambda w: weights.get(w, 0.0))
         for batch in batches:
             so_far = [(0.0, 0.0)] * batch.num_rows if first else zip(batch.column("top").to_pylist(), batch.column("many").to_pylist(), strict=True)
             pairs = []
@@ -336,8 +331,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
     return w
 
 
-def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0) -> DataFrame:
-    """Every row of ``docs`` with its own columns, ``held_out``, ``score`` and ``predicted``."""
+def _scored(docs: DataFrame, labels: DataFrame, folds: int, held_fold: int) -> tuple[DataFrame, dict[str, str]]:
+    """Every row of ``docs`` under names without clashes, with ``held_out`` and ``score``; and those names by the columns' own."""
     spark = docs.sparkSession
     trigrams = character_model(docs)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
@@ -363,23 +358,27 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0
     else:
         rate = min(max(t / n if n else 0.0, 1e-6), 1 - 1e-6)
         w = np.array([0.0, 0.0, math.log(rate / (1 - rate))])
-    keep = list(docs.columns)
-    plain = {c: fresh(docs, f"c{k}") for k, c in enumerate(keep)}
-    text = next(c for c in keep if c.lower() == "text")
-    renamed = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in plain.items()], F.col(f"`{text}`").alias("text"))
+    plain = {c: f"in_{k}" for k, c in enumerate(docs.columns)}
+    text = next(c for c in docs.columns if c.lower() == "text")
+    doc_id = next(c for c in docs.columns if c.lower() == "doc_id")
+    renamed = docs.select(*[column(c).alias(p) for c, p in plain.items()], column(text).alias("text"))
     rows = features(renamed, list(plain.values()), models)
     z = F.col("top") * float(w[0]) + F.col("many") * float(w[1]) + float(w[2])
-    return rows.withColumn("score", F.round(1 / (1 + F.exp(-z)), 9)).select(
-        *[F.col(p).alias(c) for c, p in plain.items()],
-        (fold_of(plain["doc_id"], folds) == held_fold).alias("held_out"),
-        "score",
-        (F.col("score") >= 0.5).cast("int").alias("predicted"),
-    )
+    return rows.select(*plain.values(), (fold_of(plain[doc_id], folds) == held_fold).alias("held_out"), F.round(1 / (1 + F.exp(-z)), 9).alias("score")), plain
+
+
+def score(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0) -> DataFrame:
+    """Every row of ``docs`` with its own columns, ``held_out``, ``score`` and ``predicted``; columns of these three names are
+    replaced."""
+    rows, plain = _scored(docs, labels, folds, held_fold)
+    own = [F.col(p).alias(c) for c, p in plain.items() if c.lower() not in ("held_out", "score", "predicted")]
+    return rows.select(*own, "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, cutoff: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose score reaches the cutoff."""
-    return score(docs, labels).where(F.col("score") < cutoff).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, plain = _scored(docs, labels, 5, 0)
+    return rows.where(F.col("score") < cutoff).select(*[F.col(p).alias(c) for c, p in plain.items()])
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
