@@ -3,7 +3,8 @@
 A rule rejects a document whose metric exceeds a cutoff. Cutoffs come from a grid that is fixed beforehand. The labelled
 documents of good quality are the holdout: for each stratum (by length) and rule the grid is walked from lax to strict, and a
 cutoff passes if the exact binomial test rejects "more than ``rule_risk`` of the good documents exceed it", that is if
-P(X <= k | n, rule_risk) <= delta / (strata x rules); this is the one-sided Clopper-Pearson upper bound being at most
+P(X <= k | n, rule_risk) <= delta / (strata x rules). Neighbouring strata are taken together where one of them has too few
+good documents to certify any cutoff; this looks at their number alone, never at a metric, so the tests stay exact. The test is the one-sided Clopper-Pearson upper bound being at most
 ``rule_risk``. The walk ends at the first cutoff that fails (fixed-sequence testing needs no further correction), the strictest
 one passed is used, and a rule without one is idle. With probability 1 - delta no stratum loses more than
 rules x rule_risk of its good documents to these rules.
@@ -24,10 +25,12 @@ from riskweave.llm._common import let, materialize, table
 
 MIN_WORDS = 50
 WINDOW = 3
-RULE_RISK = 0.004
+RULE_RISK = 0.02
 DELTA = 0.05
 #: Strata: the least number of words of each.
 STRATA = (0, 200, 800)
+#: How strata may be taken together, the first that every part has enough good documents for.
+POOLS = ((0, 1, 2), (0, 0, 1), (0, 1, 1), (0, 0, 0))
 #: Per word: symbols, repeated words, repeated lines, capitals, exclamation and question marks.
 RULES = ("symbols", "repeats", "dup_lines", "capitals", "shouts")
 #: Cutoffs from lax to strict.
@@ -148,25 +151,42 @@ def _exceeded(metric: Column) -> Column:
     return F.size(F.filter(F.array(*[F.lit(c) for c in GRID]), lambda c: metric > c))
 
 
+def least_good(pools: int, rule_risk: float = RULE_RISK, delta: float = DELTA) -> int:
+    """So many good documents certify a cutoff that none of them exceeds."""
+    return math.ceil(math.log(delta / (pools * len(RULES))) / math.log1p(-rule_risk))
+
+
+def choose_pools(counts: dict[int, int], rule_risk: float = RULE_RISK, delta: float = DELTA) -> tuple[int, ...]:
+    """The pool of each stratum, from the numbers of good documents in the strata."""
+    for pools in POOLS:
+        sums = [sum(counts.get(k, 0) for k, p in enumerate(pools) if p == x) for x in sorted(set(pools))]
+        if min(sums) >= least_good(len(sums), rule_risk, delta):
+            break
+    return pools
+
+
 def choose_cutoffs(measured: DataFrame, labels: DataFrame, rule_risk: float = RULE_RISK, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff): one row for each rule that is not idle; at most strata x rules rows."""
+    """(stratum, rule, cutoff): one row for each stratum and rule that is not idle; at most strata x rules rows."""
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    base = ~_base_failed()
     level = [_exceeded(m).alias(r) for r, m in _metrics().items()]
-    passed = measured.where(base).join(good, "doc_id").select(_stratum().alias("stratum"), *level)
     # level = how many cutoffs of the grid a document exceeds; the grid falls, so it exceeds the last ones.
-    long = passed.select("stratum", F.explode(F.create_map(*[x for r in RULES for x in (F.lit(r), F.col(r))])).alias("rule", "level"))
-    counts = long.groupBy("stratum", "rule", "level").agg(F.count(F.lit(1)).alias("n"))
+    held = materialize(measured.where(~_base_failed()).join(good, "doc_id").select(_stratum().alias("part"), *level).groupBy("part", *RULES).count(), "quality-levels")
+    pools = choose_pools({r["part"]: r["n"] for r in held.groupBy("part").agg(F.sum("count").alias("n")).collect()}, rule_risk, delta)
+    pool = F.get(F.array(*[F.lit(p) for p in pools]), F.col("part"))
+    passed = held.select(pool.alias("stratum"), "count", *RULES)
+    long = passed.select("stratum", "count", F.explode(F.create_map(*[x for r in RULES for x in (F.lit(r), F.col(r))])).alias("rule", "level"))
+    counts = long.groupBy("stratum", "rule", "level").agg(F.sum("count").alias("n"))
     by_rule = counts.groupBy("stratum", "rule").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("at"))
     # Exceeding cutoff j (from 0) means a level of at least len(grid) - j.
     steps = F.transform(
         F.sequence(F.lit(0), F.lit(len(GRID) - 1)),
         lambda j: F.aggregate(F.sequence(len(GRID) - j, F.lit(len(GRID))), F.lit(0).cast("bigint"), lambda acc, v: acc + F.coalesce(F.try_element_at("at", v), F.lit(0).cast("bigint"))),
     )
-    budget = delta / (len(STRATA) * len(RULES))
+    budget = delta / (len(set(pools)) * len(RULES))
     tested = by_rule.withColumn("rejected", steps).withColumn("ok", F.transform("rejected", lambda k: binomial_cdf(k, F.col("n"), rule_risk) <= budget))
     passes = F.coalesce(F.nullif(F.array_position("ok", False), F.lit(0).cast("bigint")) - 1, F.lit(len(GRID)).cast("bigint")).cast("int")
-    return tested.withColumn("passes", passes).where("passes > 0").select("stratum", "rule", F.get(F.array(*[F.lit(c) for c in GRID]), F.col("passes") - 1).alias("cutoff"))
+    members = F.explode(F.filter(F.array(*[F.when(F.col("stratum") == p, F.lit(k)) for k, p in enumerate(pools)]), lambda x: x.isNotNull()))
+    return tested.withColumn("passes", passes).where("passes > 0").select(members.alias("stratum"), "rule", F.get(F.array(*[F.lit(c) for c in GRID]), F.col("passes") - 1).alias("cutoff"))
 
 
 def _base_failed() -> Column:
@@ -213,16 +233,21 @@ long AS (
   FROM (SELECT doc_id, stratum, base_failed, n_words, unnest(['symbols', 'repeats', 'dup_lines', 'capitals', 'shouts']) AS rule,
                unnest([n_symbols, n_repeat_words, n_dup_lines, n_capitals, n_shouts]) AS v FROM b)),
 grid(j, cutoff) AS (VALUES {_GRID_SQL}),
+good AS (SELECT l.* FROM long l JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) USING (doc_id) WHERE NOT base_failed),
+sums AS (SELECT count(*) FILTER (stratum = 0) / {len(RULES)} AS a, count(*) FILTER (stratum = 1) / {len(RULES)} AS b, count(*) FILTER (stratum = 2) / {len(RULES)} AS c FROM good),
+pools AS (
+  SELECT CASE WHEN least(a, b, c) >= {least_good(3)} THEN [0, 1, 2] WHEN least(a + b, c) >= {least_good(2)} THEN [0, 0, 1]
+              WHEN least(a, b + c) >= {least_good(2)} THEN [0, 1, 1] ELSE [0, 0, 0] END AS p FROM sums),
 tested AS (
-  SELECT stratum, rule, j, cutoff, count(*) AS n, count(*) FILTER (metric > cutoff) AS k
-  FROM long JOIN (SELECT DISTINCT doc_id FROM labels WHERE quality = 1) USING (doc_id), grid WHERE NOT base_failed GROUP BY ALL),
+  SELECT p[stratum + 1] AS pool, len(list_distinct(p)) AS pools, rule, j, cutoff, count(*) AS n, count(*) FILTER (metric > cutoff) AS k
+  FROM good, pools, grid GROUP BY ALL),
 cdf AS (
-  SELECT stratum, rule, j, cutoff, CASE WHEN k < n * {RULE_RISK} THEN
+  SELECT pool, rule, j, cutoff, CASE WHEN k < n * {RULE_RISK} THEN
     (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({RULE_RISK}) + (n - i) * ln(1 - {RULE_RISK}))) FROM (SELECT unnest(generate_series(0, k)) AS i))
-    ELSE 1 END <= {DELTA} / {len(STRATA) * len(RULES)} AS ok FROM tested),
-stop AS (SELECT stratum, rule, coalesce(min(j) FILTER (NOT ok), {len(GRID)}) AS j FROM cdf GROUP BY ALL),
-cut AS (SELECT c.stratum, c.rule, c.cutoff FROM cdf c JOIN stop s ON c.stratum = s.stratum AND c.rule = s.rule AND c.j = s.j - 1),
-fired AS (SELECT DISTINCT l.doc_id FROM long l JOIN cut USING (stratum, rule) WHERE metric > cutoff)
+    ELSE 1 END <= {DELTA} / (pools * {len(RULES)}) AS ok FROM tested),
+stop AS (SELECT pool, rule, coalesce(min(j) FILTER (NOT ok), {len(GRID)}) AS j FROM cdf GROUP BY ALL),
+cut AS (SELECT c.pool, c.rule, c.cutoff FROM cdf c JOIN stop s ON c.pool = s.pool AND c.rule = s.rule AND c.j = s.j - 1),
+fired AS (SELECT DISTINCT l.doc_id FROM long l, pools JOIN cut ON cut.pool = p[l.stratum + 1] AND cut.rule = l.rule WHERE metric > cutoff)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM fired) AS kept FROM b
 """
 }
