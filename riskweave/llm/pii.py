@@ -1,14 +1,17 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score; DataFrame expressions alone.
 
-Kinds: email, ip, card (Luhn), phone, and beyond these iban (mod 97) and secret (a credential assigned to a name). A pattern's matches are leftmost and do not overlap within a kind; one that
-fails its check is dropped without another try. Positions are counted in code points: the text is split at the matches, and the
+Kinds: email, ip, card (Luhn), phone, and beyond these iban (mod 97), secret (a value assigned to the name of a credential), key
+(a long run of letters and digits that stands alone) and account (a number of 8 to 17 digits). A pattern's matches are leftmost
+and do not overlap within a kind; one that fails its check is dropped without another try. Positions are counted in code points: the text is split at the matches, and the
 lengths of the pieces and matches add up to their places.
 
 The patterns are written so that no text makes them slow: where a greedy run cannot be part of a match unless it begins at
 the run's own start, a look-behind (or the end of the match before) says so, and runs are possessive, which changes no match.
 
-Score: a kind's own weight, raised by a checksum that holds and by context words within ``REACH`` characters before the span;
-``iban`` and ``secret`` spans below ``cutoff`` are left out, spans of the first four kinds always stay.
+Score: a kind's own weight, raised by a checksum that holds and by context words within ``REACH`` characters before the span, but
+not before an earlier match of its kind. Spans of the first four kinds always stay; others stay if their score reaches ``cutoff``.
+A key or an account number has no check and is below it by itself: context decides. Work is linear in the text, but for
+the running sums of its matches, which are made in two levels.
 
 Edge cases: a null text counts as empty. Rows with equal ids are separate. Extra columns are ignored.
 """
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm._common import let, table
+from riskweave.llm._common import running, table
 
 REACH = 40
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -29,11 +32,13 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "secret": r"(?i)\b(?:api[_-]?key|access[_-]?key|secret|token|passwd|password)\b\x20{0,4}[:=]\x20{0,4}[\"']?[A-Za-z0-9+/_-]{16,}",
+    "key": r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*[0-9])(?=[A-Za-z0-9_-]*[A-Za-z])[A-Za-z0-9_-]{24,}+",
+    "account": r"(?<![A-Za-z0-9+.,-])[0-9]{8,17}(?![A-Za-z0-9]|[.,-][0-9])",
 }
 BASE = ("email", "ip", "card", "phone")
 #: Cheap conditions without which a kind cannot occur in a text.
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "secret": None}
-WEIGHT = {"email": 0.9, "ip": 0.6, "card": 0.5, "phone": 0.6, "iban": 0.4, "secret": 0.6}
+NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None, "secret": None, "key": None, "account": None}
+WEIGHT = {"email": 0.9, "ip": 0.6, "card": 0.5, "phone": 0.6, "iban": 0.4, "secret": 0.6, "key": 0.35, "account": 0.35}
 CHECKED = {"card": 0.3, "iban": 0.5}
 CONTEXT = {
     "email": "mail|contact|write|schreib|correo|courriel",
@@ -42,8 +47,10 @@ CONTEXT = {
     "phone": r"\btel|phone|call|mobil|fax|ruf|llam",
     "iban": "iban|account|bank|konto|compte|cuenta",
     "secret": "key|secret|auth|login|credential",
+    "key": "key|secret|token|auth|login|credential|passw",
+    "account": "account|konto|compte|cuenta|kunde|client|customer|passport|ausweis",
 }
-CONTEXT_WEIGHT = 0.1
+CONTEXT_WEIGHT = 0.2
 _SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
@@ -88,27 +95,19 @@ def spans_of(text: Column, kind: str) -> Column:
     pattern = PATTERNS[kind]
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    sizes = F.transform(F.arrays_zip(gaps.alias("g"), matches.alias("m")), lambda x: F.struct(F.char_length(x["g"]).alias("g"), F.char_length(x["m"]).alias("m"), x["m"].alias("t")))
-
-    placed = F.aggregate(
-        F.filter(sizes, lambda x: x["t"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int,t:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["g"] + x["m"]).alias("at"),
-            F.when(_valid(kind, x["t"]), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["g"]).alias("a"), (acc["at"] + x["g"] + x["m"]).alias("b"), x["t"].alias("t"))))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    # The text is gap, match, gap, match, ..., gap: a match begins after all before it and its own gap.
+    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(matches)).alias("g"), matches.alias("m"))
+    starts = running(F.transform(pairs, lambda x: F.char_length(x["g"]) + F.char_length(x["m"])))
 
-    def scored(s: Column) -> Column:
-        begin = F.greatest(s["a"] - REACH, F.lit(0))
-        near = F.lower(F.substr(text, begin + 1, s["a"] - begin))
+    def scored(x: Column) -> Column:
+        begin = x["at"] + F.char_length(x["p"]["g"])
+        near = F.lower(F.substring(x["p"]["g"], -REACH, REACH))
         context = F.when(near.rlike(CONTEXT[kind]), CONTEXT_WEIGHT).otherwise(0.0)
-        return F.struct(F.lit(kind).alias("kind"), s["a"].alias("start"), s["b"].alias("end"), F.round(F.lit(WEIGHT[kind] + CHECKED.get(kind, 0.0)) + context, 3).alias("score"))
+        return F.struct(F.lit(kind).alias("kind"), begin.alias("start"), (begin + F.char_length(x["p"]["m"])).alias("end"), F.round(F.lit(WEIGHT[kind] + CHECKED.get(kind, 0.0)) + context, 3).alias("score"))
 
-    found = F.transform(placed, scored)
+    found = F.transform(F.filter(F.arrays_zip(pairs.alias("p"), starts.alias("at")), lambda x: _valid(kind, x["p"]["m"])), scored)
     needs = NEEDS[kind]
-    possible = F.contains(text, F.lit(needs)) if needs else text.rlike("[0-9]") if kind in ("card", "iban") else text.rlike("[:=]")
+    possible = F.contains(text, F.lit(needs)) if needs else text.rlike("[:=]") if kind == "secret" else text.rlike("[0-9]{8}") if kind == "account" else text.rlike("[0-9]")
     return F.when(possible, found).otherwise(F.array().cast(_SPAN))
 
 
@@ -119,18 +118,24 @@ def find_pii(docs: DataFrame, cutoff: float = 0.5) -> DataFrame:
     return by_kind.select("doc_id", *[f"s_{k}" for k in BASE], *[F.filter(f"s_{k}", lambda s: s["score"] >= cutoff).alias(f"s_{k}") for k in PATTERNS if k not in BASE])
 
 
-def _joined(*arrays: Column) -> Column:
+def _ordered(*arrays: Column) -> Column:
     order = F.array(*[F.lit(k) for k in PATTERNS])
-    keyed = F.array_sort(F.transform(F.concat(*arrays), lambda s: F.struct(s["start"].alias("a"), F.array_position(order, s["kind"]).alias("k"), s["end"].alias("b"), s["kind"].alias("kind"))))
-    return F.array_join(F.transform(keyed, lambda s: F.concat_ws(":", s["kind"], s["a"].cast("string"), s["b"].cast("string"))), ",")
+    return F.array_sort(F.transform(F.concat(*arrays), lambda s: F.struct(s["start"].alias("a"), F.array_position(order, s["kind"]).alias("k"), s["end"].alias("b"), s["kind"].alias("kind"), s["score"].alias("score"))))
+
+
+def _joined(*arrays: Column) -> Column:
+    return F.array_join(F.transform(_ordered(*arrays), lambda s: F.concat_ws(":", s["kind"], s["a"].cast("string"), s["b"].cast("string"))), ",")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, with ``scores`` (of ``spans``, in their order) and ``n_spans``."""
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = [F.col(f"s_{k}") for k in BASE]
+    base, every = [F.col(f"s_{k}") for k in BASE], [F.col(f"s_{k}") for k in PATTERNS]
     return found.select(
         "doc_id",
         *[F.size(f"s_{k}").cast("bigint").alias(f"n_{k}") for k in BASE],
         F.sha2(_joined(*base), 256).alias("base_sha256"),
-        _joined(*[F.col(f"s_{k}") for k in PATTERNS]).alias("spans"),
+        _joined(*every).alias("spans"),
+        F.array_join(F.transform(_ordered(*every), lambda s: s["score"].cast("string")), ",").alias("scores"),
+        F.size(F.concat(*every)).cast("bigint").alias("n_spans"),
     )
