@@ -10,7 +10,7 @@ by a later occurrence of the same window.
 
 Edge cases: texts of fewer than three such lines have no windows and stay as they are, as do null texts. Lines of white space
 alone are not part of windows; in a text that loses lines they are kept where they stand. Rows with equal doc_id and equal text
-count as one document and get one result each. A null doc_id comes first in the order. An empty table gives an empty one.
+count as one document and get one result each. Ids may be of any type that sorts; a null doc_id comes first in the order. An empty table gives an empty one.
 Extra columns are kept.
 """
 
@@ -22,17 +22,18 @@ from pyspark.sql import functions as F
 from riskweave.llm._common import fresh, let, materialize, table
 
 LINES = 3
+#: So many windows at most are broadcast, those with the most occurrences; each other window has few enough for one task.
+HOT_WINDOWS = 200_000
+LEAST_HOT = 4_096
 #: A line with a word.
 WORDED = "[^\\x09-\\x0D\\x20]"
-#: Occurrences of a repeated window are dealt over so many keys.
-SALTS = 8
 
 
 def _windows(docs: DataFrame) -> DataFrame:
     """(d, h, pos, x, y): one row for each window; pos counts the lines with words, from 0."""
     lines = F.filter(F.split("text", "\n", -1), lambda line: line.rlike(WORDED))
     hashed = docs.where(F.col("text").contains("\n")).select(
-        F.col("doc_id").cast("bigint").alias("d"), F.xxhash64("text").alias("h"), F.transform(lines, lambda line: F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))).alias("l")
+        F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.transform(lines, lambda line: F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))).alias("l")
     )
     enough = hashed.where(F.size("l") >= LINES)
     return enough.select("d", "h", F.posexplode(F.arrays_zip(F.slice("l", 1, F.size("l") - 2).alias("p"), F.slice("l", 2, F.size("l") - 2).alias("q"), F.slice("l", 3, F.size("l") - 2).alias("r"))).alias("pos", "w")).select(
@@ -43,16 +44,20 @@ def _windows(docs: DataFrame) -> DataFrame:
 def covered_lines(docs: DataFrame) -> DataFrame:
     """(d, h, gone): for each document that loses lines, the numbers of those among its lines with words."""
     windows = materialize(_windows(docs).distinct(), "line-windows")  # rows equal in id and text count once
-    firsts = (
-        windows.groupBy("x", "y")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "h", "pos")).alias("first"))
-        .where("n > 1")
-        .select(F.col("x").alias("fx"), F.col("y").alias("fy"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
-    )
-    spread = windows.withColumn("s0", F.pmod(F.xxhash64("d", "h", "pos"), F.lit(SALTS)).cast("int"))
-    later = spread.join(firsts, (F.col("x") == F.col("fx")) & (F.col("y") == F.col("fy")) & (F.col("s0") == F.col("s"))).where(
-        ~F.struct("d", "h", "pos").eqNullSafe(F.col("first"))
+    repeated = materialize(
+        windows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "h", "pos")).alias("first")).where("n > 1").select(F.col("x").alias("fx"), F.col("y").alias("fy"), "n", "first"),
+        "line-repeated",
     )
+    # A window of more than total / HOT_WINDOWS occurrences is hot: there are HOT_WINDOWS such windows at most, so these are
+    # broadcast and their occurrences stay where they are. All others meet their first occurrence in a shuffle.
+    hot = repeated.agg(F.sum("n")).first()[0] or 0
+    limit = max(LEAST_HOT, -(-hot // HOT_WINDOWS))
+    same = (F.col("x") == F.col("fx")) & (F.col("y") == F.col("fy"))
+    crowd = F.broadcast(repeated.where(F.col("n") > limit).select("fx", "fy", "first"))
+    met = windows.join(crowd, same, "left")
+    of_hot = met.where(F.col("first").isNotNull()).select("d", "h", "pos", "first")
+    of_rest = met.where(F.col("first").isNull()).select("d", "h", "pos", "x", "y").join(repeated.where(F.col("n") <= limit), same).select("d", "h", "pos", "first")
+    later = of_hot.unionAll(of_rest).where(~F.struct("d", "h", "pos").eqNullSafe(F.col("first")))
     return later.groupBy("d", "h").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
 
 
@@ -61,7 +66,7 @@ def dedup_lines(docs: DataFrame, report: bool = False, drop_emptied: bool = Fals
     ``report`` also ``n_lines_removed``; with ``drop_emptied`` without rows that lost every line they had."""
     d, h, starts, gone, kept, was = (fresh(docs, x) for x in ("line_doc", "line_hash", "line_starts", "line_gone", "line_kept", "line_was"))
     covered = covered_lines(docs.select("doc_id", "text")).select(F.col("d").alias(d), F.col("h").alias(h), F.col("starts").alias(starts))
-    joined = docs.join(covered, F.col("doc_id").cast("bigint").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(h)), "left")
+    joined = docs.join(covered, F.col("doc_id").eqNullSafe(F.col(d)) & (F.xxhash64("text") == F.col(h)), "left")
     # Numbers covered by the sorted window starts, once each, and from them places among all lines. Everything is one pass
     # over the lines: look-ups by index into arrays that are evaluated once, and a hash-based difference.
     parts = F.split("text", "\n", -1)
