@@ -6,8 +6,9 @@ consecutive words how far the search may move on, the bucket of the last block o
 direct comparison confirms them. A word that no pattern has lets the search skip m words. Shorter items form classes of
 their own, one for each length.
 
-The benchmark's windows go to the executors in blocks of at most ``block_windows`` windows (items are dealt whole, and
-each block is broadcast), and the documents are scanned once for each block, so no benchmark is too large.
+The benchmark's windows go to the executors in blocks of about ``block_windows`` windows (each block is broadcast; a long item is
+cut into parts that share a window less one word), and the documents are scanned once for each block, so no benchmark and
+no item is too large.
 
 Edge cases: null or empty texts have no words; items without words never occur; items with a null id are ignored; items
 with equal ids count once. Equal document rows are all kept, each with its own result. Extra columns are ignored.
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm._common import fresh, table
+from riskweave.llm._common import column, fresh, materialize, table
 
 WINDOW = 8
 #: ASCII other than letters and digits ends a word, all other characters are part of one; A-Z are lowered, and only they.
@@ -93,7 +94,7 @@ class Searcher:
             m = min(window, len(ids))
             for start in range(len(ids) - m + 1 if m else 0):
                 owners = by_length.setdefault(m, {}).setdefault(tuple(ids[start : start + m]), [])
-                if place[str(item)] not in owners:
+                if not owners or owners[-1] != place[str(item)] and place[str(item)] not in owners:
                     owners.append(place[str(item)])
         self.searchers = [WuManber(m, p) for m, p in sorted(by_length.items())]
 
@@ -116,11 +117,15 @@ class Searcher:
         return len(words), merged, [self.items[i] for i in sorted(found)]
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_windows: int) -> list[int]:
-    """Numbers of the blocks of items, each of about ``block_windows`` words at most, as a driver loop needs them; only
-    sizes are read. An item is dealt by a hash of its id."""
-    total = benchmark.agg(F.sum(F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "[^A-Za-z0-9]+")).cast("bigint"))).first()[0] or 0
-    return list(range(max(1, -(-total // block_windows))))
+def item_parts(benchmark: DataFrame, id_col: str, text_col: str, window: int, part_windows: int) -> DataFrame:
+    """(i, part, t, n): the items' words in parts of at most ``part_windows`` windows; an item of fewer words is one part."""
+    lowered = F.translate(F.col(text_col), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.regexp_extract_all(lowered, F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), F.lit(0))
+    items = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), words.alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(part_windows))
+    cut = items.select("i", "w", F.posexplode(starts).alias("part", "at"))
+    part = F.slice("w", F.col("at") + 1, F.lit(part_windows + window - 1))
+    return cut.select("i", "part", F.array_join(part, " ").alias("t"), F.size(part).cast("bigint").alias("n"))
 
 
 def scan(
@@ -136,19 +141,20 @@ def scan(
     items (sorted ids as strings)."""
     spark = docs.sparkSession
     keep = ["doc_id"] if keep is None else keep
-    schema = docs.select(*keep).schema
     added = {"n_words": "bigint", "hit_spans": "array<struct<a:int,b:int>>", "items": "array<string>"}
     from pyspark.sql.types import _parse_datatype_string
 
-    for name, kind in added.items():
-        schema = schema.add(name, _parse_datatype_string(kind))
-    named = benchmark.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t"))
-    blocks = item_blocks(named, "i", "t", block_windows)
-    place = F.pmod(F.xxhash64("i"), F.lit(len(blocks)))
+    parts = item_parts(benchmark, id_col, text_col, window, max(1, block_windows // 8))
+    total = parts.agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, -(-total // block_windows))
+    place = F.pmod(F.xxhash64("i", "part"), F.lit(blocks))
 
-    def scanned(source: DataFrame, block: int) -> DataFrame:
-        rows = [(r["i"], r["t"]) for r in named.where(place == block).collect()]  # one block: a bounded number of windows
+    def scanned(source: DataFrame, own: list[str], block: int) -> DataFrame:
+        rows = [(r["i"], r["t"]) for r in parts.where(place == block).collect()]  # one block: a bounded number of windows
         held = spark.sparkContext.broadcast(rows)
+        schema = source.select(*own).schema
+        for name, kind in added.items():
+            schema = schema.add(name, _parse_datatype_string(kind))
 
         def run(batches):
             searcher = Searcher(held.value, window)
@@ -156,37 +162,33 @@ def scan(
             for batch in batches:
                 results = [searcher.scan(t) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(k) for k in keep]
+                    [batch.column(k) for k in own]
                     + [
                         pa.array([r[0] for r in results], type=pa.int64()),
                         pa.array([[{"a": a, "b": b} for a, b in r[1]] for r in results], type=spans_type),
                         pa.array([r[2] for r in results], type=pa.list_(pa.string())),
                     ],
-                    names=[*keep, *added],
+                    names=[*own, *added],
                 )
 
-        return source.select(*keep, F.col("text")).mapInArrow(run, schema)
-
-    if len(blocks) == 1:
-        return scanned(docs, 0)
-    # A row's results from each block meet again under a hash of its columns and of its text; rows with equal texts have equal
-    # results, and their number is kept.
-    wanted, of_text = keep, fresh(docs.select(*keep), "of_text")
-    docs, keep = docs.withColumn(of_text, F.sha2("text", 256)), [*keep, of_text]
-    schema = docs.select(*keep).schema
-    for name, kind in added.items():
-        schema = schema.add(name, _parse_datatype_string(kind))
-    key = [F.xxhash64(*keep), F.xxhash64(F.lit(7), *keep)]
-    parts = None
-    for b in blocks:
-        part = scanned(docs, b).withColumn("block", F.lit(b))
-        parts = part if parts is None else parts.unionByName(part)
-    numbered = parts.withColumns({"k1": key[0], "k2": key[1]})
-    together = numbered.groupBy("k1", "k2", *keep).agg(
-        F.max("n_words").alias("n_words"),
-        F.flatten(F.collect_set("hit_spans")).alias("hit_spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        F.sum(F.when(F.col("block") == 0, 1).otherwise(0)).alias("copies"),
+        return source.select(*own, F.col("text")).mapInArrow(run, schema)
+
+    if blocks == 1:
+        return scanned(docs, keep, 0)
+    # Rows get numbers and are written once. What the blocks find in a row meets again under its number; texts stay where they are.
+    row = fresh(docs, "row_number")
+    numbered = materialize(docs.select(*keep, F.col("text")).withColumn(row, F.monotonically_increasing_id()), "decontaminate-rows")
+    first = scanned(numbered, [*keep, row], 0)
+    found = None
+    for b in range(1, blocks):
+        part = scanned(numbered, [row], b).where(F.size("items") > 0).select(row, "hit_spans", "items")
+        found = part if found is None else found.unionByName(part)
+    more = found.groupBy(row).agg(F.flatten(F.collect_list("hit_spans")).alias("more_spans"), F.flatten(F.collect_list("items")).alias("more_items"))
+    together = first.join(more, row, "left").select(
+        *keep,
+        "n_words",
+        F.concat("hit_spans", F.coalesce("more_spans", F.array().cast(added["hit_spans"]))).alias("hit_spans"),
+        F.array_sort(F.array_distinct(F.concat("items", F.coalesce("more_items", F.array().cast(added["items"]))))).alias("items"),
     )
     merged = F.aggregate(
         F.array_sort("hit_spans"),
@@ -198,7 +200,7 @@ def scan(
             )
         ),
     )
-    return together.withColumn("hit_spans", merged).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*wanted, *added)
+    return together.withColumn("hit_spans", merged)
 
 
 def report(scanned: DataFrame, keep: list[str], min_items: int = 2) -> DataFrame:
@@ -215,10 +217,9 @@ def report(scanned: DataFrame, keep: list[str], min_items: int = 2) -> DataFrame
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_items: int = 2) -> DataFrame:
     """The rows of ``docs`` that hold windows of fewer than ``min_items`` benchmark items, with their own columns."""
-    names = list(docs.columns)
-    text = next(c for c in names if c.lower() == "text")
-    plain = {c: fresh(docs, f"c{n}") for n, c in enumerate(names)}
-    renamed = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in plain.items()]).withColumn("text", F.col(plain[text]))
+    plain = {c: f"in_{n}" for n, c in enumerate(docs.columns)}
+    text = next(c for c in docs.columns if c.lower() == "text")
+    renamed = docs.select(*[column(c).alias(p) for c, p in plain.items()], column(text).alias("text"))
     found = scan(renamed, benchmark, keep=list(plain.values()))
     return found.where(F.size("items") < min_items).select(*[F.col(p).alias(c) for c, p in plain.items()])
 
