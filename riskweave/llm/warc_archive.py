@@ -7,8 +7,9 @@ An archive is a folder with two Parquet tables in the shared folder of the clust
   and fails on a difference.
 * ``records(page_id, digest, salt, header, http_header)``: the exact header bytes of each record, in the order of no key.
 
-A record is rebuilt by a join on the digest: header, HTTP header, payload, CRLF CRLF. A digest that very many records share
-is salted: its payload is repeated for each salt, and its records are dealt over the salts.
+A record is rebuilt by a join on the digest: header, HTTP header, payload, CRLF CRLF. A digest of more than ``HOT_RECORDS``
+records has a salt for every so many of them: its payload is repeated for each salt, and its records are dealt over the salts.
+A URL with line ends, which no header line can hold, has spaces for them there and its exact bytes in ``X-Target-URI-Hex``.
 
 Of records with equal payloads of at least ``least_bytes`` bytes the one with the largest page_id is ``response``, the others
 are ``revisit`` and refer to it; smaller ones are all ``response``. Rows that share both that payload and that page_id are all
@@ -21,12 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm._common import table, workspace
+from riskweave.llm._common import materialize, table, workspace
 
 LEAST_BYTES = 1000
-#: A payload shared by more records than this is dealt over SALTS keys.
+#: Records of one payload are dealt over a key for every so many of them.
 HOT_RECORDS = 1000
-SALTS = 32
+#: So many digests at most are broadcast, those with the most records.
+HOT_DIGESTS = 200_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -46,10 +48,15 @@ def _lines(*fields: tuple[str, Column]) -> Column:
     return F.concat(*out, F.lit("\r\n"))
 
 
+def _salts(n_records: Column) -> Column:
+    return F.ceil(n_records / HOT_RECORDS).cast("int")
+
+
 def write_archive(pages: DataFrame, root: str, least_bytes: int = LEAST_BYTES) -> str:
     """Archive ``pages(page_id, url, html)`` below ``root``."""
     rows = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"),
+        F.coalesce(F.col("url").cast("string"), F.lit("")).alias("exact"),
         F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), "[\\r\\n]", " ").alias("url"),
         F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"),
     ).withColumn("digest", F.unhex(F.sha2("payload", 256)))
@@ -67,16 +74,18 @@ def write_archive(pages: DataFrame, root: str, least_bytes: int = LEAST_BYTES) -
     )
     stored.select("digest", "n_records", verified.alias("payload")).write.option("parquet.block.size", 32 << 20).option("compression", "zstd").parquet(f"{root}/payloads")
 
-    narrow = rows.select("page_id", "url", "digest", F.octet_length("payload").cast("bigint").alias("n"), F.sha1("payload").alias("sha1"))
-    # Digests of several records, with the record that stays a response.
-    shared = (
-        narrow.groupBy("digest")
-        .agg(F.count(F.lit(1)).alias("n_records"), F.max(F.struct("page_id", "url")).alias("target"))
-        .where("n_records > 1")
-        .select(F.col("digest").alias("d"), "n_records", "target", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
+    hex_url = F.when(F.col("exact") != F.col("url"), F.hex(F.col("exact").cast("binary"))).alias("hex_url")
+    narrow = rows.select("page_id", "url", hex_url, "digest", F.octet_length("payload").cast("bigint").alias("n"), F.sha1("payload").alias("sha1"))
+    # Digests of several records, with the record that stays a response. Those of more than total / HOT_DIGESTS records, of which
+    # there are HOT_DIGESTS at most, are broadcast; the others' records meet in a shuffle.
+    shared = materialize(
+        narrow.groupBy("digest").agg(F.count(F.lit(1)).alias("n_records"), F.max(F.struct("page_id", "url")).alias("target")).where("n_records > 1").withColumnRenamed("digest", "d"), "warc-shared"
     )
-    spread = narrow.withColumn("s0", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    joined = spread.join(shared, (spread["digest"] == shared["d"]) & (spread["s0"] == shared["s"]), "left")
+    limit = max(HOT_RECORDS, -(-(shared.agg(F.sum("n_records")).first()[0] or 0) // HOT_DIGESTS))
+    met = narrow.join(F.broadcast(shared.where(F.col("n_records") > limit)), F.col("digest") == F.col("d"), "left")
+    columns = [*narrow.columns, "n_records", "target"]
+    rest = met.where(F.col("d").isNull()).select(*narrow.columns).join(shared.where(F.col("n_records") <= limit), F.col("digest") == F.col("d"), "left").select(*columns)
+    joined = met.where(F.col("d").isNotNull()).select(*columns).unionAll(rest)
     revisit = (F.col("n") >= least_bytes) & F.col("target.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("target.page_id"))
     revisit = F.coalesce(revisit, F.lit(False))
     http = F.concat(
@@ -88,6 +97,7 @@ def write_archive(pages: DataFrame, root: str, least_bytes: int = LEAST_BYTES) -
         ("WARC-Record-ID", _record_id(F.col("page_id"), F.col("url"))),
         ("WARC-Date", F.lit(DATE)),
         ("WARC-Target-URI", F.col("url")),
+        ("X-Target-URI-Hex", F.col("hex_url")),
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         ("WARC-Refers-To", F.when(revisit, _record_id(F.col("target.page_id"), F.col("target.url")))),
         ("WARC-Refers-To-Target-URI", F.when(revisit, F.col("target.url"))),
@@ -97,11 +107,10 @@ def write_archive(pages: DataFrame, root: str, least_bytes: int = LEAST_BYTES) -
         ("Content-Type", F.lit("application/http; msgtype=response")),
         ("Content-Length", block.cast("string")),
     )
-    hot = F.coalesce(F.col("n_records"), F.lit(1)) > HOT_RECORDS
     joined.select(
         "page_id",
         "digest",
-        F.when(hot, F.col("s0")).otherwise(F.lit(0)).alias("salt"),
+        F.pmod(F.xxhash64("page_id", "url"), _salts(F.coalesce("n_records", F.lit(1)))).cast("int").alias("salt"),
         header.cast("binary").alias("header"),
         http.cast("binary").alias("http_header"),
     ).write.option("compression", "zstd").parquet(f"{root}/records")
@@ -130,15 +139,14 @@ def read_archive(spark: SparkSession, root: str) -> DataFrame:
     """Every record, rebuilt by a join: page_id, url, record_type, refers_to, payload_bytes, payload_digest, header,
     http_header, payload. Columns that are not asked for are not read or moved: without ``payload`` the join is narrow."""
     held = payloads(spark, root)
-    salts = F.when(F.col("n_records") > HOT_RECORDS, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    held = held.withColumn("salt", F.explode(salts))
+    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), _salts(F.col("n_records")) - 1)))
     text = F.col("header").cast("string")
     return (
         records(spark, root)
         .join(held, ["digest", "salt"])
         .select(
             field(text, "X-Page-ID").cast("bigint").alias("page_id"),
-            F.coalesce(field(text, "WARC-Target-URI"), F.lit("")).alias("url"),
+            F.coalesce(F.unhex(field(text, "X-Target-URI-Hex")).cast("string"), field(text, "WARC-Target-URI"), F.lit("")).alias("url"),
             field(text, "WARC-Type").alias("record_type"),
             field(text, "X-Refers-To-Page-ID").cast("bigint").alias("refers_to"),
             "payload_bytes",
