@@ -36,7 +36,9 @@ TARGET_RECALL = 0.99999
 MOST_MINIMA = 128
 #: The most shingles, and the most classes, of one part of a bucket.
 PART_SHINGLES = 2_000_000
-PART_CLASSES = 2_048
+PART_CLASSES = 1_024
+#: Keys (an id and a hash each) up to this many are broadcast to select rows before a shuffle; more are met by the shuffle itself.
+BROADCAST_KEYS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -106,8 +108,9 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
                 names=["doc_id", "text_hash", "cls", "n_shingles", "bands"],
             )
 
-    keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    return keyed.mapInArrow(run, "doc_id bigint, text_hash bigint, cls string, n_shingles bigint, bands array<bigint>")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return keyed.mapInArrow(run, f"doc_id {kind}, text_hash bigint, cls string, n_shingles bigint, bands array<bigint>")
 
 
 def _verify(limit: float, shingle: int):
@@ -178,16 +181,16 @@ def _verify(limit: float, shingle: int):
     return run
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(cls, label): the smallest class name reached by each class along ``edges(a, b)``.
 
     Each round takes the smallest label of the neighbours, then follows labels to the labels of the classes they name, and
-    is written to the shared folder.
+    is written to the shared folder. Labels only fall, so the rounds end; their number grows with the logarithm of the longest path.
     """
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "jaccard-edges")
     nodes = both.select(F.col("a").alias("cls")).distinct()
     labels = materialize(nodes.select("cls", F.col("cls").alias("label")), "jaccard-labels")
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels.withColumnRenamed("cls", "b"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("label").alias("near"))
         moved = labels.join(near, "cls").select("cls", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("changed"))
         jump = moved.select(F.col("cls").alias("label"), F.col("label").alias("next"))
@@ -197,8 +200,6 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         if after.where("changed").isEmpty():
             break
         labels = after.select("cls", "label")
-    else:
-        raise RuntimeError("labels did not settle")
     return labels.select("cls", "label")
 
 
@@ -248,7 +249,8 @@ def link_classes(
     member = banded.join(kept, ["band", "bucket"]).select("cls", "doc_id", "text_hash", "band", "bucket", "parts", F.pmod(F.xxhash64(F.lit(2), "cls"), F.col("parts")).cast("int").alias("part"))
     seats = member.groupBy("cls", "doc_id", "text_hash").agg(F.collect_list(F.struct("band", "bucket", "parts", "part")).alias("seats"))  # at most one seat a band
     chosen = seats.join(reps.select("cls", "bands", "copies"), "cls")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("d"), F.xxhash64("text").alias("h"), "text")
+    chosen = materialize(chosen, "jaccard-chosen")
+    texts = selected(docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text"), "d", "h", chosen.select("doc_id", "text_hash"), "left_semi")
     met = (
         chosen.join(texts, chosen["doc_id"].eqNullSafe(texts["d"]) & (chosen["text_hash"] == texts["h"]))
         .select("cls", "copies", "bands", "text", F.explode("seats").alias("s"))
@@ -290,17 +292,28 @@ def keep_first(docs: DataFrame, **plan) -> DataFrame:
     """``docs`` with one row of each component of linked documents: the one with the smallest (doc_id, text hash). Of
     equal rows one stays. Rows without words are not compared and all stay."""
     rows, classes = link_classes(docs.select("doc_id", "text"), **plan)
-    d, h, n = (fresh(docs, x) for x in ("head_doc", "head_hash", "head_rows"))
-    heads = classes.select(F.col("head.doc_id").alias(d), F.col("head.text_hash").alias(h)).distinct()
+    d, h, n, stays = (fresh(docs, x) for x in ("head_doc", "head_hash", "head_rows", "head_stays"))
+    heads = classes.select(F.col("head.doc_id").alias("k"), F.col("head.text_hash").alias("g"), F.lit(True).alias(stays)).distinct()
     counted = rows.where(F.col("cls").isNotNull()).groupBy(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).agg(F.count(F.lit(1)).alias(n))
-    heads = heads.join(counted, heads[d].eqNullSafe(counted[d]) & (heads[h] == counted[h])).select(heads[d], heads[h], n)
-    keyed = F.xxhash64("text")
-    silent = docs.where(F.col("text").isNull() | ~_has_word())
-    spoken = docs.where(_has_word())
-    joined = spoken.join(heads, F.col("doc_id").cast("bigint").eqNullSafe(F.col(d)) & (keyed == F.col(h)))
-    single = joined.where(F.col(n) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
-    several = joined.where(F.col(n) > 1).dropDuplicates([d, h]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return single.unionAll(several).unionAll(silent)
+    # Keys of rows that go, and of rows that are there more than once: most rows are neither and stay where they are.
+    odd = counted.join(heads, counted[d].eqNullSafe(F.col("k")) & (counted[h] == F.col("g")), "left").select(d, h, n, F.coalesce(stays, F.lit(False)).alias(stays))
+    odd = materialize(odd.where(~F.col(stays) | (F.col(n) > 1)), "jaccard-odd")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn(h, F.when(_has_word(), F.xxhash64("text")))
+    plain = selected(keyed, "doc_id", h, odd.select(d, h), "left_anti").select(*names)
+    again = odd.where(stays).select(d, h)
+    several = selected(keyed, "doc_id", h, again, "left_semi").withColumn(d, F.col("doc_id")).dropDuplicates([d, h]).select(*names)
+    return plain.unionAll(several)
+
+
+def selected(rows: DataFrame, doc_id: str, text_hash: str, keys: DataFrame, how: str) -> DataFrame:
+    """``rows`` that have (left_semi) or have not (left_anti) one of ``keys`` (an id, which may be null, and a hash); a row with a null
+    hash has none. Up to ``BROADCAST_KEYS`` keys are broadcast, and rows stay where they are."""
+    k, g = keys.columns
+    keys = keys.select(F.col(k).alias("key_doc"), F.col(g).alias("key_hash"))
+    few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("key_doc")) & (F.col(f"`{text_hash}`") == F.col("key_hash"))
+    return rows.join(F.broadcast(keys) if few else keys, same, how)
 
 
 #: What str.split() takes for white space: a text with any other character has a word.
