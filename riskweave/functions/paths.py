@@ -11,6 +11,9 @@ PACKAGE_NAMES = (
     "package.json", "setup.py", "pyproject.toml", "requirements.txt", "go.mod", "cargo.toml", "gemfile", "pom.xml", "build.gradle", "composer.json", "makefile", "dockerfile",
 )
 PACKAGE_PARTS = ("install", "update")
+LOCK_NAMES = (
+    "package-lock.json", "npm-shrinkwrap.json", "yarn.lock", "pnpm-lock.yaml", "setup.cfg", "pipfile", "pipfile.lock", "poetry.lock", "go.sum", "cargo.lock", "gemfile.lock", "composer.lock",
+)
 CONFIG_NAMES = (
     ".npmrc", ".yarnrc", ".pnpmrc", ".pypirc", ".netrc", ".curlrc", ".wgetrc", ".bashrc", ".zshrc", ".profile", ".gitmodules", ".pre-commit-config.yaml", "procfile", "servicefile", "jenkinsfile", "crontab", "docker-compose.yml", "compose.yml", "compose.yaml",
 )
@@ -54,6 +57,11 @@ def is_package(path: Column) -> Column:
     return base_name(path).isin(*PACKAGE_NAMES) | has_part(path, PACKAGE_PARTS)
 
 
+def is_package_broad(path: Column) -> Column:
+    """Package files as the broad profile sees them: lock files too."""
+    return is_package(path) | base_name(path).isin(*LOCK_NAMES)
+
+
 def is_text_config(path: Column) -> Column:
     base = base_name(path)
     return (base == ".env") | base.startswith(".env.") | base.isin(*CONFIG_NAMES)

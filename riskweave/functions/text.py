@@ -18,14 +18,18 @@ def contains_any(text: Column, needles: Sequence[str]) -> Column:
 
 def near_lines(text: Column, left: Sequence[str], right: Sequence[str], reach: int) -> Column:
     """Whether a line with a needle of ``left`` is within ``reach`` lines of one with a needle of ``right``. The line numbers of
-    both sides are found in one pass each; nothing is exploded or joined."""
+    both sides are found in one pass each and compared with their neighbours alone; nothing is exploded or joined."""
     lines = F.split(text, "\n", -1)
 
     def numbers(needles: Sequence[str]) -> Column:
         return F.filter(F.transform(lines, lambda line, i: F.when(contains_any(line, needles), i)), lambda i: i.isNotNull())
 
-    pairs = F.transform(F.array(F.struct(numbers(left).alias("a"), numbers(right).alias("b"))), lambda x: F.exists(x["a"], lambda a: F.exists(x["b"], lambda b: F.abs(a - b) <= reach)))
-    return F.coalesce(pairs[0], F.lit(False))
+    # Both lists are sorted together: if any two of unlike sides are near, so are two that follow each other (a line of both sides is
+    # next to itself).
+    marked = lambda side, of: F.transform(of, lambda n: F.struct(n.alias("n"), F.lit(side).alias("s")))
+    merged = F.sort_array(F.concat(marked(0, numbers(left)), marked(1, numbers(right))))
+    near = F.transform(F.array(merged), lambda m: F.exists(F.transform(m, lambda x, k: F.struct(x.alias("x"), F.get(m, k - 1).alias("y"))), lambda p: (p["x"]["s"] != p["y"]["s"]) & (p["x"]["n"] - p["y"]["n"] <= reach)))
+    return F.coalesce(near[0], F.lit(False))
 
 
 def html_comments(text: Column) -> Column:

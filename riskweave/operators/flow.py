@@ -7,17 +7,21 @@ an equi-join of the paths written and the paths used, on package and path.
 
 from __future__ import annotations
 
+import posixpath
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.functions.layout import spread
+from riskweave.functions.lexicon import Scanner
 from riskweave.functions.paths import is_code, is_doc, is_package, is_text_config, normalized
 
 # Bounds, weights, and the services to which a credential of their own may go.
-STATEMENTS, STATEMENT_BYTES, TAINTS, FINDINGS, REACH, TRANSFORMS = 12_000, 32_768, 512, 32, 600, 4
+STATEMENTS, STATEMENT_BYTES, TAINTS, FINDINGS, REACH = 12_000, 32_768, 512, 32, 600
 PROVIDERS = {
     "openai": "api.openai.com", "azure_openai": "openai.azure.com", "anthropic": "api.anthropic.com", "github": "api.github.com", "gh_token": "api.github.com", "slack": "slack.com", "google": "googleapis.com", "gemini": "googleapis.com",
     "hf_": "huggingface.co", "huggingface": "huggingface.co", "nvidia": "nvidia.com", "notion": "api.notion.com", "linear": "api.linear.app", "stripe": "api.stripe.com", "discord": "discord.com", "telegram": "api.telegram.org",
@@ -48,26 +52,28 @@ _SINKS = (
 )
 _AUTH = ("authorization", "bearer", "x-api-key", "auth=", "api_key=", "apikey")
 _BODY = ("json=", "data=", "body", "files=", "params=")
-_TRANSFORM = (("base64", "base64"), ("b64", "base64"), ("zlib", "compress"), ("gzip", "compress"), ("json.dumps", "serialize"), ("stringify", "serialize"), ("encode(", "encode"))
+
+
+_MARKS = re.compile(r"[\\\\\"'`(\[{)\]}\n;]")
 
 
 def statements(text: str) -> list[tuple[int, str]]:
     """(first line number from 1, statement): lines joined while a bracket is open, cut at semicolons outside brackets and quotes."""
-    out, depth, quote, part, begin, line, k = [], 0, "", [], 1, 1, 0
+    out, depth, quote, begin, line, start, escaped = [], 0, "", 1, 1, 0, -1
 
-    def flush() -> None:
-        s = "".join(part).strip()
+    def flush(end: int) -> None:
+        s = text[start:end].strip()
         if s and not s.startswith(("#", "//", "/*", "*", "<!--")):
             out.append((begin, s))
-        part.clear()
 
-    while k < len(text):
-        c = text[k]
+    for m in _MARKS.finditer(text):
+        k, c = m.start(), m.group()
+        if k == escaped:
+            line += c == "\n"
+            continue
         if quote:
             if c == "\\":
-                part.append(text[k : k + 2])
-                line += text[k : k + 2].count("\n")
-                k += 2
+                escaped = k + 1
                 continue
             if c == quote or c == "\n":
                 quote = ""
@@ -78,38 +84,80 @@ def statements(text: str) -> list[tuple[int, str]]:
         elif c in ")]}":
             depth = max(0, depth - 1)
         if not quote and depth == 0 and c in "\n;":
-            flush()
-            begin = line + (c == "\n")
-        else:
-            part.append(c)
+            flush(k)
+            start, begin = k + 1, line + (c == "\n")
         line += c == "\n"
-        k += 1
-    flush()
+    flush(len(text))
     return out
 
 
-def _sources(expr: str) -> list[tuple[str, str]]:
-    out = []
-    for m in _ENV.finditer(expr):
-        name = next(g for g in m.groups() if g)
-        if _SENSITIVE_NAME.search(name):
-            out.append(("credential", name))
-    path = _FILE.search(expr)
-    if _SENSITIVE_PATH.search(expr):
+#: Literals of which a statement must have one for a pattern above to match. One pass of an automaton tells which patterns to try.
+_LITERALS = {
+    "env": ("getenv", "environ", "env::var", "process.env", "$"), "file": ("open", "read_text", "readfile", "read_file", "cat"), "sensitive": (".ssh/", "id_rsa", "id_ed25519", ".aws/", ".env", ".npmrc", ".netrc", ".pypirc", ".kube/config", "serviceaccount"),
+    "metadata": ("169.254.169.254", "metadata.google.internal"), "remote": ("requests.get", "urlopen", "fetch(", "axios.get", "http.get", "curl", "wget"), "user": ("input(", "sys.argv", "process.argv", "req.", "request."),
+    "config": ("json.load", "config[", "manifest[", "metadata[", "tool_description"), "url": ("://",), "write": ("writefile", ".write", "write", "curl", "wget"), "loads": ("pickle", "marshal", "yaml", "unserialize(", "objectinputstream(", "dill", "joblib"),
+    "s_deserialize": ("pickle.load", "marshal.load", "yaml.", "unserialize(", "readobject(", "dill.load"), "s_load": ("importlib.", "__import__(", "import(", "require(", "dlopen(", "load_module("), "s_control": ("127.0.0.1", "localhost"),
+    "s_exec": ("eval(", "exec", "os.system(", "subprocess.", "child_process", "spawn", "|"), "s_network": ("requests.", "axios.", "fetch(", ".post(", "curl", "sendbeacon(", ".send"),
+}
+_STARTS = ("bash", "sh", "source", "chmod", "./")
+
+
+@lru_cache(1)
+def _literals() -> Scanner:
+    return Scanner(_LITERALS)
+
+
+def _quiet(text: str) -> bool:
+    """Whether no statement of a text can be a sink or a write, or load anything."""
+    scanner = _literals()
+    if scanner.mask(text) & scanner.any("write|loads|s_deserialize|s_load|s_control|s_exec|s_network"):
+        return False
+    return not any(start in text for start in _STARTS)
+
+
+_UNSAFE_LOAD = re.compile(r"pickle\.loads?\(|dill\.loads?\(|marshal\.loads?\(|joblib\.load\(|jsonpickle\.decode\(|yaml\.unsafe_load\(|objectinputstream\(|unserialize\(")
+
+
+def loads_safely(all_statements: list[tuple[int, str]]) -> bool | None:
+    """True if the file loads YAML with a safe loader and deserializes nothing otherwise, False if it does; None if it loads nothing."""
+    safe = unsafe = False
+    for _, s in all_statements:
+        if _UNSAFE_LOAD.search(s):
+            unsafe = True
+        if "yaml.load(" in s:
+            safe, unsafe = (True, unsafe) if "safeloader" in s else (safe, True)
+    return False if unsafe else True if safe else None
+
+
+def _sources(expr: str, mask: int) -> list[tuple[str, str]]:
+    bit, out = _literals().bit, []
+    if mask & bit["env"]:
+        for m in _ENV.finditer(expr):
+            name = next(g for g in m.groups() if g)
+            if _SENSITIVE_NAME.search(name):
+                out.append(("credential", name))
+    remote = bool(mask & bit["remote"]) and _REMOTE.search(expr) is not None
+    path = _FILE.search(expr) if mask & bit["file"] else None
+    if mask & bit["sensitive"] and _SENSITIVE_PATH.search(expr):
         out.append(("credential", "file"))
-    elif path and not _REMOTE.search(expr):
+    elif path and not remote:
         out.append(("file", path.group(1)))
-    if _METADATA.search(expr):
+    if mask & bit["metadata"] and _METADATA.search(expr):
         out.append(("credential", "metadata"))
-    elif _REMOTE.search(expr):
+    elif remote:
         out.append(("remote", ""))
-    if _USER.search(expr):
+    if mask & bit["user"] and _USER.search(expr):
         out.append(("user", ""))
-    if _CONFIG.search(expr):
+    if mask & bit["config"] and _CONFIG.search(expr):
         out.append(("config", ""))
     return out
 
 
+def whole_path(path: str) -> str:
+    """A path's one spelling, so that equal paths meet and unlike paths with equal last parts do not."""
+    return posixpath.normpath(path.strip().replace("\\", "/"))
+
+
 def _provider_auth(statement: str, symbols: list[str], names: list[str], host: str) -> bool:
     """Whether every credential goes to its own service, and every use of it follows an authentication word more closely than a
     body word."""
@@ -129,21 +177,29 @@ def _provider_auth(statement: str, symbols: list[str], names: list[str], host: s
 def fold_file(rel: str, text: str) -> tuple[list[dict], bool]:
     """(rows, truncated) of one lower-case file; rows have kind finding, write, use or auth."""
     rows, taints, hosts, found = [], {}, {}, 0
+    if len(text) <= STATEMENT_BYTES // 4 and text.count("\n") + text.count(";") < STATEMENTS and _quiet(text):
+        return [], False
     all_statements = statements(text)
+    safe = loads_safely(all_statements)
+    if safe is not None:
+        rows.append({"kind": "safe" if safe else "unsafe", "rule_id": "", "category": "", "weight": 0.0, "line": 0, "path": ""})
     truncated = len(all_statements) > STATEMENTS or any(len(s.encode()) > STATEMENT_BYTES for _, s in all_statements)
     install = "install" in rel or "setup.py" in rel or "package.json" in rel
+    scanner = _literals()
+    bit = scanner.bit
     context = "install" if install else "update" if "update" in rel or "hot" in rel else ""
     for line, s in all_statements[:STATEMENTS]:
         s = s[:STATEMENT_BYTES]
-        assign = _ASSIGN.match(s)
+        mask = scanner.mask(s)
+        assign = _ASSIGN.match(s) if "=" in s else None
         expr = assign.group(2) if assign else s
-        direct = [(kind, name, "", line) for kind, name in _sources(expr)]
-        names = set(_NAME.findall(expr))
+        direct = [(kind, name, "", line) for kind, name in _sources(expr, mask)]
+        names = set(_NAME.findall(expr)) if taints or hosts else set()
         reached = [(*t[:2], sym, t[3]) for sym, ts in taints.items() if sym in names for t in ts if 0 <= line - t[3] <= REACH]
         flows = direct + reached
-        url = _URL.search(s)
+        url = _URL.search(s) if mask & bit["url"] else None
         host = url.group(1) if url else next((hosts[n] for n in names if n in hosts), "")
-        sinks = [name for name, pattern in _SINKS if pattern.search(s)]
+        sinks = [name for name, pattern in _SINKS if (mask & bit[f"s_{name}"] or (name == "exec" and s.startswith(_STARTS))) and pattern.search(s)]
         for sink in sinks:
             kinds = {f[0] for f in flows}
             hit = None
@@ -161,6 +217,7 @@ def fold_file(rel: str, text: str) -> tuple[list[dict], bool]:
                 hit = ("R0004", "ast07", 6.5)
             elif sink == "control" and kinds & {"user", "config", "remote"} and reached:
                 hit = ("R0005", "ast06", 6.4)
+            truncated |= bool(hit) and found >= FINDINGS
             if hit and found < FINDINGS:
                 found += 1
                 rows.append({"kind": "finding", "rule_id": hit[0], "category": hit[1], "weight": hit[2], "line": line, "path": ""})
@@ -168,23 +225,25 @@ def fold_file(rel: str, text: str) -> tuple[list[dict], bool]:
                 for m in _PATHS.finditer(s):
                     p = (m.group(1) or m.group(2)).split()[-1:] or [""]
                     if "." in p[0] or "/" in p[0]:
-                        rows.append({"kind": "use", "rule_id": "install" if install and sink == "exec" else sink, "category": "", "weight": 0.0, "line": line, "path": p[0].removeprefix("./")})
-        w = _WRITE.search(s)
+                        rows.append({"kind": "use", "rule_id": "install" if install and sink == "exec" else sink, "category": "", "weight": 0.0, "line": line, "path": whole_path(p[0])})
+        w = _WRITE.search(s) if mask & bit["write"] else None
         if w and (any(f[0] in ("remote", "user", "config") for f in flows) or w.group(5)):
             target = w.group(1) or w.group(3) or w.group(5)
-            rows.append({"kind": "write", "rule_id": "", "category": "", "weight": 0.0, "line": line, "path": target.removeprefix("./")})
+            rows.append({"kind": "write", "rule_id": "", "category": "", "weight": 0.0, "line": line, "path": whole_path(target)})
         if assign:
             symbol = assign.group(1).split(".")[0]
             if url:
                 hosts[symbol] = url.group(1)
+            truncated |= bool(flows) and symbol not in taints and len(taints) >= TAINTS
             if flows and (symbol in taints or len(taints) < TAINTS):
-                taints[symbol] = [(k, n, "", ln) for k, n, _, ln in flows][:8]
+                taints[symbol] = list({(k, n): (k, n, "", ln) for k, n, _, ln in flows}.values())
             elif not flows:
                 taints.pop(symbol, None)
         else:
             m = re.match(r"\s*([a-z_$][\w$]*)(?:\[[^\]]*\]\s*=|\.(?:append|extend|update|push|set)\()", s)
             if m and flows and (m.group(1) in taints or len(taints) < TAINTS):
-                taints[m.group(1)] = [(k, n, "", ln) for k, n, _, ln in flows][:8]
+                held = taints.get(m.group(1), [])
+                taints[m.group(1)] = list({(k, n): (k, n, "", ln) for k, n, _, ln in [*held, *flows]}.values())
     return rows, truncated
 
 
@@ -202,27 +261,24 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _SCHEMA.split(", ")])
 
 
+def in_flow_scope(path: Column) -> Column:
+    """Code, package and configuration files."""
+    return (is_code(path) | is_package(path) | is_text_config(path)) & ~(is_doc(path) & ~is_package(path))
+
+
 def flow_rows(files: DataFrame) -> DataFrame:
     """What each code, package or configuration file of ``files(skill_id, rel, text)`` shows; null and empty texts show nothing."""
-    path = normalized(F.col("rel"))
-    scope = (is_code(path) | is_package(path) | is_text_config(path)) & ~(is_doc(path) & ~is_package(path))
-    return files.where(scope & (F.length("text") > 0)).select("skill_id", "rel", F.lower("text").alias("low")).mapInPandas(_fold, _SCHEMA)
+    scope = in_flow_scope(normalized(F.col("rel")))
+    return spread(files.where(scope & (F.length("text") > 0)).select("skill_id", "rel", F.lower("text").alias("low"))).mapInPandas(_fold, _SCHEMA)
 
 
 def flow_findings(rows: DataFrame) -> DataFrame:
     """skill_id, file, rule_id, category, weight, line: flows within files, and artifacts written by one statement and run, loaded
     or deserialized by another of the package."""
     keep = ("skill_id", "file", "rule_id", "category", "weight", "line")
-    writes = rows.where("kind = 'write'").select("skill_id", F.substring_index("path", "/", -1).alias("name")).distinct()
-    uses = rows.where("kind = 'use'").withColumn("name", F.substring_index("path", "/", -1))
+    writes = rows.where("kind = 'write'").select("skill_id", "path").distinct()
+    uses = rows.where("kind = 'use'")
     category = F.coalesce(*[F.when(F.col("rule_id") == k, v[0]) for k, v in BRIDGE_WEIGHTS.items()])
     weight = F.coalesce(*[F.when(F.col("rule_id") == k, v[1]) for k, v in BRIDGE_WEIGHTS.items()])
-    bridged = uses.join(writes, ["skill_id", "name"], "left_semi").select("skill_id", "file", F.lit("R0006").alias("rule_id"), category.alias("category"), weight.alias("weight"), "line")
+    bridged = uses.join(writes, ["skill_id", "path"], "left_semi").select("skill_id", "file", F.lit("R0006").alias("rule_id"), category.alias("category"), weight.alias("weight"), "line")
     return rows.where("kind = 'finding'").select(*keep).unionByName(bridged.select(*keep)).distinct()
-
-
-def flow_summary(rows: DataFrame) -> DataFrame:
-    """skill_id, only_expected_auth (credentials go to their own services and no flow was found), flow_truncated."""
-    return rows.groupBy("skill_id").agg(
-        (F.bool_or(F.col("kind") == "auth") & ~F.bool_or(F.col("kind").isin("finding", "write"))).alias("only_expected_auth"), F.bool_or("truncated").alias("flow_truncated")
-    )

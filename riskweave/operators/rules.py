@@ -1,27 +1,36 @@
-"""Rules as boolean algebra over signals: one row a rule, evaluated for all files in one pass, and for packages over flags.
+"""Rules as boolean algebra over signals: a row each.
 
-A file is searched once for each signal; a rule is then an AND of ORs over booleans. Rules over packages (``PACKAGE_RULES``)
-read per-file flags merged with ``bool_or``, which combine map-side: no file text is shuffled.
+A file's text is searched once, by one automaton that tells which signals occur as a bit set; a rule is then an AND of ORs over bits.
+Files are looked at in Arrow batches where they lie, and leave as a few compact events; the plan has the same size however many
+rules there are. Rules over packages (``PACKAGE_RULES``) read flags that files raise: no text is shuffled.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.functions.lexicon import SIGNALS, any_of, signal, signal_sql, teaching_context
-from riskweave.functions.markdown import active_view, risky_block
-from riskweave.functions.paths import base_name, has_part, is_code, is_doc, is_manifest, is_package, is_text_config, normalized
+from riskweave.functions import paths
+from riskweave.functions.layout import spread
+from riskweave.functions.lexicon import SIGNALS, TEACHING, Scanner
+from riskweave.functions.markdown import active_view, risky
+from riskweave.operators import chains
 from riskweave.operators.scoring import MOCK_MARKS
 
 
 @dataclass(frozen=True)
 class Rule:
     """``needs``: space-separated signals, all of them; ``a|b`` is either. ``near``: the first two signals must be within so many
-    lines. ``within``: all in one ``block`` (between blank lines) or HTML ``comment``. ``doc_weight``: weak in documents with it.
-    ``lasting``: a strong finding in a document counts in full. ``profile``: base, broad or both."""
+    lines. ``within``: all in one ``block`` (between blank lines) or HTML ``comment`` (``long``: of at least 120 characters), or of a
+    ``script`` of one name. ``doc_weight``: weak in documents with it. ``lasting``: a strong finding in a document counts in full.
+    ``raw``: over the whole text, not the active view. ``profile``: base, broad or both. ``yields``: gives way to these rules."""
 
     rule_id: str
     category: str
@@ -36,6 +45,8 @@ class Rule:
     lasting: bool = False
     raw: bool = False
     profile: str = "both"
+    yields: str = ""
+    chain: int = 0
 
 
 # Identifiers, categories, weights and strength; the predicates are this library's own.
@@ -52,6 +63,8 @@ RULES = (
     Rule("R0017", "ast01", 5.8, True, "code", "ide read decode send fetch", profile="base"),
     Rule("R0018", "ast02", 5.7, True, "mcp", "shell|install fetch|registry exfil|send", profile="base"),
     Rule("R0019", "ast04", 5.0, True, "doc manifest agent", "override secret|send|exec actor", within="comment", profile="base"),
+    Rule("R0019", "ast04", 5.0, True, "doc manifest agent", "actor persona imperative", within="comment", profile="base"),
+    Rule("R0019", "ast04", 5.0, True, "doc manifest agent", "bidi_name", within="long", profile="base"),
     Rule("R0020", "ast08", 5.2, True, "skill", "conceal exec|run_binary", "approval", lasting=True, profile="base"),
     Rule("R0021", "ast01", 3.2, False, "skill", "remove|destroy automatic", "approval", within="block", profile="base"),
     Rule("R0022", "ast01", 6.4, True, "code manifest skill", "reverse", lasting=True, profile="base"),
@@ -63,16 +76,18 @@ RULES = (
     Rule("R0028", "ast05", 5.2, True, "code manifest", "proto untrusted privilege", profile="base"),
     Rule("R0029", "ast04", 5.3, True, "doc", "invisible override send|exec|secret", lasting=True, raw=True, profile="base"),
     Rule("R0029", "ast04", 5.3, True, "doc", "override send|exec|secret", within="comment", lasting=True, profile="base"),
+    Rule("R0029", "ast04", 5.3, True, "doc", "actor persona imperative", within="comment", lasting=True, profile="base"),
+    Rule("R0029", "ast04", 5.3, True, "doc", "bidi_name", within="long", lasting=True, profile="base"),
     Rule("R0030", "ast07", 5.6, True, "code manifest package", "watch fetch load", lasting=True, profile="base"),
     Rule("R0031", "ast08", 5.1, True, "code manifest", "scanner tamper exec|send|secret", profile="base"),
-    Rule("R0032", "ast01", 5.8, True, "skill", "actor secret send", "override", lasting=True),
+    Rule("R0032", "ast01", 5.8, True, "skill", "actor secret send", lasting=True, yields="R0019 R0029 R0038"),
     Rule("R0033", "ast01", 5.5, True, "code skill", "memory write override|bypass"),
     Rule("R0034", "ast01", 5.8, True, "code manifest", "websocket exec|secret"),
     Rule("R0035", "ast06", 5.6, True, "code manifest skill", "local_url agent_api control", doc_weight=3.2),
     Rule("R0036", "ast05", 5.7, True, "code manifest yaml", "yaml_tag exec", lasting=True),
     Rule("R0037", "ast01", 5.4, True, "code manifest", "token_shape send", lasting=True),
     Rule("R0038", "ast04", 5.5, True, "manifest mcp", "override send|secret|exec"),
-    Rule("R0039", "ast01", 5.4, True, "skill", "actor workspace send", "override", lasting=True),
+    Rule("R0039", "ast01", 5.4, True, "skill", "actor workspace send", lasting=True, yields="R0019 R0029 R0038"),
     Rule("R0040", "ast04", 5.4, True, "manifest", "brand official low_trust net_cap|secret", "disclaimer"),
     Rule("R0041", "ast02", 5.8, True, "agent config", "auto_run exec fetch|secret"),
     Rule("R0042", "ast02", 5.6, True, "docker", "docker_add entry", "integrity"),
@@ -107,6 +122,7 @@ RULES = (
     Rule("R0071", "ast01", 5.4, True, "code manifest", "policy_file write|tamper no_approval|tamper"),
     Rule("R0072", "ast10", 5.1, True, "any", "platform security_meta weaken identity_loss"),
     Rule("R0073", "ast01", 5.7, True, "code manifest", "exec secret|send|decode|destroy"),
+    Rule("R0074", "ast01", 3.0, False, "code", "exec", "secret|send|decode|destroy"),
     Rule("R0075", "ast01", 6.2, True, "code manifest", "secret send read"),
     Rule("R0076", "ast01", 4.4, True, "code", "destroy"),
     Rule("R0077", "ast01", 4.3, True, "code", "secret read|send|exec"),
@@ -187,7 +203,7 @@ PACKAGE_RULES = (
     Rule("R0150", "ast10", 4.6, False, "", "platform@any reuse@any", profile="broad"),
 )
 
-# Path parts of the scopes that roles do not cover.
+# Path parts of the scopes that roles do not cover, and the path families of chains.
 SCOPE_PARTS = {
     "agent": (".claude", ".cursor", ".vscode", "mcp", "settings.json", "hooks"),
     "mcp": ("mcp",),
@@ -197,165 +213,289 @@ SCOPE_PARTS = {
     "startup": (".plist", ".service", "autostart", "crontab", "launchagents"),
     "install": ("install", "update", "setup.py"),
 }
+SCRIPTS = (".py", ".js", ".ts", ".sh", ".rb", ".php", ".java", ".ps1")
+FAMILY_PARTS = {
+    "agent": ("mcp", "claude", "settings", "agent"),
+    "supply": ("package", "setup", "pyproject", "requirements", "cargo", "go.mod", "makefile", "dockerfile", "build", "install", ".github/"),
+    "load": (*SCRIPTS, ".yaml", ".yml", ".md"),
+    "isolation": ("dockerfile", "compose", ".yaml", ".yml", ".sh", ".py", ".js", ".service", ".plist", ".ps1"),
+    "store": (*SCRIPTS, ".md", ".json"),
+    "cloud": (*SCRIPTS, ".yaml", ".yml", ".json", ".tf", ".md"),
+    "ide": (".js", ".ts", ".py", ".json", "manifest"),
+    "update": (".md", *SCRIPTS, ".json", ".yaml", ".yml"),
+    "policy": (".md", ".json", ".yaml", ".yml", *SCRIPTS),
+    "cross": (".md", ".json", ".yaml", ".yml", ".py", ".js", "manifest"),
+}
 NATIVE = r"\.(exe|dll|so|dylib|bin|wasm|class)$"
 SKILL_NAMES = ("skill.md", "agents.md", "claude.md", ".cursorrules")
 
-
-def scopes(path: Column) -> dict[str, Column]:
-    out = {"any": F.lit(True), "doc": is_doc(path), "code": is_code(path), "manifest": is_manifest(path), "package": is_package(path), "config": is_text_config(path)}
-    out["skill"] = out["doc"] | out["manifest"] | base_name(path).isin(*SKILL_NAMES) | path.contains(".cursor")
-    return out | {name: has_part(path, parts) for name, parts in SCOPE_PARTS.items()}
+CHAIN_RULES = tuple(
+    Rule(f"R0132-{n:03d}", category, weight, n not in chains.WEAK, f"chain_{family}", needs, raw=True, profile="base", chain=n) for n, category, weight, family, needs in chains.rows()
+) + (Rule(f"R0132-{chains.DOCUMENT_ROW:03d}", "ast08", chains.DOCUMENT_WEIGHT, False, "chain_document", next(r[4] for r in chains.rows() if r[0] == chains.DOCUMENT_ROW), raw=True, profile="base", chain=chains.DOCUMENT_ROW),)
+FILE_RULES = RULES + CHAIN_RULES
+ALL_SIGNALS = SIGNALS | chains.CHAIN_SIGNALS
 
 
-def _terms(needs: str) -> list[list[str]]:
-    return [t.split("|") for t in needs.split()]
+SCOPES = (*("any", "doc", "code", "manifest", "package", "config", "skill"), *SCOPE_PARTS, *(f"chain_{f}" for f in FAMILY_PARTS), "chain_document")
 
 
-def _all(terms: list[list[str]], holds) -> Column:
-    out = F.lit(True)
-    for t in terms:
-        either = F.lit(False)
-        for s in t:
-            either = either | holds(s)
-        out = out & either
-    return out
+@lru_cache(100_000)
+def path_scopes(path: str, broad: bool = False) -> int:
+    """The scopes of a normalized path as one number; bit k is ``SCOPES[k]``. The roles are those of ``functions/paths.py``, which says
+    them as columns."""
+    base = path.rsplit("/", 1)[-1]
+    some = lambda parts: any(p in path for p in parts)
+    roles = {
+        "any": True,
+        "doc": path.endswith(paths.DOC_ENDS) or "docs/" in path,
+        "code": path.endswith(paths.CODE_ENDS),
+        "manifest": "manifest" in base or base in paths.MANIFEST_NAMES or "metadata/" in path,
+        "package": base in paths.PACKAGE_NAMES or some(paths.PACKAGE_PARTS) or (broad and base in paths.LOCK_NAMES),
+        "config": base == ".env" or base.startswith(".env.") or base in paths.CONFIG_NAMES,
+    }
+    roles["skill"] = roles["doc"] or roles["manifest"] or base in SKILL_NAMES or ".cursor" in path
+    active = roles["code"] or roles["manifest"] or roles["package"] or roles["config"]
+    roles |= {name: some(parts) for name, parts in SCOPE_PARTS.items()}
+    roles |= {f"chain_{name}": active and some(parts) for name, parts in FAMILY_PARTS.items()}
+    roles["chain_document"] = not active and roles["skill"] and some(FAMILY_PARTS["update"])
+    return sum(1 << k for k, name in enumerate(SCOPES) if roles[name])
 
 
-def _named(terms: list[list[str]], name) -> str:
-    """``_all`` over columns by name, as SQL: rules are many, and a Column object for each operator is slow to build."""
-    return "(" + " AND ".join("(" + " OR ".join(name(s) for s in t) + ")" for t in terms) + ")"
+def normalized(rel: str) -> str:
+    return rel.lower().replace("\\", "/")
 
 
-def _near(text: Column, rule: Rule) -> Column:
-    lines = F.split(text, "\n", -1)
-    left, right = ([w for s in t for w in SIGNALS[s]] for t in _terms(rule.needs)[:2])
+def _terms(needs: str) -> list[list[str]]:
+    return [t.split("|") for t in needs.split()]
 
-    def numbers(words) -> Column:
-        return F.filter(F.transform(lines, lambda x, i: F.when(any_of(x, tuple(words)), i)), lambda i: i.isNotNull())
 
-    both = F.transform(F.array(F.struct(numbers(left).alias("a"), numbers(right).alias("b"))), lambda p: F.exists(p["a"], lambda a: F.exists(p["b"], lambda b: F.abs(a - b) <= rule.near)))
-    return both[0]
+def _named(terms: list[list[str]], name: Callable[[str], str]) -> str:
+    """SQL for an AND of ORs; rules are many, and a Column object for each operator is slow to build."""
+    return "(" + " AND ".join("(" + " OR ".join(name(s) for s in t) + ")" for t in terms) + ")"
 
 
-def _same_script(text: Column) -> Column:
-    """Whether a script named on a line that downloads is run under the same name: the names of both kinds of line are met as
-    sets, so the cost is linear in the text."""
-    name = r"([\w.-]+\.(?:sh|py|js|ps1|bash|rb|pl))\b"
-    got = F.regexp_extract_all(text, F.lit(r"(?:curl|wget|invoke-webrequest)[^\n]*?" + name), F.lit(1))
-    run = F.regexp_extract_all(text, F.lit(r"(?:^|[\n;&|`])\s*(?:(?:bash|sh|python3?|node|source|chmod \+x|sudo)\s+|\./)+(?:[\w.-]*/)*" + name), F.lit(1))
-    return F.arrays_overlap(got, run)
+def reason(r: Rule) -> str:
+    """What a rule's finding says, from its signals."""
+    how = f"within {r.near} lines" if r.near else f"in one {r.within}" if r.within else "across files" if "@" in r.needs else f"chain {r.chain}" if r.chain else "in one file"
+    parts = [" or ".join(x.split("@")[0].removeprefix("c_").replace("+", " with ").replace("_", " ") for x in t) for t in _terms(r.needs)]
+    return f"{', '.join(parts)} {how}" if parts else "bundled native executable"
 
 
-def _pieces(text: Column, within: str) -> Column:
-    return F.split(text, r"\n[ \t]*\n") if within == "block" else F.regexp_extract_all(text, F.lit(r"(?s)<!--(.*?)(?:-->|\z)"), F.lit(1))
+_BLANK = re.compile(r"\n[ \t]*\n")
+_COMMENT = re.compile(r"<!--(.*?)(?:-->|\Z)", re.S)
+_GOT = re.compile(r"(?:curl|wget|invoke-webrequest)[^\n]*?([\w.-]+\.(?:sh|py|js|ps1|bash|rb|pl))\b")
+_RUN = re.compile(r"(?:^|[\n;&|`])\s*(?:(?:bash|sh|python3?|node|source|chmod \+x|sudo)\s+|\./)+(?:[\w.-]*/)*([\w.-]+\.(?:sh|py|js|ps1|bash|rb|pl))\b")
+_TOLD = re.compile(r"(?:\./|bin/|run (?:the )?|start (?:the )?|execute (?:the )?|launch (?:the )?|chmod \+x |`)([\w-]+(?:\.[\w-]+)*)")
+_TEACHING = re.compile(TEACHING)
+
+
+class _Text:
+    """A text with the bit sets of its parts, each worked out when first asked for."""
+
+    def __init__(self, text: str, scanner: Scanner):
+        self.text, self.scanner, self.mask, self.parts = text, scanner, scanner.mask(text), {}
+
+    def masks(self, kind: str) -> list[int]:
+        if kind not in self.parts:
+            if kind == "line":
+                pieces = self.text.split("\n")
+            elif kind == "block":
+                pieces = _BLANK.split(self.text)
+            else:
+                pieces = [c for c in _COMMENT.findall(self.text) if kind == "comment" or len(c.strip()) >= 120]
+            self.parts[kind] = [self.scanner.mask(p) for p in pieces]
+        return self.parts[kind]
+
+    def same_script(self) -> bool:
+        """Whether a script named on a line that downloads is run under the same name."""
+        if "same" not in self.parts:
+            self.parts["same"] = not set(_GOT.findall(self.text)).isdisjoint(_RUN.findall(self.text))
+        return self.parts["same"]
+
+    def near(self, left: int, right: int, reach: int) -> bool:
+        """Whether a line with a signal of ``left`` is within ``reach`` lines of one with a signal of ``right``: each is compared with its
+        neighbours alone."""
+        lines = self.masks("line")
+        b = [k for k, m in enumerate(lines) if m & right]
+        for k, m in enumerate(lines):
+            if m & left:
+                at = bisect_left(b, k - reach)
+                if at < len(b) and b[at] <= k + reach:
+                    return True
+        return False
+
+
+class RuleBook:
+    """Rules and flags compiled to bit sets, for a worker."""
+
+    def __init__(self, rules: tuple[Rule, ...] = FILE_RULES, package_rules: tuple[Rule, ...] = ()):
+        self.scanner = Scanner(ALL_SIGNALS | {"_mock": MOCK_MARKS})
+        bit, self.scope = self.scanner.bit, {name: 1 << k for k, name in enumerate(SCOPES)}
+        masks = lambda needs: [self.scanner.any(t) for t in needs.split()]
+        self.rules = [(r, sum(self.scope[s] for s in r.scope.split()), masks(r.needs), masks(r.unless)) for r in rules]
+        self.reasons = {id(r): reason(r) for r in rules}
+        self.flags = [(n, self.scope[n.split("@")[1]], [bit[x] for x in n.split("@")[0].split("+")]) for n in flag_names(package_rules)]
+        self.mock, self.told, self.known = bit["_mock"], bit["run_binary"], bit["provenance"]
+        self.send, self.secret = bit["send"], bit["secret"]
+
+    def view(self, low: str, doc: bool) -> tuple[_Text, _Text]:
+        """The whole text and its active view."""
+        whole = _Text(low, self.scanner)
+        if not doc:
+            return whole, whole
+        seen = active_view(low, lambda block: risky(self.scanner.mask(block), self.scanner.bit))
+        return whole, whole if seen is low else _Text(seen, self.scanner)
+
+    def teaching(self, whole: _Text) -> bool:
+        """Teaching material, unless a line of its own without such a phrase pairs a credential with sending."""
+        if _TEACHING.search(whole.text) is None:
+            return False
+        if not (whole.mask & self.send and whole.mask & self.secret):
+            return True
+        lines = whole.text.split("\n")
+        return not any(m & self.send and m & self.secret and _TEACHING.search(line) is None for m, line in zip(whole.masks("line"), lines, strict=True))
+
+    def holds(self, needs: list[int], unless: list[int], r: Rule, whole: _Text, view: _Text) -> bool:
+        t = whole if r.raw else view
+        if not all(t.mask & m for m in needs):
+            return False
+        if r.near and not t.near(needs[0], needs[1], r.near):
+            return False
+        if r.within == "script":
+            if not t.same_script():
+                return False
+        elif r.within:
+            return any(all(p & m for m in needs) and not (unless and all(p & m for m in unless)) for p in t.masks(r.within))
+        return not (unless and all(t.mask & m for m in unless))
+
+    def hits(self, whole: _Text, view: _Text, base: int, broad: int) -> list[tuple[Rule, str]]:
+        """(rule, profile) of the rules that hold; ``base`` and ``broad`` are the scopes in each profile, 0 where it does not see the file.
+        A rule over several rows is given once."""
+        out: list[tuple[Rule, str]] = []
+        n_chains, given = 0, set()
+        seen, union = base | broad, whole.mask | view.mask
+        for r, scope, needs, unless in self.rules:
+            if not (seen & scope and union & needs[0]):
+                continue
+            a, b = r.profile != "broad" and base & scope, r.profile != "base" and broad & scope
+            if not (a or b) or (r.chain and n_chains >= chains.PER_FILE):
+                continue
+            if self.holds(needs, unless, r, whole, view):
+                profile = "both" if a and b else "base" if a else "broad"
+                if (r.rule_id, profile) not in given:
+                    given.add((r.rule_id, profile))
+                    n_chains += bool(r.chain)
+                    out.append((r, profile))
+        ids = {r.rule_id for r, _ in out}
+        return [(r, p) for r, p in out if not (r.yields and ids.intersection(r.yields.split()))]
+
+    def raised(self, view: _Text, base: int, broad: int) -> list[tuple[str, str]]:
+        """(flag, profile) of the flags that a file raises for rules over packages."""
+        out = []
+        for name, scope, bits in self.flags:
+            if (base | broad) & scope and all(view.mask & b for b in bits):
+                out.append((name, "both" if base & scope and broad & scope else "base" if base & scope else "broad"))
+        return out
+
+    def run_names(self, whole: _Text, view: _Text) -> list[str]:
+        """Names that a document tells to run, without saying where they come from."""
+        return sorted(set(_TOLD.findall(whole.text))) if view.mask & self.told and not view.mask & self.known else []
+
+
+def flag_names(rules: tuple[Rule, ...]) -> list[str]:
+    return sorted({f for r in rules for t in _terms(r.needs) for f in t})
 
 
-def with_signals(files: DataFrame, names) -> DataFrame:
-    """``files(skill_id, rel, text)`` with the lower-case ``low``, the active ``view``, ``teaching``, a boolean ``s_<signal>`` over
-    the view for each name, and a boolean ``in_<scope>`` for each scope. A null text is empty."""
-    path = normalized(F.col("rel"))
-    out = files.withColumns({"low": F.lower(F.coalesce("text", F.lit(""))), **{f"in_{k}": v for k, v in scopes(path).items()}})
-    out = out.withColumn("view", F.when(F.col("in_doc"), active_view(F.col("low"))).otherwise(F.col("low")))
-    return out.withColumns({"teaching": teaching_context(F.col("low")), "is_mock": any_of(F.col("low"), MOCK_MARKS), "is_risky": risky_block(F.col("view")), **{f"s_{n}": F.expr(signal_sql("view", n)) for n in sorted(names)}})
+def given(files: DataFrame) -> DataFrame:
+    """``files(skill_id, rel, text)`` with a null text as an empty one, and whether each profile sees a file (columns ``in_base`` and
+    ``in_broad``; all files are in both without them)."""
+    seen = [(F.coalesce(F.col(c), F.lit(True)) if c in files.columns else F.lit(True)).alias(c) for c in ("in_base", "in_broad")]
+    return spread(files.select(F.col("skill_id").cast("string").alias("skill_id"), "rel", F.coalesce("text", F.lit("")).alias("text"), *seen))
 
 
-def used_signals(rules=RULES) -> set[str]:
-    return {s.split("@")[0] for r in rules for t in [*_terms(r.needs), *_terms(r.unless)] for x in t for s in x.split("@")[0].split("+")}
+def with_scopes(batch: pa.RecordBatch):
+    """(skill_id, rel, text, scopes in base, scopes in broad) of the rows of a batch of ``given``."""
+    for skill_id, rel, text, base, broad in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+        path = normalized(rel or "")
+        yield skill_id, rel or "", text, path_scopes(path) if base else 0, path_scopes(path, True) if broad else 0
 
 
-#: What every finding row holds.
-FINDING = ("skill_id", "file", "rule_id", "category", "weight", "strong", "lasting", "profile", "is_doc", "mock", "risky", "verified", "line", "reason")
+FINDING = "skill_id string, file string, rule_id string, category string, weight double, strong boolean, profile string"
+_TYPES = {"string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "bigint": pa.int64()}
 
 
-def _no_file() -> dict[str, Column]:
-    return {"is_doc": F.lit(False), "mock": F.lit(False), "risky": F.lit(False), "verified": F.lit(False), "line": F.lit(0).cast("bigint")}
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, type=_TYPES[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def reason(r: Rule) -> str:
-    """What a rule's finding says, from its signals."""
-    how = f"within {r.near} lines" if r.near else f"in one {r.within}" if r.within else "across files" if "@" in r.needs else "in one file"
-    parts = [" or ".join(x.split("@")[0].replace("+", " with ").replace("_", " ") for x in t) for t in _terms(r.needs)]
-    return f"{', '.join(parts)} {how}" if parts else "bundled native executable"
+def weighed(r: Rule, doc: bool) -> tuple[float, bool]:
+    weak = doc and r.doc_weight > 0
+    return (r.doc_weight, False) if weak else (r.weight, r.strong)
 
 
-def _finding(r: Rule, doc: str) -> str:
-    """SQL for the fixed values of a rule; ``doc`` is the SQL name of the flag that makes a rule with ``doc_weight`` weak."""
-    weak = doc if r.doc_weight else "false"
-    return (
-        f"named_struct('rule_id', '{r.rule_id}', 'category', '{r.category}', 'weight', IF({weak}, double({r.doc_weight}), double({r.weight})), 'strong', {str(r.strong).lower()} AND NOT {weak}, "
-        f"'lasting', {str(r.lasting).lower()}, 'profile', '{r.profile}', 'reason', '{reason(r)}')"
-    )
-
-
-def file_hits(rules: tuple[Rule, ...] = RULES) -> Column:
-    """array of the rules that hold for a row of a ``with_signals`` table; null entries are gone."""
-    plain, special = [], []
-    for r in rules:
-        text = F.col("low") if r.raw else F.col("view")
-        scope, needs, unless = _named([r.scope.split()], lambda s: f"in_{s}"), _terms(r.needs), _terms(r.unless)
-        if not (r.raw or r.near or r.within):
-            holds = scope + " AND " + _named(needs, lambda s: f"s_{s}") + (" AND NOT " + _named(unless, lambda s: f"s_{s}") if unless else "")
-            plain.append(f"IF({holds}, {_finding(r, 'in_doc')}, NULL)")
-            continue
-        by_signal = (lambda s: signal(F.col("low"), s)) if r.raw else (lambda s: F.col(f"s_{s}"))
-        # The cheap tests over the whole text come first.
-        holds = F.expr(scope) & _all(needs, by_signal)
-        if r.near:
-            holds = holds & _near(text, r)
-        if r.within == "script":
-            holds = holds & _same_script(text)
-        elif r.within:
-            holds = holds & F.exists(_pieces(text, r.within), lambda p: _all(needs, lambda s: signal(p, s)) & (~_all(unless, lambda s: signal(p, s)) if unless else F.lit(True)))
-        if unless and r.within not in ("block", "comment"):
-            holds = holds & ~_all(unless, by_signal)
-        special.append(F.when(holds, F.expr(_finding(r, "in_doc"))))
-    arrays = ([F.expr("array(" + ", ".join(plain) + ")")] if plain else []) + ([F.array(*special)] if special else [])
-    taught = F.col("teaching") & F.col("in_skill")
-    return F.filter(F.concat(*arrays), lambda h: h.isNotNull() & ~taught)
+def file_findings(files: DataFrame, rules: tuple[Rule, ...] = FILE_RULES) -> DataFrame:
+    """``FINDING`` rows of ``files(skill_id, rel, text)``. Nothing is shuffled."""
 
+    def run(batches):
+        book = RuleBook(rules)
+        doc, skill = book.scope["doc"], book.scope["skill"]
+        for batch in batches:
+            out = []
+            for skill_id, rel, text, base, broad in with_scopes(batch):
+                whole, view = book.view(text.lower(), bool((base | broad) & doc))
+                if (base | broad) & skill and book.teaching(whole):
+                    continue
+                out += [(skill_id, rel, r.rule_id, r.category, *weighed(r, bool((base | broad) & doc)), profile) for r, profile in book.hits(whole, view, base, broad)]
+            yield batch_of(out, FINDING)
 
-def file_findings(marked: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``FINDING`` rows of a ``with_signals`` table, each with what scoring needs to know of its file. Nothing is shuffled."""
-    of_file = {**_no_file(), "is_doc": F.col("in_doc"), "mock": F.col("is_mock"), "risky": F.col("is_risky")}
-    return marked.select("skill_id", F.col("rel").alias("file"), "in_doc", "is_mock", "is_risky", F.explode(file_hits(rules)).alias("hit")).select("*", "hit.*").withColumns(of_file).select(*FINDING)
+    return given(files).mapInArrow(run, FINDING)
 
 
-def _rows(df: DataFrame, file: Column, hits: Column) -> DataFrame:
-    return df.select("skill_id", file.alias("file"), hits.alias("hit")).select("skill_id", "file", "hit.*").withColumns(_no_file()).select(*FINDING)
+def raised_flags(files: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """(skill_id, flag, profile) of the files of packages."""
+    schema = "skill_id string, flag string, profile string"
 
+    def run(batches):
+        book = RuleBook((), rules)
+        doc, skill = book.scope["doc"], book.scope["skill"]
+        for batch in batches:
+            out = set()
+            for skill_id, _, text, base, broad in with_scopes(batch):
+                whole, view = book.view(text.lower(), bool((base | broad) & doc))
+                if not ((base | broad) & skill and book.teaching(whole)):
+                    out.update((skill_id, *f) for f in book.raised(view, base, broad))
+            yield batch_of(sorted(out), schema)
 
-def _flag_names(rules) -> list[str]:
-    return sorted({f for r in rules for t in _terms(r.needs) for f in t})
+    return given(files).mapInArrow(run, schema)
 
 
-def _flag(name: str) -> str:
-    signals, scope = name.split("@")
-    return f"in_{scope} AND NOT (teaching AND in_skill) AND " + " AND ".join(f"s_{s}" for s in signals.split("+"))
+def package_hits(rules: tuple[Rule, ...] = PACKAGE_RULES) -> Column:
+    """array of the rules that hold for a package with the arrays ``base_flags`` and ``broad_flags``, with the profiles in which they do."""
 
+    def one(r: Rule) -> str:
+        terms = _terms(r.needs)
+        base = _named(terms, lambda n: f"array_contains(base_flags, '{n}')") if r.profile != "broad" else "false"
+        broad = _named(terms, lambda n: f"array_contains(broad_flags, '{n}')") if r.profile != "base" else "false"
+        profile = f"IF({base}, IF({broad}, 'both', 'base'), IF({broad}, 'broad', NULL))"
+        return f"named_struct('rule_id', '{r.rule_id}', 'category', '{r.category}', 'weight', double({r.weight}), 'strong', {str(r.strong).lower()}, 'lasting', {str(r.lasting).lower()}, 'profile', {profile}, 'reason', '{reason(r)}')"
 
-def file_flags(rules: tuple[Rule, ...] = PACKAGE_RULES) -> Column:
-    """array of the names of the flags that a file raises for the rules over packages."""
-    return F.filter(F.expr("array(" + ", ".join(f"IF({_flag(n)}, '{n}', NULL)" for n in _flag_names(rules)) + ")"), lambda f: f.isNotNull())
+    return F.filter(F.expr("array(" + ", ".join(one(r) for r in rules) + ")"), lambda h: h["profile"].isNotNull())
 
 
-def package_hits(raised, rules: tuple[Rule, ...] = PACKAGE_RULES) -> Column:
-    """array of the rules that hold for a package; ``raised(flag)`` is SQL for whether one of its files raises a flag."""
-    return F.filter(F.expr("array(" + ", ".join(f"IF({_named(_terms(r.needs), raised)}, {_finding(r, 'false')}, NULL)" for r in rules) + ")"), lambda h: h.isNotNull())
+def flag_arrays(flags: Column, profiles: Column) -> dict[str, Column]:
+    seen = lambda p: F.array_compact(F.collect_set(F.when(profiles.isin(p, "both"), flags)))
+    return {"base_flags": seen("base"), "broad_flags": seen("broad")}
 
 
-def package_findings(marked: DataFrame, rules: tuple[Rule, ...] = PACKAGE_RULES) -> DataFrame:
-    """Findings that need several files of a package, under the file name ``multi-file``. One partial aggregate of booleans."""
-    names = _flag_names(rules)
-    number = {n: f"f{k}" for k, n in enumerate(names)}
-    flags = marked.groupBy("skill_id").agg(*[F.expr(f"bool_or({_flag(n)})").alias(number[n]) for n in names])
-    return _rows(flags, F.lit("multi-file"), F.explode(package_hits(lambda n: number[n], rules)))
+def package_findings(files: DataFrame, rules: tuple[Rule, ...] = PACKAGE_RULES) -> DataFrame:
+    """Findings that need several files of a package, under the file name ``multi-file``. One aggregate of flags."""
+    arrays = flag_arrays(F.col("flag"), F.col("profile"))
+    flags = raised_flags(files, rules).groupBy("skill_id").agg(*[c.alias(n) for n, c in arrays.items()])
+    return flags.select("skill_id", F.explode(package_hits(rules)).alias("h")).select("skill_id", F.lit("multi-file").alias("file"), "h.rule_id", "h.category", "h.weight", "h.strong", "h.profile")
 
 
 BUNDLED = Rule("R0121", "ast01", 5.5, True, "", "", lasting=True)
 PERIMETER = Rule("R0007", "ast01", 2.8, False, "", "")
-
-
-def run_names() -> Column:
-    """array of the names that a document of a ``with_signals`` table tells to run, without saying where they come from."""
-    names = F.array_distinct(F.regexp_extract_all(F.col("low"), F.lit(r"(?:\./|bin/|run (?:the )?|start (?:the )?|execute (?:the )?|launch (?:the )?|chmod \+x |`)([\w-]+(?:\.[\w-]+)*)"), F.lit(1)))
-    return F.when(F.col("in_doc") & F.col("s_run_binary") & ~F.col("s_provenance"), names).otherwise(F.array().cast("array<string>"))
+FALLBACK = Rule("R0138", "", 0.0, False, "", "")

@@ -20,8 +20,10 @@ TEST_PATHS = ("readme", "docs/", "examples/", "sample", "fixture", "test")
 MOCK_MARKS = ("mock", "unit test", "test fixture", "synthetic", "example only", "demo only")
 PATH_FACTOR, DOC_FACTOR, MOCK_FACTOR = 0.65, 0.75, 0.75
 AUTH_FACTOR, AUTH_CLAIM_FACTOR = 0.04, 0.08
-AUTH_RULES = ("R0075", "R0077", "R0037", "R0111", "R0123", "R0133", "R0150", "R0147", "R0104")
+AUTH_RULES = ("R0075", "R0077", "R0037", "R0111", "R0123", "R0133", "R0142", "R0150", "R0147", "R0104")
 AUTH_CLAIM_RULES = ("R0119", "R0120")
+SAFE_LOAD_FACTOR, SAFE_LOAD_RULES, SAFE_LOAD_PACKAGE_RULES = 0.04, ("R0058", "R0089", "R0090"), ("R0127", "R0135")
+FALLBACK_RULE = "R0138"
 BLEND, BLEND_CAP = 0.18, 4.0
 MALICIOUS, MALICIOUS_STRONG, MALICIOUS_BLENDED, STRONG_FINDINGS = 4.65, 3.25, 5.35, 2
 SUSPICIOUS, SUSPICIOUS_BLENDED = 1.75, 2.35
@@ -58,9 +60,15 @@ def _factor(condition: Column, value: float) -> Column:
 def dampened(findings: DataFrame) -> DataFrame:
     """``findings(rule_id, category, weight, strong, file, is_doc, mock, only_expected_auth, flow_truncated)`` with ``score`` and
     ``counts`` (strong after the flow factor): weak findings in documents, test paths and mocks count less, and credential
-    findings hardly count where credentials only go to their own services."""
+    findings hardly count where credentials only go to their own services. So do findings of unsafe loading (with columns ``safe`` and
+    ``only_safe_loads``) in files, or packages, that load with safe loaders alone."""
     auth = F.coalesce("only_expected_auth", F.lit(False)) & ~F.coalesce("flow_truncated", F.lit(False))
     flow = F.when(auth & F.col("rule_id").isin(*AUTH_RULES), AUTH_FACTOR).when(auth & F.col("rule_id").isin(*AUTH_CLAIM_RULES), AUTH_CLAIM_FACTOR).otherwise(1.0)
+    have = set(findings.columns)
+    if "safe" in have:
+        alone = F.coalesce("only_safe_loads", F.lit(False)) if "only_safe_loads" in have else F.lit(False)
+        safe = (F.coalesce("safe", F.lit(False)) & F.col("rule_id").isin(*SAFE_LOAD_RULES)) | (alone & F.col("rule_id").isin(*SAFE_LOAD_PACKAGE_RULES))
+        flow = F.when(safe & ~F.coalesce("flow_truncated", F.lit(False)), SAFE_LOAD_FACTOR).otherwise(flow)
     weak = _factor(any_of(F.lower("file"), TEST_PATHS), PATH_FACTOR) * _factor(F.col("is_doc"), DOC_FACTOR) * _factor(F.col("mock"), MOCK_FACTOR)
     score = F.when(F.col("strong"), F.col("weight")).otherwise(F.col("weight") * weak)
     return findings.withColumn("score", score * flow).withColumn("counts", F.col("strong") & (flow >= 0.5))
@@ -70,89 +78,84 @@ def category_scores(findings: DataFrame, carry: tuple[str, ...] = ()) -> DataFra
     """One row per package and profile: for each category a score, the number of strong findings that count, and whether strong
     findings exist, last, lie outside documents, or lie in risky documents; and the best verified flow. A row stands for ``n``
     findings where there is such a column; ``carry``: columns that are the same in all rows of a package."""
-    columns = [F.first(c).alias(c) for c in carry]
-    n = F.col("n") if "n" in findings.columns else F.lit(1)
+    # SQL text: a hundred columns are one call each, where a Column object for every operator is slow to build.
+    n = "n" if "n" in findings.columns else "1"
+    columns = [f"first({c}) AS {c}" for c in carry]
     for c in CATEGORIES:
-        mine = F.col("category") == c
-        strong = mine & F.col("strong")
+        mine = f"category = '{c}'"
+        strong = f"({mine} AND strong)"
         columns += [
-            F.round(F.coalesce(F.sum(F.when(mine, F.col("score") * n)), F.lit(0.0)), 9).alias(c),
-            F.coalesce(F.sum(F.when(mine & F.col("counts"), n)), F.lit(0)).cast("bigint").alias(f"strong_{c}"),
-            F.coalesce(F.bool_or(strong), F.lit(False)).alias(f"any_{c}"),
-            F.coalesce(F.bool_or(strong & F.col("lasting")), F.lit(False)).alias(f"lasting_{c}"),
-            F.coalesce(F.bool_or(strong & ~F.col("is_doc")), F.lit(False)).alias(f"outside_{c}"),
-            F.coalesce(F.bool_or(strong & F.col("risky")), F.lit(False)).alias(f"risky_{c}"),
-            F.coalesce(F.max(F.when(mine & F.col("verified"), F.col("weight"))), F.lit(0.0)).alias(f"flow_{c}"),
+            f"round(coalesce(sum(IF({mine}, score * {n}, NULL)), 0D), 9) AS {c}",
+            f"CAST(coalesce(sum(IF({mine} AND counts, {n}, NULL)), 0) AS bigint) AS strong_{c}",
+            f"coalesce(bool_or({strong}), false) AS any_{c}",
+            f"coalesce(bool_or({strong} AND lasting), false) AS lasting_{c}",
+            f"coalesce(bool_or({strong} AND NOT is_doc), false) AS outside_{c}",
+            f"coalesce(bool_or({strong} AND risky), false) AS risky_{c}",
+            f"coalesce(max(IF({mine} AND verified, weight, NULL)), 0D) AS flow_{c}",
         ]
     both = findings.withColumn("profile", F.explode(F.when(F.col("profile") == "both", F.array(F.lit("base"), F.lit("broad"))).otherwise(F.array("profile"))))
-    return both.groupBy("skill_id", "profile").agg(*columns)
+    return both.groupBy("skill_id", "profile").agg(*map(F.expr, columns))
 
 
-def _leading(exclude: str | None = None) -> Column:
-    """struct(score, rank, category) of the largest score; of equal ones the first in LEADING."""
-    entries = [F.struct(F.col(c).alias("score"), F.lit(-k).alias("rank"), F.lit(c).alias("category")) for k, c in enumerate(LEADING) if c != exclude]
-    return F.array_max(F.array(*entries))
+def _leading(exclude: str | None = None) -> str:
+    """SQL for struct(score, rank, category) of the largest score; of equal ones the first in LEADING."""
+    return "array_max(array(" + ", ".join(f"named_struct('score', {c}, 'rank', {-k}, 'category', '{c}')" for k, c in enumerate(LEADING) if c != exclude) + "))"
 
 
-def _of(prefix: str, category: Column) -> Column:
-    return F.coalesce(*[F.when(category == c, F.col(f"{prefix}{c}")) for c in CATEGORIES])
+def _of(prefix: str, category: str) -> str:
+    return f"CASE {category} " + " ".join(f"WHEN '{c}' THEN {prefix}{c}" for c in CATEGORIES) + " END"
 
 
-def _rung(category: str, least: float, below: dict[str, float], above: float | None) -> Column:
-    out = F.col(category) >= least
-    for c, limit in below.items():
-        out = out & (F.col(c) < limit)
+def _in(category: str, names: tuple[str, ...]) -> str:
+    return f"{category} IN (" + ", ".join(f"'{n}'" for n in names) + ")"
+
+
+def _rung(category: str, least: float, below: dict[str, float], above: float | None) -> str:
+    out = f"{category} >= {least}D" + "".join(f" AND {c} < {limit}D" for c, limit in below.items())
     if above is not None:
-        near = F.col("ast01") <= F.col(category) + above
-        out = out & ((F.col("ast07") >= DRIFT_WITH_SUPPLY) | near if category == "ast02" else near)
+        near = f"ast01 <= {category} + {above}D"
+        out += f" AND (ast07 >= {DRIFT_WITH_SUPPLY}D OR {near})" if category == "ast02" else f" AND {near}"
     return out
 
 
-def calibrated() -> Column:
-    """The category of a score row: a verified flow's, else the first rung of its profile's ladder, else the leading one."""
-    flows = [F.when((F.col(c) >= VERIFIED_LEAST) & (F.col(f"flow_{c}") > 0), F.struct(F.col(f"flow_{c}").alias("w"), F.lit(-k).alias("k"), F.lit(c).alias("c"))) for k, c in enumerate(VERIFIED_ORDER)]
-    chosen = [F.array_max(F.filter(F.array(*flows), lambda f: f.isNotNull()))["c"]]
-    for profile, rungs in LADDER.items():
-        arms = [F.when(_rung(*r), r[0]) for r in rungs]
-        chosen.append(F.when(F.col("profile") == profile, F.coalesce(*arms)))
-    return F.coalesce(*chosen, F.col("top.category"))
+def calibrated() -> str:
+    """SQL for the category of a score row: a verified flow's, else the first rung of its profile's ladder, else the leading one."""
+    flows = ", ".join(f"IF({c} >= {VERIFIED_LEAST}D AND flow_{c} > 0, named_struct('w', flow_{c}, 'k', {-k}, 'c', '{c}'), NULL)" for k, c in enumerate(VERIFIED_ORDER))
+    ladders = " ".join(f"WHEN profile = '{profile}' AND {_rung(*r)} THEN '{r[0]}'" for profile, rungs in LADDER.items() for r in rungs)
+    return f"coalesce(array_max(array_compact(array({flows}))).c, CASE {ladders} END, top.category)"
 
 
-def capped(verdict: Column, category: Column) -> Column:
-    """Malicious becomes suspicious where all strong findings of the category are in documents and none lasts."""
-    none = ~_of("any_", category)
-    docs_only = ~none & ~_of("lasting_", category) & ~_of("outside_", category)
-    cap = (none & category.isin(*CAPPED_WITHOUT_STRONG)) | (docs_only & (category.isin(*CAPPED_IN_DOCS) | (category.isin(*CAPPED_IN_DOCS_UNLESS_RISKY) & ~_of("risky_", category))))
-    return F.when((verdict == "malicious") & cap, "suspicious").otherwise(verdict)
+def capped(verdict: str, category: str) -> str:
+    """SQL: malicious becomes suspicious where all strong findings of the category are in documents and none lasts."""
+    none = f"NOT ({_of('any_', category)})"
+    docs_only = f"({_of('any_', category)}) AND NOT ({_of('lasting_', category)}) AND NOT ({_of('outside_', category)})"
+    cap = f"({none} AND {_in(category, CAPPED_WITHOUT_STRONG)}) OR ({docs_only} AND ({_in(category, CAPPED_IN_DOCS)} OR ({_in(category, CAPPED_IN_DOCS_UNLESS_RISKY)} AND NOT ({_of('risky_', category)}))))"
+    return f"IF({verdict} = 'malicious' AND ({cap}), 'suspicious', {verdict})"
 
 
 def verdicts(scores: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """skill_id, profile, verdict, category, lead (the category before a benign verdict clears it), score, blended, strong,
     condition and the ten scores of each row of ``category_scores``."""
-    first = scores.withColumn("top", _leading()).withColumn("other", _leading(MODIFIER))
-    first = first.withColumn("lead0", calibrated())
-    blended = _of("", F.col("lead0"))
-    for c in CATEGORIES:
-        blended = blended + F.when(F.col("lead0") == c, 0.0).otherwise(F.least(F.col(c), F.lit(BLEND_CAP)) * BLEND)
+    first = scores.selectExpr("*", f"{_leading()} AS top", f"{_leading(MODIFIER)} AS other").selectExpr("*", f"{calibrated()} AS lead0")
+    others = " + ".join(f"IF(lead0 = '{c}', 0D, least({c}, {BLEND_CAP}D) * {BLEND}D)" for c in CATEGORIES)
     # The blend is taken before a governance finding gives way to a stronger neighbour, and is not taken again.
-    weak = (F.col("lead0") == MODIFIER) & (F.col("other.score") >= MODIFIER_LEAST)
-    chosen = first.withColumn("blended", F.round(blended, 6)).withColumn("lead", F.when(weak, F.col("other.category")).otherwise(F.col("lead0")))
-    chosen = chosen.withColumns({"score": F.round(_of("", F.col("lead")), 6), "strong": _of("strong_", F.col("lead")), "strong_all": sum((F.col(f"strong_{c}") for c in CATEGORIES), F.lit(0))})
+    lead = f"IF(lead0 = '{MODIFIER}' AND other.score >= {MODIFIER_LEAST}D, other.category, lead0)"
+    chosen = first.selectExpr("*", f"round({_of('', 'lead0')} + {others}, 6) AS blended", f"{lead} AS lead")
+    chosen = chosen.selectExpr("*", f"round({_of('', 'lead')}, 6) AS score", f"{_of('strong_', 'lead')} AS strong", " + ".join(f"strong_{c}" for c in CATEGORIES) + " AS strong_all")
     conditions = (
-        ("malicious", F.col("score") >= MALICIOUS, "max_score_gte_4.65"),
-        ("malicious", (F.col("score") >= MALICIOUS_STRONG) & (F.col("strong") >= 1), "category_score_gte_3.25_with_strong"),
-        ("malicious", F.col("blended") >= MALICIOUS_BLENDED, "blended_score_gte_5.35"),
-        ("malicious", F.col("strong_all") >= STRONG_FINDINGS, "multiple_strong_findings"),
-        ("suspicious", F.col("score") >= SUSPICIOUS, "max_score_gte_1.75"),
-        ("suspicious", F.col("blended") >= SUSPICIOUS_BLENDED, "blended_score_gte_2.35"),
+        ("malicious", f"score >= {MALICIOUS}D", "max_score_gte_4.65"),
+        ("malicious", f"score >= {MALICIOUS_STRONG}D AND strong >= 1", "category_score_gte_3.25_with_strong"),
+        ("malicious", f"blended >= {MALICIOUS_BLENDED}D", "blended_score_gte_5.35"),
+        ("malicious", f"strong_all >= {STRONG_FINDINGS}", "multiple_strong_findings"),
+        ("suspicious", f"score >= {SUSPICIOUS}D", "max_score_gte_1.75"),
+        ("suspicious", f"blended >= {SUSPICIOUS_BLENDED}D", "blended_score_gte_2.35"),
+    )
+    raw = "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for v, c, _ in conditions) + " ELSE 'benign' END"
+    judged = chosen.selectExpr("*", f"{raw} AS raw").selectExpr("*", f"{capped('raw', 'lead')} AS verdict")
+    named = "CASE " + " ".join(f"WHEN verdict = '{v}' AND {c} THEN '{n}'" for v, c, n in conditions) + " ELSE 'below_risk_thresholds' END"
+    return judged.selectExpr(
+        "skill_id", "profile", "verdict", "IF(verdict = 'benign', 'benign', lead) AS category", "lead", "score", "blended", "CAST(strong AS bigint) AS strong", f"{named} AS condition", *CATEGORIES, f"{_of('any_', 'lead')} AS any_strong", *carry
     )
-    raw = F.coalesce(*[F.when(c, v) for v, c, _ in conditions], F.lit("benign"))
-    judged = chosen.withColumn("verdict", capped(raw, F.col("lead")))
-    named = F.coalesce(*[F.when((F.col("verdict") == v) & c, n) for v, c, n in conditions], F.lit("below_risk_thresholds"))
-    return judged.select(
-        "skill_id", "profile", "verdict", F.when(F.col("verdict") == "benign", "benign").otherwise(F.col("lead")).alias("category"), "lead", "score", "blended", F.col("strong").cast("bigint").alias("strong"), named.alias("condition"), *CATEGORIES,
-        _of("any_", F.col("lead")).alias("any_strong"), *carry,
-    )
 
 
 def merged_profiles(judged: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -184,16 +187,23 @@ def fingerprint(rule: Column, category: Column, file: Column, line: Column, reas
     return F.concat(F.lit("sha256:"), F.sha2(basis, 256))
 
 
-def audited(hits: Column, category: Column, most: int = AUDITED) -> Column:
-    """The strongest of a package's findings in its category, at most ``most``, with fingerprints."""
+def audited(hits: Column, category: Column, score: Column, most: int = AUDITED) -> Column:
+    """The strongest of a package's findings in its category, at most ``most``, with fingerprints; where no finding has the category,
+    one that says so."""
+    none = F.lit("the category's score comes from other findings")
+    made = F.array(F.struct(
+        F.lit(FALLBACK_RULE).alias("rule_id"), category.alias("category"), score.alias("weight"), F.lit(False).alias("strong"), F.lit("multi-file").alias("file"), F.lit(0).cast("bigint").alias("start_line"), F.lit(1).cast("bigint").alias("occurrences"),
+        fingerprint(F.lit(FALLBACK_RULE), category, F.lit("multi-file"), F.lit(0).cast("bigint"), none).alias("finding_fingerprint"), none.alias("reason"),
+    ))
     rank = F.transform(
         F.filter(hits, lambda h: h["category"] == category),
         lambda h: F.struct((~h["verified"]).alias("a"), (~h["strong"]).alias("b"), (-h["weight"]).alias("c"), h["rule_id"].alias("rule_id"), h["file"].alias("file"), h["line"].alias("line"), h["n"].alias("n"), h["category"].alias("category"), h["reason"].alias("reason")),
     )
-    return F.transform(
+    found = F.transform(
         F.slice(F.sort_array(rank), 1, most),
         lambda h: F.struct(h["rule_id"].alias("rule_id"), h["category"].alias("category"), (-h["c"]).alias("weight"), (~h["b"]).alias("strong"), h["file"].alias("file"), h["line"].alias("start_line"), h["n"].alias("occurrences"), fingerprint(h["rule_id"], h["category"], h["file"], h["line"], h["reason"]).alias("finding_fingerprint"), h["reason"].alias("reason")),
     )
+    return F.when(category == "benign", found).when(F.size(found) > 0, found).otherwise(made)
 
 
 def cut_bytes(text: Column, most: int = EVIDENCE_BYTES) -> Column:

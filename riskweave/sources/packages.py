@@ -16,6 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from riskweave.functions.paths import FIRST_PARTS
+from riskweave.operators.rules import SCOPES, normalized, path_scopes
+
 # Limits, and what is skipped or read.
 PACKAGES, ENTRIES, DEPTH, FILES, TOTAL_BYTES, FILE_BYTES = 4096, 100_000, 64, 4096, 64 << 20, 1 << 20
 SKIP_BASE = {".git", ".svn", ".hg", "node_modules", "vendor", "dist", "build", "target", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache"}
@@ -50,12 +53,13 @@ def discover(root: str, mode: str = "auto") -> list[tuple[str, str]]:
 
 
 def _priority(rel: str) -> int:
-    low = rel.lower()
-    name = low.rsplit("/", 1)[-1]
-    first = "manifest" in name or name in READ_NAMES or name in ("skill.md", "package.json", "setup.py", "pyproject.toml", "skill.json", "skill.yaml") or "install" in low or "update" in low
-    if first or low.startswith((".github/workflows/", ".vscode/", ".cursor/", ".claude/")):
+    """What configures or describes the package first, then code, then documents: the roles of ``functions/paths.py``."""
+    path = normalized(rel)
+    scopes = path_scopes(path)
+    has = lambda *names: any(scopes >> SCOPES.index(n) & 1 for n in names)
+    if has("manifest", "package", "config") or path.rsplit("/", 1)[-1] == "skill.md" or path.endswith(".tf") or any(p in path for p in FIRST_PARTS):
         return 0
-    return 2 if low.endswith((".md", ".mdx", ".txt", ".html", ".htm")) else 1 if low.endswith(READ[:30]) else 3
+    return 1 if has("code") else 2 if has("doc") else 3
 
 
 def _read(path: str, size: int) -> bytes:
@@ -154,6 +158,14 @@ def read_package(skill_id: str, root: str) -> Iterator[tuple]:
     yield (skill_id, "status", None, None, total, True, True, False, *[n[c] for c in COUNTERS], complete, whole, content, truncated, ", ".join(parts), digest.hexdigest())
 
 
+def guarded(skill_id: str, root: str) -> Iterator[tuple]:
+    """``read_package``; if it fails for whatever reason the package ends as incomplete, and no other is touched."""
+    try:
+        yield from read_package(skill_id, root)
+    except Exception as e:  # noqa: BLE001
+        yield (skill_id, "status", None, None, 0, True, True, False, *[0] * len(COUNTERS), False, False, False, True, f"reading failed: {type(e).__name__}", "")
+
+
 class _Package(InputPartition):
     def __init__(self, skill_id: str, path: str):
         self.skill_id, self.path = skill_id, path
@@ -167,7 +179,7 @@ class _Reader(DataSourceReader):
         return [_Package(*p) for p in discover(self.path, self.mode)]
 
     def read(self, partition):
-        yield from read_package(partition.skill_id, partition.path)
+        yield from guarded(partition.skill_id, partition.path)
 
 
 class PackageTree(DataSource):

@@ -10,6 +10,7 @@ import html
 import json
 import os
 import re
+import shutil
 import uuid
 from pathlib import Path
 
@@ -53,15 +54,21 @@ def report_rows(reports: DataFrame, run_id: str) -> dict[str, DataFrame]:
 
 
 def write_sealed(reports: DataFrame, output: str) -> dict:
-    """Write the reports and their seal under ``output``; an earlier seal goes first, so a broken run leaves none."""
+    """Write the reports and their seal under ``output``; an earlier seal goes first, so a broken run leaves none. Packages are analysed
+    once: the analysis is written as a table, from which all three reports come, and which goes when they are there."""
     spark, seal_path = reports.sparkSession, Path(output) / SEAL
+    if Path(output).is_symlink():
+        raise ValueError(f"the output is a link: {output}")
     Path(output).mkdir(parents=True, exist_ok=True)
     seal_path.unlink(missing_ok=True)
     run_id = uuid.uuid4().hex
-    for name, rows in report_rows(reports, run_id).items():
+    work = f"{output}/_analysis-{run_id}"
+    reports.write.parquet(work)
+    for name, rows in report_rows(spark.read.parquet(work), run_id).items():
         rows.write.mode("overwrite").text(f"{output}/{name}")
     written = {name: spark.read.text(f"{output}/{name}") for name in REPORTS}
     seal = {"schema_version": SCHEMA_VERSION, "run_id": run_id, "skill_count": written["results"].count(), "reports": {name: digest(rows) for name, rows in written.items()}}
+    shutil.rmtree(work, ignore_errors=True)
     part = seal_path.with_suffix(".part")
     part.write_text(json.dumps(seal))
     os.replace(part, seal_path)
