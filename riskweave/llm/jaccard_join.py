@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweave.functions.layout import spread
 from riskweave.llm._common import fresh, materialize, table
 
 SHINGLE = 5
@@ -325,4 +326,4 @@ def _has_word():
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return jaccard_join(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweave.functions.layout import spread
 from riskweave.llm._common import fold_of, materialize, table
 
 BUCKETS = 1 << 16
@@ -228,4 +229,4 @@ def identify(docs: DataFrame, folds: int = 4, held_fold: int = 2, slice_rows: in
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return identify(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))

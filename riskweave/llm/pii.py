@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweave.functions.layout import spread
 from riskweave.llm._common import running, table
 
 REACH = 40
@@ -129,7 +130,7 @@ def _joined(*arrays: Column) -> Column:
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns, with ``scores`` (of ``spans``, in their order) and ``n_spans``."""
-    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_pii(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
     base, every = [F.col(f"s_{k}") for k in BASE], [F.col(f"s_{k}") for k in PATTERNS]
     return found.select(
         "doc_id",

@@ -21,6 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweave.functions.layout import spread
 from riskweave.llm._common import let, materialize, table
 
 MIN_WORDS = 50
@@ -204,7 +205,7 @@ def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measured = materialize(measures(table(spark, sf_dir, "documents").select("doc_id", "text")), "quality-measures")
+    measured = materialize(measures(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))), "quality-measures")
     kept = judge(measured, choose_cutoffs(measured, table(spark, sf_dir, "labels")))
     return kept.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

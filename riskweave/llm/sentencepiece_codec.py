@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskweave.llm._common import fresh, table
+from riskweave.functions.layout import spread
+from riskweave.llm._common import column, table
 
 MARK = "▁"
 MEMO_ENTRIES = 300_000
@@ -282,8 +283,9 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", sl
     path = model or model_path()
     added = ("n_tokens", "n_byte_pieces", "ids_crc32", "round_trip", "token_ids")
     kept = [c for c in docs.columns if c != text_col and c.lower() not in added]
-    named = [F.col(f"`{c}`") for c in kept]
-    schema = docs.select(*named).schema
+    plain = [f"in_{k}" for k in range(len(kept))]  # names may hold dots, which Arrow functions do not take
+    rows = docs.select(*[column(c).alias(p) for c, p in zip(kept, plain, strict=True)], column(text_col).alias("text"))
+    schema = rows.drop("text").schema
     for name, kind in zip(added, ("bigint", "bigint", "bigint", "boolean", "array<int>"), strict=True):
         from pyspark.sql.types import _parse_datatype_string
 
@@ -305,10 +307,10 @@ def encode(docs: DataFrame, model: str | None = None, text_col: str = "text", sl
                 yield pa.RecordBatch.from_arrays(
                     [part.column(k) for k in range(len(kept))]
                     + [pa.array(np.diff(ends).astype(np.int64)), pa.array((bytes_before[ends[1:]] - bytes_before[ends[:-1]]).astype(np.int64)), pa.array(sums, type=pa.int64()), pa.array(same), lists],
-                    names=[*kept, *added],
+                    names=[*plain, *added],
                 )
 
-    return docs.select(*named, F.col(f"`{text_col}`").alias(fresh(docs.select(*named), "text"))).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*[F.col(p).alias(c) for c, p in zip(kept, plain, strict=True)], *added)
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
@@ -324,4 +326,4 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskweave.functions.layout import spread
 from riskweave.llm._common import column, fold_of, materialize, table
 
 #: Documents on which the two weights of the score are fitted, at most.
@@ -382,5 +383,5 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, cutoff: float = 0.5) -> Dat
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")

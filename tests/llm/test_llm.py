@@ -40,8 +40,10 @@ DOCS = [
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    rows = [(i, t, lang, s, len(t) if t is not None else None, "x", 7) for i, t, lang, s in DOCS]
-    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, `line_doc` string, c0 int")
+    rows = [(i, t, lang, s, len(t) if t is not None else None, "x", 7, "dot", 0.25, True, {"k": 1}, 5, "in") for i, t, lang, s in DOCS]
+    return spark.createDataFrame(
+        rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, `line_doc` string, c0 int, `a.b` string, score double, held_out boolean, m map<string, int>, row_number int, in_0 string"
+    )
 
 
 @pytest.fixture(scope="module")
@@ -82,6 +84,15 @@ def test_warc_round_trip(spark):
     assert warc_archive.read_archive(spark, warc_archive.write_archive(df.where("false"), workspace(spark, "t"))).count() == 0
 
 
+def test_warc_hot_payload(spark, monkeypatch):
+    rows = [(n, f"http://a.example/{n}" + ("\r\n" if n == 3 else ""), "y" * 1500 if n % 3 else None) for n in range(90)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    read = lambda: {r["page_id"]: (r["record_type"], r["refers_to"], r["url"], bytes(r["payload"])) for r in warc_archive.read_archive(spark, warc_archive.write_archive(df, workspace(spark, "t"))).collect()}
+    plain = read()
+    monkeypatch.setattr(warc_archive, "HOT_RECORDS", 7)
+    assert read() == plain == {n: ("response", None, url, (h or "").encode()) if n % 3 == 0 or n == 89 else ("revisit", 89, url, h.encode()) for n, url, h in rows}
+
+
 # --- 2 SentencePiece
 
 
@@ -125,6 +136,74 @@ def test_restores_obfuscated_words():
     assert "idiot" in restorer.words("you i d i o t you")
 
 
+def test_viterbi_brute_force():
+    """Every path of a lattice, spelled out and scored."""
+    from itertools import product
+    from math import log1p
+
+    restorer = toxicity.Restorer(toxicity.trigrams_of("idiot moron stupid this that water letter little tall " * 9))
+
+    def paths(token):
+        places, at = [], 0
+        while at < len(token):
+            run = at
+            while run < len(token) and token[run] == token[at]:
+                run += 1
+            ch, n = token[at], run - at
+            if ch.isalpha():
+                places.append([(ch * k, toxicity.DROPPED * log1p(n - k)) for k in sorted({1, min(n, 2)})])
+            else:
+                marks = [(x * k, toxicity.SUBSTITUTED * k) for x in toxicity.LOOKALIKES.get(ch, "") for k in range(1, n + 1)] if n <= 2 else []
+                places.append([("", toxicity.INSERTED), *marks])
+            at = run
+        for chosen in product(*places):
+            word, score = "".join(c[0] for c in chosen), -sum(c[1] for c in chosen)
+            spelled = "  " + word + " "
+            yield -(score + sum(restorer.step(spelled[k : k + 2], spelled[k + 2]) for k in range(len(word) + 1))), word
+
+    for token in ("1d10t", "m*r*n", "st**p!d", "l3tt3r", "wwaaat333r", "$$$tup1d", "4", "t-h-1-5", "l1ttl3"):
+        best = min(paths(token))
+        assert restorer.decode(token) in {w for v, w in paths(token) if v <= best[0] + 1e-9}
+    assert restorer.decode("a." * 3000 + "b") == "a" * 3000 + "b"
+
+
+def test_toxicity_brute_force(spark):
+    """The whole query again, without Spark: trigrams, restored words, Wilson bounds and the logistic fit over dictionaries."""
+    import math
+
+    import numpy as np
+
+    docs = {r["doc_id"]: r["text"] or "" for r in documents(spark).collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r["toxic"] is not None}
+    grams = Counter()
+    for t in docs.values():
+        for w in re.findall("[^\\W\\d_]+", re.sub("[\u0250-\U0010ffff]", " ", t.lower())):
+            grams.update(f"  {w} "[k : k + 3] for k in range(len(w) + 1))
+    restorer = toxicity.Restorer(grams)
+    words = {d: restorer.words(t) for d, t in docs.items()}
+    train = [d for d in labels if d in docs and zlib.crc32(str(d).encode()) % 5]
+    toxic, clean = (Counter(w for d in train if labels[d] == v for w in words[d]) for v in (1, 0))
+    weights = {}
+    for w, n in toxic.items():
+        p = toxicity.wilson_lower(n, n + clean[w])
+        if p > 0.5:
+            weights[w] = math.log(p / (1 - p))
+    tokens = {d: [weights[restorer.word(x)] for x in restorer.tokens(t) if restorer.word(x) in weights] for d, t in docs.items()}
+    x = {d: (max(v, default=0.0), math.log1p(len(v))) for d, v in tokens.items()}
+    fit = toxicity.fit_logistic(np.array([x[d] for d in train]), np.array([float(labels[d]) for d in train]))
+    rows = {r["doc_id"]: r["score"] for r in QUERIES["op3_toxicity"](spark, SF).collect()}
+    assert rows.keys() == docs.keys()
+    for d in docs:
+        assert rows[d] == pytest.approx(1 / (1 + math.exp(-(x[d][0] * fit[0] + x[d][1] * fit[1] + fit[2]))), abs=1e-6)
+
+
+def test_toxicity_shuffled_labels(spark, monkeypatch):
+    docs, labels = documents(spark).select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet")
+    few = {tuple(r) for r in toxicity.score(docs, labels).collect()}
+    monkeypatch.setattr(toxicity, "BROADCAST_LABELS", 0)
+    assert {tuple(r) for r in toxicity.score(docs, labels).collect()} == few
+
+
 def test_trigrams_brute_force():
     text = "Ab, cé 12x\nb"
     expected = Counter()
@@ -158,7 +237,8 @@ def test_toxicity_odd_rows(odd, none, labels):
     rows = toxicity.score(odd, labels).collect()
     assert len(rows) == len(DOCS) and all(0 <= r["score"] <= 1 for r in rows)
     assert toxicity.score(none, labels).count() == 0
-    assert toxicity.reject_toxic(odd, labels.where("false")).columns == odd.columns
+    kept = toxicity.reject_toxic(odd, labels.where("false"))
+    assert kept.columns == odd.columns and {(r["score"], r["held_out"], r["a.b"]) for r in kept.collect()} == {(0.25, True, "dot")}
 
 
 # --- 4 language
@@ -171,6 +251,60 @@ def test_language_accuracy(spark):
     assert sum(rows[d]["lang_pred"] == lang[d] for d in held) >= 0.97 * len(held)
 
 
+def test_language_sets_brute_force():
+    """The search against every set of languages."""
+    from itertools import combinations
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for trial in range(40):
+        words, languages = int(rng.integers(1, 60)), 5
+        logs = rng.normal(0, 3, size=(words, languages))
+        for a, b in ((0, 20), (20, 40)):
+            logs[a:b, rng.integers(0, languages)] += 4
+        n = rng.integers(1, 4, size=words).astype(float)
+        found = language_id.infer(logs.astype(np.float32), n, np.array([0]))[0]
+        r = np.exp(np.maximum(logs.astype(np.float32) - logs.astype(np.float32).max(axis=1, keepdims=True), -60.0)).astype(float)
+        cost = language_id.PENALTY / 2 * np.log(max(n.sum(), 2))
+        value = lambda s: language_id._set_likelihood(r, n, s)[1] - (len(s) - 1) * cost  # noqa: E731, B023
+        best = max(value(s) for k in range(1, languages + 1) for s in combinations(range(languages), k))
+        assert value(tuple(np.flatnonzero(found))) >= best - 0.05 * abs(best) - 1e-6, trial
+
+
+def test_language_brute_force(spark):
+    """The whole query again over dictionaries, for single languages: counts of hashed trigrams and the best total."""
+    import math
+
+    docs = documents(spark).select("doc_id", "text", "lang").collect()
+    words = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    grams = lambda w: [int(b) for b in language_id._word_trigrams([w])[0]]
+    counts = {}
+    for r in docs:
+        if r["lang"] is not None and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            counts.setdefault(r["lang"], Counter()).update(g for w in words(r["text"]) for g in grams(w))
+    totals = {k: sum(c.values()) + 0.5 * language_id.BUCKETS for k, c in counts.items()}
+    rows = {r["doc_id"]: r for r in QUERIES["op4_language_id"](spark, SF).collect()}
+    same = 0
+    for r in docs:
+        n = Counter(words(r["text"]))
+        if not n or not any(ch.isalpha() for ch in r["text"]):
+            assert rows[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        score = {k: sum(v * math.log((counts[k][g] + 0.5) / totals[k]) for w, v in n.items() for g in grams(w)) for k in counts}
+        if len(rows[r["doc_id"]]["languages"]) == 1:
+            assert rows[r["doc_id"]]["lang_pred"] == max(sorted(score), key=score.get)
+            same += 1
+    assert same >= 0.8 * len(docs)
+
+
+def test_language_takes_any_number_of_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "FULL_TABLE", 4)
+    rows = [(n, f"word{chr(97 + n % 20)}{chr(97 + n // 20)} abc{chr(97 + n % 20)} " * 30, f"l{n % 20}") for n in range(200)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    assert sum(r["lang_pred"] == f"l{r['doc_id'] % 20}" for r in got) >= 190
+
+
 def test_language_odd_rows(odd, none):
     rows = language_id.identify(odd).collect()
     assert len(rows) == len(DOCS)
@@ -205,6 +339,55 @@ def test_repeated_words_brute_force(spark):
         assert got[i] == len({k + j for k in range(len(w) - 2) if n[tuple(w[k : k + 3])] > 1 for j in range(3)})
 
 
+def _quality_table(spark, n, seed):
+    import random
+
+    r = random.Random(seed)
+    rows, labels = [], []
+    for d in range(n):
+        size = (60, 300, 900)[d % 3]
+        good = r.random() < 0.85
+        words = [f"w{r.randrange(10**6)}" for _ in range(size)]
+        if not good or r.random() < 0.002:
+            words = [w + "!!" if r.random() < 0.5 else w for w in words]
+        rows.append((d, " ".join(words)))
+        labels.append((d, int(good)))
+    return spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, quality int")
+
+
+def test_quality_certifies_every_stratum_and_keeps_its_promise(spark):
+    docs, labels = _quality_table(spark, 1800, 1)
+    measured = quality_rules.measures(docs).cache()
+    cutoffs = quality_rules.choose_cutoffs(measured, labels)
+    assert {(r["stratum"], r["rule"]) for r in cutoffs.collect()} >= {(k, "shouts") for k in range(3)}
+    # Documents that chose no cutoff: the share of good ones that is lost stays below the sum of the rules' risks, bad ones go.
+    fresh, marks = _quality_table(spark, 900, 2)
+    good = {r["doc_id"]: r["quality"] for r in marks.collect()}
+    judged = quality_rules.judge(quality_rules.measures(fresh), cutoffs).collect()
+    for k in range(3):
+        mine = [r for r in judged if r["doc_id"] % 3 == k and good[r["doc_id"]]]
+        assert sum(not r["kept"] for r in mine) <= quality_rules.RULE_RISK * len(quality_rules.RULES) * len(mine)
+    assert not any(r["kept"] for r in judged if not good[r["doc_id"]])
+
+
+def test_quality_cutoffs_match_sql(spark, tmp_path):
+    docs, labels = _quality_table(spark, 1200, 3)
+    docs.write.parquet(f"{tmp_path}/d")
+    labels.write.parquet(f"{tmp_path}/l")
+    for name, part in (("documents", "d"), ("labels", "l")):
+        spark.read.parquet(f"{tmp_path}/{part}").toPandas().to_parquet(f"{tmp_path}/{name}.parquet")
+    compare(spark, QUERIES["op5_quality_rules"], ORACLES["op5_quality_rules"], str(tmp_path))
+
+
+def test_quality_pools():
+    least = quality_rules.least_good
+    assert quality_rules.choose_pools({0: least(3), 1: least(3), 2: least(3)}) == (0, 1, 2)
+    assert quality_rules.choose_pools({0: 5, 1: least(2), 2: least(2)}) == (0, 0, 1)
+    assert quality_rules.choose_pools({0: least(2), 1: 5, 2: least(2)}) == (0, 0, 1)
+    assert quality_rules.choose_pools({0: least(2), 1: least(2), 2: 5}) == (0, 1, 1)
+    assert quality_rules.choose_pools({}) == (0, 0, 0)
+
+
 def test_quality_odd_rows(odd, none, labels):
     measured = quality_rules.measures(odd)
     assert quality_rules.judge(measured, quality_rules.choose_cutoffs(measured, labels)).count() == len(DOCS)
@@ -241,9 +424,38 @@ def test_pii_brute_force(spark):
     assert "iban:0:27" in rows[len(texts) - 3]["spans"]
 
 
+def test_pii_context_decides(spark):
+    key, number = "a1b2c3d4e5f6a7b8c9d0e1f2", "12345678901"
+    texts = [f"the api key is {key}", f"see {key}", f"konto {number}", f"item {number}", f"token = '{key}'", f"customer {number} and {number}", "iban DE89 3704 0044 0532 0130 00", "iban DE88 3704 0044 0532 0130 00", "key " + key + " " + "x" * 50 + " " + key]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    df.write.mode("overwrite").parquet(path := workspace(spark, "pii") + "/documents.parquet")
+    rows = {r["doc_id"]: (r["spans"], r["scores"]) for r in pii.op6_pii(spark, path.rpartition("/")[0]).collect()}
+    want = {
+        0: ("key:15:39", "0.55"), 1: ("", ""), 2: ("account:6:17", "0.55"), 3: ("", ""), 4: ("secret:0:33,key:9:33", "0.6,0.55"), 5: ("account:9:20", "0.55"), 6: ("iban:5:32", "1.1"), 7: ("", ""), 8: ("key:4:28", "0.55"),
+    }
+    assert rows == want
+
+
+def test_pii_many_matches(spark):
+    text = "a@b.c " * 3000
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    found = pii.find_pii(df).select("s_email").first()[0]
+    assert [(s["start"], s["end"]) for s in found] == [(6 * k, 6 * k + 5) for k in range(3000)]
+
+
 # --- 7 lines
 
 
+def test_line_dedup_hot_windows_agree(spark, monkeypatch):
+    lines = [[f"line {n % 7} a", f"line {n % 7} b", f"line {n % 7} c", f"own {n}"] for n in range(60)]
+    docs = spark.createDataFrame([(str(n), "\n".join(x)) for n, x in enumerate(lines)], "doc_id string, text string")
+    whole = {tuple(r) for r in line_dedup.dedup_lines(docs, report=True).collect()}
+    monkeypatch.setattr(line_dedup, "LEAST_HOT", 3)
+    assert {tuple(r) for r in line_dedup.dedup_lines(docs, report=True).collect()} == whole
+    assert sum(r[2] for r in whole) == 3 * 53
+
+
+
 def test_line_dedup_odd_rows(odd, none):
     rows = line_dedup.dedup_lines(odd, report=True).collect()
     assert len(rows) == len(DOCS)
@@ -279,6 +491,7 @@ def test_decontaminate_odd_rows(spark, odd, none):
     rows = decontaminate.report(decontaminate.scan(odd, bench), ["doc_id"]).collect()
     assert len(rows) == len(DOCS)
     assert {(r["n_hit"], r["n_items"]) for r in rows if r["doc_id"] == 1} == {(4, 2)}
+    assert Counter(map(str, decontaminate.report(decontaminate.scan(odd, bench, keep=["doc_id", "m"], block_windows=2), ["doc_id"]).collect())) == Counter(map(str, rows))
     kept = decontaminate.decontaminate(odd, bench)
     assert kept.columns == odd.columns and kept.count() == len(DOCS) - 3
     assert decontaminate.decontaminate(none, bench).count() == 0
@@ -321,6 +534,45 @@ def test_token_store_odd_texts():
     assert token_store.encode_texts(token_store.tokenizer_path(), odd) == [e.ids for e in library.encode_batch(odd, add_special_tokens=False)]
 
 
+def test_token_store_random_texts():
+    import random
+
+    from tokenizers import Tokenizer
+
+    library, r = Tokenizer.from_file(token_store.tokenizer_path()), random.Random(7)
+    every, often = [chr(c) for c in range(0x250)], list(" \n\t'.,!sStmdMrevlLRED0159\x1c\x1d\x1e\x1f\xf7\xd7\xdf\u0130\u0131\u01c5")
+    texts = ["".join(r.choice(often if r.random() < 0.7 else every) for _ in range(r.randint(0, 14))) for _ in range(40_000)]
+    texts += [x for c in every for x in (c, f"a{c}b", f"{c}'s", f"'{c}")] + ["y" * (token_store.STEP_CHARS + 5), ("ab, c" * 9 + " ") * 30_000]
+    got = token_store.encoder(token_store.tokenizer_path()).encode(texts)
+    want = library.encode_batch_fast(texts, add_special_tokens=False)
+    assert [t for t, g, w in zip(texts, got, want, strict=True) if g.tolist() != w.ids] == []
+
+
+def test_token_store_forgets(monkeypatch):
+    monkeypatch.setattr(token_store, "MEMO_ENTRIES", 50)
+    encoder = token_store.Encoder(token_store.tokenizer_path())
+    texts = [f"word{chr(97 + n % 26)}{chr(97 + n // 26)} and the rest" for n in range(300)]
+    got = [encoder.encode([t])[0].tolist() for t in texts]
+    assert got == [e.ids for e in encoder.whole.encode_batch_fast(texts, add_special_tokens=False)] and encoder.n <= 60
+
+
+def test_token_store_other_vocabularies(spark):
+    from tokenizers import Tokenizer
+
+    path = token_store.tokenizer_path("byte_bpe_50k.json")
+    texts = ["Some Text, it's", "a  b\n", "", "\xf7 1"]
+    assert not token_store.Encoder(path).by_words
+    assert token_store.encode_texts(path, texts) == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_string_ids(spark):
+    docs = spark.createDataFrame([("x", LONG), ("y", LONG), (None, "a\nb\nc"), ("z", "a\nb\nc")], "doc_id string, text string")
+    assert {r["doc_id"]: r["class_id"] for r in jaccard_join.jaccard_join(docs).collect()}["y"] == "x"
+    assert jaccard_join.keep_first(docs).count() == 2 and line_dedup.dedup_lines(docs, drop_emptied=True).count() == 3
+    path = token_store.write_tokens(docs, workspace(spark, "tok"))
+    assert {r["doc_id"] for r in token_store.digests(spark, path).collect()} == {"x", "y", "z", None}
+
+
 # --- 10 near duplicates
 
 
@@ -350,6 +602,15 @@ def test_jaccard_brute_force(spark):
         assert (rows[d]["class_id"], rows[d]["n_links"]) == (root(d), links[d])
 
 
+def test_jaccard_without_broadcasts_and_in_small_parts_agrees(spark, monkeypatch):
+    docs = documents(spark)
+    one = {tuple(r) for r in jaccard_join.jaccard_join(docs.select("doc_id", "text")).collect()}
+    kept = {r["doc_id"] for r in jaccard_join.keep_first(docs).collect()}
+    monkeypatch.setattr(jaccard_join, "BROADCAST_KEYS", 0)
+    assert {tuple(r) for r in jaccard_join.jaccard_join(docs.select("doc_id", "text"), part_shingles=500).collect()} == one
+    assert {r["doc_id"] for r in jaccard_join.keep_first(docs).collect()} == kept
+
+
 def test_jaccard_odd_rows(odd, none):
     rows = jaccard_join.jaccard_join(odd).collect()
     assert len(rows) == len(DOCS)
@@ -362,13 +623,46 @@ def test_jaccard_odd_rows(odd, none):
 # --- pipeline
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_brute_force(spark):
+    """Each stage on all its predecessor kept, against a plain version of what it should leave."""
+    import duckdb
+
     docs = documents(spark)
+    scores = {r["doc_id"]: r["score"] for r in QUERIES["op3_toxicity"](spark, SF).collect()}
+    bench = [decontaminate.words_of(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    windows = {tuple(w[k : k + 8]) for w in bench if w for k in range(max(1, len(w) - 7))}
+    shingles = lambda t: {tuple(w[k : k + 5]) for w in [(t or "").lower().split()] if w for k in range(max(1, len(w) - 4))}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, docs, SF)
         assert after.columns == docs.columns, name
         after.write.parquet(path := workspace(spark, "stage"))
-        kept = spark.read.parquet(path)
-        assert {r[0] for r in kept.select("doc_id").collect()} <= {r[0] for r in docs.select("doc_id").collect()}
-        docs = kept
-    assert corpus_pipeline.run(spark, SF).count() == docs.count()
+        before, kept = ({r["doc_id"]: r["text"] for r in x.collect()} for x in (docs, spark.read.parquet(path)))
+        if name == "toxicity":
+            want = {d: t for d, t in before.items() if scores[d] < 0.5}
+        elif name == "line_dedup":
+            con = duckdb.connect()
+            frame = docs.select("doc_id", "text").toPandas()
+            con.register("documents", frame)
+            want = {d: t for d, t, n in con.execute("SELECT doc_id, text, n_lines_removed FROM (" + ORACLES["op7_line_dedup"] + ")").fetchall() if not n or (t or "").strip(" \t\n\r\x0b\x0c")}
+        elif name == "jaccard_join":
+            sets, parent = {d: shingles(t) for d, t in before.items()}, {d: d for d in before}
+
+            def root(d, parent=parent):
+                while parent[d] != d:
+                    d = parent[d]
+                return d
+
+            ids = sorted(sets)
+            for i, a in enumerate(ids):
+                for b in ids[i + 1 :]:
+                    if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                        x, y = sorted((root(a), root(b)))
+                        parent[y] = x
+            want = {d: t for d, t in before.items() if root(d) == d}
+        else:
+            hit = lambda t: any(tuple(w[k : k + n]) in windows for w in [decontaminate.words_of(t)] for n in {len(x) for x in windows} for k in range(len(w) - n + 1))
+            want = {d: t for d, t in before.items() if not hit(t)}
+        assert kept == want, name
+        docs = spark.read.parquet(path)
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in docs.collect()} and all(r["round_trip"] for r in rows)
