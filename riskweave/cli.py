@@ -14,6 +14,10 @@ import threading
 
 COMPLETE, FAILED, PARTIAL = 0, 2, 3
 LONGEST = 24 * 3600.0
+#: What a run may visit, and the size of one report. Options raise them for large collections.
+MOST_VISITED, REPORT_MIB = 1_000_000, 32
+#: Set to 1, true or yes, this variable allows partial scans as --allow-partial does.
+PARTIAL_VARIABLE = "RISKWEAVE_ALLOW_PARTIAL"
 _UNITS = {"s": 1, "m": 60, "h": 3600}
 
 
@@ -41,7 +45,9 @@ def parser() -> argparse.ArgumentParser:
     mode.add_argument("--single", dest="mode", action="store_const", const="single")
     mode.add_argument("--collection", dest="mode", action="store_const", const="collection")
     out.add_argument("--timeout", type=seconds, default=300.0, help="for the whole run, such as 90s, 5m or 2h")
-    out.add_argument("--allow-partial", action="store_true")
+    out.add_argument("--allow-partial", action="store_true", default=os.environ.get(PARTIAL_VARIABLE, "").lower() in ("1", "true", "yes"))
+    out.add_argument("--max-visited", type=int, default=MOST_VISITED)
+    out.add_argument("--max-report-mib", type=int, default=REPORT_MIB)
     return out
 
 
@@ -54,7 +60,7 @@ def scan(spark, options: argparse.Namespace) -> int:
         raise ValueError("input and output overlap")
     discover(options.input, options.mode)
     files, status = split_source(packages(spark, options.input, options.mode))
-    write_sealed(analyze(files, status), options.output)
+    write_sealed(analyze(files, status), options.output, options.max_report_mib << 20, options.max_visited)
     whole = spark.read.text(f"{options.output}/scan-metadata").where("get_json_object(value, '$.complete') = 'false'").isEmpty()
     return COMPLETE if whole or options.allow_partial else PARTIAL
 

@@ -6,6 +6,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: What a manifest can grant, and the entries that list grants.
+POWERS = ("filesystem", "shell", "exec", "terminal", "computer", "admin", "privileged", "run_as_root")
+GRANTS = ("allow", "permissions", "capabilities", "scopes")
+
+
+def granted() -> tuple[str, ...]:
+    """The ways to write that a power is on or listed, or that everything is granted. A power that is named and off, and a wildcard
+    that denies, are neither."""
+    everything = [form.format(g) for g in GRANTS for form in ('"{}": "*"', '"{}":"*"', '"{}": ["*"', '"{}":["*"', "{}: *", '{}: "*"', "{}: all", '"{}": "all"')]
+    on = [form.format(p) for p in POWERS for form in ('"{}": true', '"{}":true', "{}: true", "{}=true", '"{}",', '"{}"]', "- {}")]
+    return (*everything, *on)
+
+
 # The literals that show each concept, one concept to a line.
 SIGNALS: dict[str, tuple[str, ...]] = {
     "secret": ("api_key", "api key", "access_token", "secret_access_key", "private key", "id_rsa", ".ssh/", ".aws/credentials", ".env", "password", "cookie", "credential", "github_token", "process.env", "os.environ", "env::var"),
@@ -96,7 +109,7 @@ SIGNALS: dict[str, tuple[str, ...]] = {
     "low_risk": ('low risk', 'low-risk', '"risk": "low"', 'risk: low', 'harmless', 'read-only'),
     "clean": ("scan clean", "clean scan", "no findings", "verified safe", "scan passed"),
     "capability": ("permission", "capabilit", "scope", "tools"),
-    "broad_cap": ('"*"', ': all', 'filesystem', 'admin: true', '"admin": true', 'unrestricted'),
+    "broad_cap": (*granted(), 'allow_all', 'read_all', 'write_all', 'unrestricted', 'user: root', 'hostpath'),
     "net_cap": ('"network": true', 'network: true', 'network"', 'shell"', '"shell": true', '<all_urls>'),
     "brand": ("google", "microsoft", "github", "openai", "anthropic", "stripe"),
     "official": ("official", "endorsed", "verified by", "certified"),

